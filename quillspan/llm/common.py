@@ -56,6 +56,11 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
+def let(value: Column, body) -> Column:
+    """`body` of one value that is computed once, however often `body` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def join_dimension(facts: DataFrame, dim: DataFrame, keys: list[str], how: str = "left", spread: Column | None = None, rows: int | None = None) -> DataFrame:
     """`facts` joined to the settled `dim` on null-safe `keys`.
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quillspan.llm.common import join_dimension, settle, table, word_count
+from quillspan.llm.common import join_dimension, let, settle, table, word_count
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
@@ -68,11 +68,6 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return s.select("source", "source_size", "n_docs", target.alias("target"))
 
 
-def _let(value: Column, body) -> Column:
-    """`body` of one value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _draw(doc: Column, seed: int) -> Column:
     """A number from 0 to 1 (not 1) for a document."""
     return F.pmod(F.xxhash64(F.lit(seed), doc["doc_id"], doc["tie"], doc["size"]), F.lit(1 << 52)) / F.lit(float(1 << 52))
@@ -87,13 +82,13 @@ def _duel(one: Column, two: Column, draw: Column) -> Column:
 
     def after(m: Column) -> Column:
         shift = F.when(draw * (m["up"] + m["down"]) < m["down"], m["up"]).otherwise(-m["down"])
-        return _let(shift, lambda t: F.struct(_sure(one["p"] + t / one["size"]).alias("p1"), _sure(two["p"] - t / two["size"]).alias("p2")))
+        return let(shift, lambda t: F.struct(_sure(one["p"] + t / one["size"]).alias("p1"), _sure(two["p"] - t / two["size"]).alias("p2")))
 
     def order(q: Column) -> Column:
         a, b = one.withField("p", q["p1"]), two.withField("p", q["p2"])
         return F.when(q["p1"].isin(0.0, 1.0), F.struct(a.alias("out"), b.alias("on"))).otherwise(F.struct(b.alias("out"), a.alias("on")))
 
-    return _let(_let(moved, after), order)
+    return let(let(moved, after), order)
 
 
 def _sure(p: Column) -> Column:
@@ -107,7 +102,7 @@ def _round_group(docs: Column, seed: int) -> Column:
 
     def step(acc: Column, doc: Column) -> Column:
         met = F.when(acc["on"]["p"].isin(0.0, 1.0), F.struct(acc["on"].alias("out"), doc.alias("on"))).otherwise(_duel(acc["on"], doc, _draw(doc, seed)))
-        return _let(met, lambda m: F.struct(F.concat(acc["out"], F.array(m["out"])).alias("out"), m["on"].alias("on")))
+        return let(met, lambda m: F.struct(F.concat(acc["out"], F.array(m["out"])).alias("out"), m["on"].alias("on")))
 
     return F.aggregate(F.slice(docs, 2, FAN * 1000), start, step)
 

@@ -7,15 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
+from quillspan.llm import license_scan
+from quillspan.llm.license_scan import op7_license_scan
 from quillspan.llm.mixing import op10_mix_sources
+from quillspan.llm.quality_classifier import op2_quality_classifier
 from quillspan.llm.quality_rules import op1_quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_quality_classifier": op2_quality_classifier,
+    "op7_license_scan": op7_license_scan,
     "op10_mix_sources": op10_mix_sources,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_license_scan": license_scan.ORACLE_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
