@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from quillspan.llm import license_scan
 from quillspan.llm.bpe import op3_bpe_round_trip
+from quillspan.llm.jaccard_join import op5_ngram_jaccard_join
 from quillspan.llm.license_scan import op7_license_scan
 from quillspan.llm.mixing import op10_mix_sources
 from quillspan.llm.quality_classifier import op2_quality_classifier
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_bpe_round_trip": op3_bpe_round_trip,
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op7_license_scan": op7_license_scan,
     "op8_token_files": op8_token_files,
     "op10_mix_sources": op10_mix_sources,
