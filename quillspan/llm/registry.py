@@ -14,6 +14,7 @@ from quillspan.llm.license_scan import op7_license_scan
 from quillspan.llm.mixing import op10_mix_sources
 from quillspan.llm.quality_classifier import op2_quality_classifier
 from quillspan.llm.quality_rules import op1_quality_rules
+from quillspan.llm.substring_dedup import op6_substring_dedup
 from quillspan.llm.token_files import op8_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_license_scan": op7_license_scan,
     "op8_token_files": op8_token_files,
     "op10_mix_sources": op10_mix_sources,
