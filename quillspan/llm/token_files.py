@@ -48,8 +48,8 @@ class ShardWriter:
     def __init__(self, store: fs.FileSystem, path: str, width: int, length: int = LENGTH):
         self.kind, self.dtype = (pa.uint16(), np.dtype("<u2")) if width == 2 else (pa.uint32(), np.dtype("<u4"))
         self.length, self.path, self.n_tokens = length, path, 0
-        self.out = store.open_output_stream(f"{path}.arrow")
-        self.names = store.open_output_stream(f"{path}.docs.arrow")
+        self.out = store.open_output_stream(f"{path}.arrow", compression=None)
+        self.names = store.open_output_stream(f"{path}.docs.arrow", compression=None)
         self.writer = pa.ipc.new_file(self.out, _schema(self.kind, length))
         self.listing = pa.ipc.new_file(self.names, pa.schema([("doc_id", pa.int64())]))
         self.ids: list[bytes] = []
