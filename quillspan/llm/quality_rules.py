@@ -73,6 +73,8 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
             "_q_repeats": rate("n_repeat_words", "n_words"),
             "_q_capitals": rate("_q_capitals", "word_chars"),
             "_q_word_length": rate("word_chars", "n_words"),
+            # a column that the optimiser may not copy keeps it from writing all of the above into a filter, many times over
+            "_q_row": F.monotonically_increasing_id(),
         }
     ).drop("_q_n_lines")
 
@@ -87,7 +89,7 @@ def bucket(v: Column) -> Column:
 def sketch(measured: DataFrame) -> DataFrame:
     """(lang, source, rate, bucket, n) of the documents that pass the base rules."""
     pairs = F.array(*[F.struct(F.lit(r).alias("rate"), bucket(F.col(f"_q_{r}")).alias("bucket")) for r in RATES])
-    rows = measured.where(~F.col("base_failed")).select("lang", "source", F.explode(pairs).alias("x"))
+    rows = measured.where(~F.col("base_failed") & (F.col("_q_row") >= 0)).select("lang", "source", F.explode(pairs).alias("x"))
     return rows.groupBy("lang", "source", "x.rate", "x.bucket").agg(F.count("*").alias("n"))
 
 
@@ -122,7 +124,7 @@ def thresholds(sketches: DataFrame) -> DataFrame:
 def judge(measured: DataFrame, fences: DataFrame, spread: Column) -> DataFrame:
     """Adds kept: false if the base rules failed or a rate stands outside its group's fence."""
     d = join_dimension(measured, fences, ["lang", "source"], spread=spread)
-    inside = ~F.col("base_failed")
+    inside = ~F.col("base_failed") & (F.col("_q_row") >= 0)
     for r in RATES:
         inside = inside & F.coalesce(F.col(f"_q_{r}") <= F.col(f"_q_high_{r}"), F.lit(True))
     for r in BOTH_SIDES:
