@@ -1,16 +1,7 @@
-"""Named queries over the driver's tables and the SQL that they are held against."""
+"""All named queries of the review engine, with the SQL that they are held against."""
 
-from __future__ import annotations
+from quillspan.plans import review_queries  # noqa: F401  registers its queries
+from quillspan.plans.queries import ORACLE_SQL, QUERIES
+from quillspan.plans.review_queries import flagship
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.groupBy("lang").agg(F.count("*").alias("n"))
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
