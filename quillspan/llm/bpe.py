@@ -29,6 +29,7 @@ import json
 import os
 import re
 import struct
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Callable, Iterable, Iterator
@@ -46,8 +47,12 @@ CHUNK_BYTES = 12 << 20
 #: The characters with Unicode's White_Space property.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORD = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-#: Words that a worker remembers at most; then it begins anew.
-REMEMBERED = 400_000
+#: Words and pieces that a worker remembers at most; then it begins anew.
+REMEMBERED, REMEMBERED_PIECES = 800_000, 400_000
+#: Fixed value: how byte-level pre-tokenisers cut a word into the pieces that are merged.
+CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?{L}+| ?{N}+| ?[^{S}{l}{n}]+|[{S}]+(?![^{S}])|[{S}]+"
+#: Below this character, letters and numbers are those of every Unicode version.
+LATIN = "\u0250"
 
 
 class Encoder:
@@ -64,7 +69,16 @@ class Encoder:
         self.special = re.compile("(" + "|".join(re.escape(t["content"]) for t in added) + ")") if added else None
         self.kind = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.width = 2 if self.kind == "H" else 4
-        self.known = _Words(self)
+        self.known = _Words(self.word, REMEMBERED)
+        self.merged = _Words(self._merge, REMEMBERED_PIECES)
+        kinds = [(chr(c), unicodedata.category(chr(c))[0]) for c in range(ord(LATIN))]
+        letters, numbers = ("".join(re.escape(c) for c, k in kinds if k == kind) for kind in "LN")
+        cut = CUT.format(L=f"[{letters}]", N=f"[{numbers}]", S=WHITE, l=letters, n=numbers)
+        plain = json.loads(tokenizer_json)
+        level = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        byte_level = plain.get("normalizer") is None and level.items() <= (plain.get("pre_tokenizer") or {}).items()
+        self.cut = re.compile(cut) if byte_level else None
+        self.shown = "".join(_byte_characters())
 
     def words(self, text: str) -> list[str]:
         """The words of a text; special tokens are words of their own."""
@@ -76,21 +90,28 @@ class Encoder:
         return out
 
     def word(self, word: str) -> bytes:
-        return array(self.kind, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        """The ids of a word, from the merges of its pieces where the cut is certain, else from the library as a whole."""
+        if self.cut is None or max(word, default="") >= LATIN or (self.special and self.special.search(word)):
+            return array(self.kind, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self.merged.__getitem__, self.cut.findall(word)))
+
+    def _merge(self, piece: str) -> bytes:
+        shown = piece.encode().decode("latin-1").translate(self.shown)
+        return array(self.kind, [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
 
     def text(self, text: str) -> bytes:
         return b"".join(map(self.known.__getitem__, self.words(text)))
 
 
 class _Words(dict):
-    def __init__(self, encoder: Encoder):
+    def __init__(self, of: Callable[[str], bytes], most: int):
         super().__init__()
-        self.encoder = encoder
+        self.of, self.most = of, most
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED:
+        if len(self) >= self.most:
             self.clear()
-        out = self[word] = self.encoder.word(word)
+        out = self[word] = self.of(word)
         return out
 
 
