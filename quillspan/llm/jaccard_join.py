@@ -14,10 +14,12 @@ listed; a set with too many of those is dealt again with another hash, up to SEE
 then lists all. The number of subsets or segments of a size is its cost; the boundary is the last
 size up to which subsets cost less.
 
-A list is never expanded into pairs. Its members are compared with its first member; where that
-leaves a list with members in different components, they are compared with the next LEADERS members,
-and so on until every list is one component or every pair across components has been compared. Each
-round is linear in the members of the lists that are still open.
+Lists are not expanded into pairs. The members of a list are compared with its first member. Where
+that leaves a list with members in different components, they are compared with the next LEADERS
+members, then with twice as many, and so on until every list is one component or every pair across
+its components has been compared; pairs within a component, pairs whose sizes rule a link out and
+pairs that another list has led to before are left out. Copies of one text so cost one comparison
+each; only texts that share a segment without being similar cost more.
 
 Defined results: a null or empty text, or one without words, has no set and is linked with nothing;
 so is a row with a null doc_id, whose component is null; rows that share a doc_id are one document;
@@ -44,6 +46,7 @@ NGRAM = 4
 PERCENT = 85
 SEEDS = 4
 LEADERS = 8
+GROWTH = 2
 #: A listed segment costs as much as so many subsets: unlike a subset, it may be shared by sets that are not similar.
 SEGMENT_COST = 1.5
 
@@ -314,18 +317,24 @@ def link(docs: DataFrame) -> DataFrame:
     fetch_sets(docs, firsts.join(met, "set_key")).dropDuplicates(["set_key"]).write.parquet(sets_folder)
     sets = spark.read.parquet(sets_folder)
     release(spark)
+    sizes = settle(sets.select(F.col("set_key").alias("_k"), (F.octet_length("elements") / 8).cast("long").alias("n")))
     links = settle(verify(pairs, sets))
-    rank = 1
+    compared, rank, leaders_now = pairs, 1, LEADERS
+    members = lists.select("sig", "set_key").unionByName(lists.select("sig", F.col("leader").alias("set_key")).distinct())
     while True:
         of = settle(components(links))
-        members = _open_members(lists, of, rank)
-        leaders = members.where((F.col("rank") >= rank) & (F.col("rank") < rank + LEADERS)).select(F.col("sig").alias("_sig"), F.col("rank").alias("_rank"), F.col("set_key").alias("a"), F.col("component").alias("_c"))
-        more = members.join(leaders, (members["sig"] == leaders["_sig"]) & (members["rank"] > leaders["_rank"]) & (members["component"] != leaders["_c"]))
-        more = settle(more.select("a", F.col("set_key").alias("b")).distinct())
-        if more.isEmpty() and members.where(F.col("rank") >= rank + LEADERS).isEmpty():
+        members = _open_members(members, of, sizes, rank)  # components only grow: what is closed stays so
+        leaders = members.where((F.col("rank") >= rank) & (F.col("rank") < rank + leaders_now)).select(F.col("sig").alias("_sig"), F.col("rank").alias("_rank"), F.col("set_key").alias("a"), F.col("component").alias("_c"), F.col("n").alias("_n"))
+        fits = 100 * F.least("n", "_n") >= PERCENT * F.greatest("n", "_n")
+        more = members.join(leaders, (members["sig"] == leaders["_sig"]) & (members["rank"] > leaders["_rank"]) & (members["component"] != leaders["_c"]) & fits)
+        more = more.select("a", F.col("set_key").alias("b")).distinct()
+        more = settle(more.join(compared, ["a", "b"], "left_anti"))
+        rank, leaders_now = rank + leaders_now, GROWTH * leaders_now
+        if not more.isEmpty():
+            links = settle(links.unionByName(verify(more, sets)).coalesce(_tasks(spark)))
+            compared = settle(compared.unionByName(more).coalesce(_tasks(spark)))
+        elif members.where(F.col("rank") > rank).isEmpty():
             break
-        links = settle(links.unionByName(verify(more, sets)))
-        rank += LEADERS
     least = firsts.join(of, firsts["set_key"] == of["node"], "left").select("set_key", "doc_id", F.coalesce("least", "set_key").alias("component"))
     named = least.groupBy("component").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("component", "_c")
     of_set = least.join(named, least["component"] == named["_c"]).select(F.col("set_key").alias("_k"), "component_id")
@@ -334,14 +343,18 @@ def link(docs: DataFrame) -> DataFrame:
     return _one_document(out.select("doc_id", "n_shingles", own.alias("component_id")))
 
 
-def _open_members(lists: DataFrame, of: DataFrame, rank: int) -> DataFrame:
-    """(sig, rank, set_key, component) of all members of the lists that span components."""
-    heads = lists.select("sig", F.col("leader").alias("set_key")).distinct()
-    rows = lists.select("sig", "set_key").unionByName(heads)
+def _tasks(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _open_members(rows: DataFrame, of: DataFrame, sizes: DataFrame, rank: int) -> DataFrame:
+    """(sig, rank, set_key, n, component) of those members (sig, set_key) whose list spans components."""
+    rows = rows.select("sig", "set_key")
     rows = rows.join(of, rows["set_key"] == of["node"], "left").select("sig", "set_key", F.coalesce("least", "set_key").alias("component"))
     spans = rows.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
     still = spans.where((F.col("lo") != F.col("hi")) & (F.col("n") > rank + 1)).select(F.col("sig").alias("_s"))
     rows = rows.join(still, rows["sig"] == still["_s"], "left_semi")
+    rows = rows.join(sizes, rows["set_key"] == sizes["_k"]).drop("_k")
     return settle(rows.withColumn("rank", F.row_number().over(W.partitionBy("sig").orderBy("set_key")) - 1))
 
 

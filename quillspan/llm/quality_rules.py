@@ -143,7 +143,8 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that the rules keep, with the columns of `docs`."""
     fences = settle(thresholds(sketch(measure(docs.select("lang", "source", "text")))))
-    return judge(measure(docs), fences, F.xxhash64("doc_id", "text")).where("kept").select(*docs.columns)
+    whole = docs.select("lang", "source", "text", F.struct(*docs.columns).alias("_row"))  # so that no column of docs is lost
+    return judge(measure(whole), fences, F.xxhash64("text")).where("kept").select("_row.*")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

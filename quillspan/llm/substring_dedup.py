@@ -171,7 +171,7 @@ def intervals(at: list[int]) -> list[tuple[int, int]]:
 
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumns({"k1": F.xxhash64(text), "k2": F.xxhash64(F.lit(20), text), "_bytes": text.cast("binary")})
+    return docs.select(F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(20), text).alias("k2"), text.cast("binary").alias("_bytes"))
 
 
 def _batch(names: list[str], kinds: list[pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
@@ -262,7 +262,7 @@ def hashed_spans(found: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(k1, k2, lo, hi): first and last start of repeated windows of each distinct text."""
     spark = docs.sparkSession
-    keyed = _keyed(docs.select("text"))
+    keyed = _keyed(docs)
     every = anchored_runs(keyed)
     again = every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select(F.col("anchor").alias("_a"))
     folder = new_folder(spark, "runs")
@@ -285,11 +285,13 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
 def with_spans(docs: DataFrame) -> DataFrame:
     """`docs` with _bytes and _spans, the first and last starts of its repeated windows."""
-    keyed = _keyed(docs)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    keyed = docs.withColumns({"_sd_1": F.xxhash64(text), "_sd_2": F.xxhash64(F.lit(20), text), "_bytes": text.cast("binary")})
     spans = repeated_spans(docs)
     release(docs.sparkSession)
-    lists = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("_spans")).withColumnsRenamed({"k1": "_k1", "k2": "_k2"})
-    return keyed.join(lists, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")), "left").drop("_k1", "_k2", "k1", "k2")
+    lists = spans.groupBy(F.col("k1").alias("_sd_k1"), F.col("k2").alias("_sd_k2")).agg(F.collect_list(F.struct("lo", "hi")).alias("_spans"))
+    same = (F.col("_sd_1") == F.col("_sd_k1")) & (F.col("_sd_2") == F.col("_sd_k2"))
+    return keyed.join(lists, same, "left").drop("_sd_1", "_sd_2", "_sd_k1", "_sd_k2")
 
 
 def removed(spans: list | None) -> list[tuple[int, int]]:

@@ -122,5 +122,11 @@ def manifest_dependencies(manifests: DataFrame) -> DataFrame:
     """(file_path, section, name, version) of package manifests."""
     sections = ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies")
     parsed = manifests.select("file_path", F.from_json("source", "struct<" + ",".join(f"{s}:map<string,string>" for s in sections) + ">").alias("m"))
-    rows = F.flatten(F.array(*[F.transform(F.coalesce(F.map_entries(f"m.{s}"), F.array().cast("array<struct<key:string,value:string>>")), lambda e, s=s: F.struct(F.lit(s).alias("section"), e["key"].alias("name"), e["value"].alias("version"))) for s in sections]))
+    none = F.array().cast("array<struct<key:string,value:string>>")
+
+    def of(section: str) -> Column:
+        entries = F.coalesce(F.map_entries(f"m.{section}"), none)
+        return F.transform(entries, lambda e: F.struct(F.lit(section).alias("section"), e["key"].alias("name"), e["value"].alias("version")))
+
+    rows = F.flatten(F.array(*[of(s) for s in sections]))
     return parsed.select("file_path", F.explode(rows).alias("d")).select("file_path", "d.*")
