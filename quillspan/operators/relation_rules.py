@@ -251,8 +251,9 @@ def import_use_skew(imports: DataFrame, files: DataFrame) -> DataFrame:
     """For each file and specifier, the names bound and how many of them the file uses."""
     source = files.select(F.col("file_path").alias("_f"), "source")
     met = imports.join(source, F.col("file_path") == F.col("_f"))
-    uses = F.size(F.split("source", F.concat(F.lit(r"\b\Q"), F.col("local"), F.lit(r"\E\b")))) - 1
-    return met.groupBy("file_path", "specifier").agg(F.count("*").alias("bound"), F.count_if(uses > 1).alias("used"))
+    body = F.regexp_replace("source", r"\bimport\b[^;'\"]*['\"][^'\"]*['\"]", "")  # neither the binding nor the specifier is a use
+    uses = F.size(F.split(body, F.concat(F.lit(r"\b\Q"), F.col("local"), F.lit(r"\E\b")))) - 1
+    return met.groupBy("file_path", "specifier").agg(F.count("*").alias("bound"), F.count_if(uses > 0).alias("used"))
 
 
 # abstraction rules -------------------------------------------------------------------------------
