@@ -203,42 +203,36 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and set_key (null for an empty set) of each row."""
-
-    def rows(batches):
-        for batch in batches:
-            sets = [ngram_set(t) for t in batch.column(1).to_pylist()]
-            keys = [set_key(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64())], names=["doc_id", "n_shingles", "set_key"])
-
-    return _texts(docs).mapInArrow(rows, "doc_id long, n_shingles long, set_key long")
-
-
-def signature_rows(docs: DataFrame) -> DataFrame:
-    """(sig, set_key) of each distinct set, at most once a task."""
+    """doc_id, n_shingles and set_key (null for an empty set) of each row, and the signatures of the
+    set where it comes first in its task (else null)."""
 
     def rows(batches):
         plan, light, seen = Segments(), boundary(), set()
+        out: list[tuple] = []
         for batch in batches:
-            sigs, keys = [], []
-            for text in batch.column(0).to_pylist():
+            for doc_id, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 s = ngram_set(text)
-                key = set_key(s)
-                if not len(s) or key in seen:
-                    continue
-                seen.add(key)
-                sigs.append(signatures(s, plan, light))
-                keys.append(np.full(len(sigs[-1]), key, np.int64))
-                if len(sigs) >= 500:
-                    yield _pairs(sigs, keys)
-                    sigs, keys = [], []
-            if sigs:
-                yield _pairs(sigs, keys)
+                key, sigs = (set_key(s) if len(s) else None), None
+                if key is not None and doc_id is not None and key not in seen:
+                    seen.add(key)
+                    sigs = signatures(s, plan, light).view(np.int64)
+                out.append((doc_id, len(s), key, sigs))
+                if len(out) >= 500:
+                    yield _rows(out)
+                    out = []
+        yield _rows(out)
+
+    def _rows(out):
+        ids, sizes, keys, sigs = zip(*out, strict=True) if out else ([], [], [], [])
+        columns = [pa.array(list(x), t) for x, t in ((ids, pa.int64()), (sizes, pa.int64()), (keys, pa.int64()), (sigs, pa.list_(pa.int64())))]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_key", "sigs"])
 
-    def _pairs(sigs, keys):
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(keys))], names=["sig", "set_key"])
+    return _texts(docs).mapInArrow(rows, "doc_id long, n_shingles long, set_key long, sigs array<long>")
 
-    return _texts(docs.where("doc_id is not null")).select("text").mapInArrow(rows, "sig long, set_key long")
+
+def signature_rows(sets: DataFrame) -> DataFrame:
+    """(sig, set_key) of each distinct set, at most once a task."""
+    return sets.where("sigs is not null").select(F.explode("sigs").alias("sig"), "set_key")
 
 
 def shared_lists(rows: DataFrame) -> DataFrame:
@@ -305,9 +299,12 @@ def link(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of `docs`."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    seen = settle(sets_of(docs))
+    sets_of_rows = new_folder(spark, "signatures")
+    sets_of(docs).write.parquet(sets_of_rows)  # texts are cut into n-grams once for keys and signatures
+    hashed = spark.read.parquet(sets_of_rows)
+    seen = hashed.select("doc_id", "n_shingles", "set_key")
     folder = new_folder(spark, "lists")
-    shared_lists(signature_rows(docs)).write.parquet(folder)
+    shared_lists(signature_rows(hashed)).write.parquet(folder)
     release(spark)  # the shuffled signatures
     lists = spark.read.parquet(folder)
     firsts = seen.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"))
