@@ -175,7 +175,9 @@ def test_change_rules(spark, repository):
     lines = src.changed_lines(src.changed_files(before.files, repository.files))
     ranges = {(r.file_path, r.start, r.end) for r in src.changed_ranges(lines).collect()}
     assert ("a/total.ts", 11, 11) in ranges and ("b/show.test.ts", 1, 3) in ranges
-    assert relation_rules.shotgun_change(lines).count() >= 1
+    assert relation_rules.shotgun_change(lines).count() == 0  # no name stands on changed lines of two files
+    shared = spark.createDataFrame([("a", "load(total)"), ("b", "total = 1"), ("b", "total"), ("c", "of")], "file_path string, line string")
+    assert [tuple(r) for r in relation_rules.shotgun_change(shared).collect()] == [("total", 2)]
 
 
 def test_cycles_and_areas(spark):
