@@ -2,7 +2,9 @@
 
 `measure` adds the base counts of a text, `sketch` folds the measured rates into mergeable quantile
 sketches (one row for each language, source, rate and bucket; two sketches merge by adding counts),
-`thresholds` reads fences from them, and `judge` joins the fences to the documents.
+`thresholds` reads fences from them, and `judge` joins the fences to the documents. A language and
+source with too few documents takes the fence of the merged sketch of its language, else of its
+source, else of all rows, so that every document that passes the base rules meets a fence.
 
 Buckets hold integers exactly up to 127 and with a relative width of 1/64 above, so that results do
 not depend on the order in which partial sketches meet.
@@ -28,8 +30,10 @@ BOTH_SIDES = ("word_length",)
 #: thousandths: a group whose quartiles coincide has no spread to measure by.
 REACH = 4
 SLACK = {"symbols": 60, "dup_lines": 500, "repeats": 250, "capitals": 250, "word_length": 1500}
-#: Groups with fewer documents have no stable quartiles; their documents pass.
+#: Groups with fewer documents have no stable quartiles; a wider sketch gives their fence.
 MIN_GROUP = 20
+#: What sketches are merged by, narrowest first. The last holds all rows and serves however few they are.
+LEVELS = (("lang", "source"), ("lang",), ("source",), ())
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -102,33 +106,48 @@ def merge(*sketches: DataFrame) -> DataFrame:
 
 
 def thresholds(sketches: DataFrame) -> DataFrame:
-    """One row for each language and source: low_<rate> and high_<rate>, null where the group is too small."""
-    by = W.partitionBy("lang", "source", "rate")
-    ranked = sketches.select(
+    """One row for each language and source: low_<rate> and high_<rate> from the first of LEVELS with MIN_GROUP documents."""
+    levels = F.array(*[F.struct(F.lit(k).alias("level"), *[F.when(F.lit(c in level), F.col(c)).alias(c) for c in ("lang", "source")]) for k, level in enumerate(LEVELS)])
+    wide = sketches.select(F.explode(levels).alias("g"), "rate", "bucket", "n").groupBy("g.level", "g.lang", "g.source", "rate", "bucket").agg(F.sum("n").alias("n"))
+    by = W.partitionBy("level", "lang", "source", "rate")
+    ranked = wide.select(
         "*",
         F.sum("n").over(by.orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)).alias("upto"),
         F.sum("n").over(by).alias("total"),
     )
-    quart = ranked.groupBy("lang", "source", "rate").agg(
+    quart = ranked.groupBy("level", "lang", "source", "rate").agg(
         F.min(F.when(F.col("upto") * 4 >= F.col("total"), F.col("bucket"))).alias("q1"),
         F.min(F.when(F.col("upto") * 4 >= F.col("total") * 3, F.col("bucket"))).alias("q3"),
         F.max("total").alias("total"),
     )
     slack = F.create_map(*[F.lit(x) for r in RATES for x in (r, SLACK[r])])
     reach = F.greatest(REACH * (F.col("q3") - F.col("q1")), F.element_at(slack, F.col("rate")).cast("long"))
-    fences = quart.where(F.col("total") >= MIN_GROUP).withColumns({"low": F.col("q1") - reach, "high": F.col("q3") + reach})
+    sides = quart.withColumns({"low": F.col("q1") - reach, "high": F.col("q3") + reach})
     pick = lambda side, r: F.max(F.when(F.col("rate") == r, F.col(side))).alias(f"_q_{side}_{r}")
-    return fences.groupBy("lang", "source").agg(*[pick("high", r) for r in RATES], *[pick("low", r) for r in BOTH_SIDES])
+    fences = [*[pick("high", r) for r in RATES], *[pick("low", r) for r in BOTH_SIDES]]
+    found = settle(sides.groupBy("level", "lang", "source").agg(F.struct(*fences).alias("fence"), F.max("total").alias("total")))
+    out = found.where("level = 0").select("lang", "source", F.when(F.col("total") >= MIN_GROUP, F.col("fence")).alias("fence"))
+    for k, level in enumerate(LEVELS[1:], 1):
+        wider = found.where((F.col("level") == k) & (F.lit(not level) | (F.col("total") >= MIN_GROUP)))
+        wider = wider.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.col("fence").alias("_wider"))
+        same = F.lit(True)
+        for c in level:
+            same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+        out = out.join(wider if level else F.broadcast(wider), same, "left").select("lang", "source", F.coalesce("fence", "_wider").alias("fence"))
+    return out.select("lang", "source", "fence.*")
 
 
 def judge(measured: DataFrame, fences: DataFrame, spread: Column) -> DataFrame:
-    """Adds kept: false if the base rules failed or a rate stands outside its group's fence."""
+    """Adds kept: false if the base rules failed or a rate stands outside its group's fence.
+
+    `fences` must come from sketches that have seen each language and source; kept is null where they have not.
+    """
     d = join_dimension(measured, fences, ["lang", "source"], spread=spread)
     inside = ~F.col("base_failed") & (F.col("_q_row") >= 0)
     for r in RATES:
-        inside = inside & F.coalesce(F.col(f"_q_{r}") <= F.col(f"_q_high_{r}"), F.lit(True))
+        inside = inside & (F.col(f"_q_{r}") <= F.col(f"_q_high_{r}"))
     for r in BOTH_SIDES:
-        inside = inside & F.coalesce(F.col(f"_q_{r}") >= F.col(f"_q_low_{r}"), F.lit(True))
+        inside = inside & (F.col(f"_q_{r}") >= F.col(f"_q_low_{r}"))
     d = d.withColumn("kept", inside)
     return d.drop(*[c for c in d.columns if c.startswith("_q_")])
 

@@ -63,6 +63,20 @@ def test_quality_fence_follows_its_group(spark):
     assert 100 not in kept and {200 + k for k in range(40)} <= kept and set(range(40)) <= kept
 
 
+def test_quality_small_groups_meet_a_fence(spark):
+    """Groups of fewer than MIN_GROUP documents are judged by their language, then their source, then all rows."""
+    plain, marked = " ".join(f"w{j}" for j in range(60)), " ".join(f"#w{j}" for j in range(60))
+    rows = [(k, plain, "en", "a") for k in range(40)] + [(100 + k, marked, "de", "b") for k in range(40)]
+    rows += [(200, marked, "en", "rare"), (201, plain, "en", "rare"), (202, marked, "de", "rare"), (203, marked, "en", None)]
+    rows += [(300, marked, "xx", "a"), (301, plain, "xx", "a"), (302, marked, None, "b"), (303, marked, None, "a")]
+    rows += [(400, "#" * 2000 + marked, "xx", "rare"), (401, plain, None, None)]
+    kept = {r.doc_id for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect() if r.kept}
+    assert kept == {*range(40), *range(100, 140), 201, 202, 301, 302, 401}
+    few = [(k, plain, f"l{k}", f"s{k}") for k in range(6)] + [(6, plain, None, None), (7, marked, "en", "a")]
+    out = quality_rules.quality_rules(spark.createDataFrame(few, "doc_id long, text string, lang string, source string")).collect()
+    assert {r.doc_id for r in out if not r.kept} == {7}
+
+
 def test_quality_keeps_columns(docs, none):
     assert quality_rules.keep_good(docs).dtypes == docs.dtypes
     assert not multiset(quality_rules.keep_good(docs).collect()) - multiset(docs.collect())
