@@ -16,6 +16,9 @@ from quillspan.llm.mixing import take_copies
 from quillspan.llm.quality_rules import keep_good
 from quillspan.llm.substring_dedup import cut
 
+#: Near copies share word n-grams of this length, and this part of them in percent. op5's contract has its own.
+NEAR_NGRAM, NEAR_PERCENT = 5, 80
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the adaptive quality rules keep."""
@@ -24,7 +27,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest doc_id, of each group of near copies."""
-    return keep_one_of_each(docs)
+    return keep_one_of_each(docs, NEAR_NGRAM, NEAR_PERCENT)
 
 
 def passages_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

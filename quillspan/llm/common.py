@@ -44,6 +44,12 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Removes a folder that `new_folder` named and nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def open_store(folder: str):
     """The file system of a folder that `new_folder` named, for tasks that write files, and the path in it."""
     from pyarrow import fs

@@ -38,15 +38,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quillspan.llm.common import new_folder, release, settle, table
+from quillspan.llm.common import drop_folder, new_folder, release, settle, table
 from quillspan.llm.components import components
 
+#: Defaults, those of op5's contract.
 NGRAM = 4
 #: Linked if 100 * intersection >= PERCENT * union.
 PERCENT = 85
 SEEDS = 4
 LEADERS = 8
 GROWTH = 2
+#: All signatures are shuffled, but in so many parts one after the other, which bounds the disk that they take at once.
+PASSES = 4
 #: A listed segment costs as much as so many subsets: unlike a subset, it may be shared by sets that are not similar.
 SEGMENT_COST = 1.5
 
@@ -202,16 +205,16 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary").alias("text"))
 
 
-def sets_of(docs: DataFrame) -> DataFrame:
+def sets_of(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and set_key (null for an empty set) of each row, and the signatures of the
     set where it comes first in its task (else null)."""
 
     def rows(batches):
-        plan, light, seen = Segments(), boundary(), set()
+        plan, light, seen = Segments(percent), boundary(percent), set()
         out: list[tuple] = []
         for batch in batches:
             for doc_id, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                s = ngram_set(text)
+                s = ngram_set(text, n)
                 key, sigs = (set_key(s) if len(s) else None), None
                 if key is not None and doc_id is not None and key not in seen:
                     seen.add(key)
@@ -260,14 +263,14 @@ def shared_lists(rows: DataFrame) -> DataFrame:
     return ordered.mapInArrow(runs, "sig long, leader long, set_key long")
 
 
-def fetch_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def fetch_sets(docs: DataFrame, wanted: DataFrame, n: int = NGRAM) -> DataFrame:
     """(set_key, elements) for the rows of `wanted` (set_key, doc_id)."""
 
     def rows(batches):
         for batch in batches:
             keys, sets = [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = ngram_set(text)
+                s = ngram_set(text, n)
                 if set_key(s) == key:  # rows of one doc_id may differ in text
                     keys.append(key)
                     sets.append(s.tobytes())
@@ -278,13 +281,13 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of `pairs` (a, b: set keys) whose sets are similar."""
 
     def rows(batches):
         for batch in batches:
             x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            good = [similar(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(x, y, strict=True)]
+            good = [similar(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), percent) for p, q in zip(x, y, strict=True)]
             kept = batch.filter(pa.array(good, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
 
@@ -295,40 +298,44 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(rows, "a long, b long")
 
 
-def link(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of each row of `docs`."""
+def link(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles and component_id of each row of `docs`, by word n-grams and a Jaccard similarity of `percent` or more."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     sets_of_rows = new_folder(spark, "signatures")
-    sets_of(docs).write.parquet(sets_of_rows)  # texts are cut into n-grams once for keys and signatures
+    sets_of(docs, n, percent).write.parquet(sets_of_rows)  # texts are cut into n-grams once for keys and signatures
     hashed = spark.read.parquet(sets_of_rows)
-    seen = hashed.select("doc_id", "n_shingles", "set_key")
+    seen = settle(hashed.select("doc_id", "n_shingles", "set_key"))
     folder = new_folder(spark, "lists")
-    shared_lists(signature_rows(hashed)).write.parquet(folder)
-    release(spark)  # the shuffled signatures
+    for k in range(PASSES):
+        part = signature_rows(hashed).where(F.pmod("sig", F.lit(PASSES)) == k)
+        shared_lists(part).write.mode("append").parquet(folder)
+        del part
+        release(spark)  # the shuffled signatures
+    drop_folder(spark, sets_of_rows)  # only the lists are read from here on
     lists = spark.read.parquet(folder)
     firsts = seen.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"))
     pairs = settle(lists.select(F.col("leader").alias("a"), F.col("set_key").alias("b")).distinct())
     met = pairs.select(F.col("a").alias("set_key")).unionByName(pairs.select(F.col("b").alias("set_key"))).distinct()
     sets_folder = new_folder(spark, "sets")
-    fetch_sets(docs, firsts.join(met, "set_key")).dropDuplicates(["set_key"]).write.parquet(sets_folder)
+    fetch_sets(docs, firsts.join(met, "set_key"), n).dropDuplicates(["set_key"]).write.parquet(sets_folder)
     sets = spark.read.parquet(sets_folder)
     release(spark)
     sizes = settle(sets.select(F.col("set_key").alias("_k"), (F.octet_length("elements") / 8).cast("long").alias("n")))
-    links = settle(verify(pairs, sets))
+    links = settle(verify(pairs, sets, percent))
     compared, rank, leaders_now = pairs, 1, LEADERS
     members = lists.select("sig", "set_key").unionByName(lists.select("sig", F.col("leader").alias("set_key")).distinct())
     while True:
         of = settle(components(links))
         members = _open_members(members, of, sizes, rank)  # components only grow: what is closed stays so
         leaders = members.where((F.col("rank") >= rank) & (F.col("rank") < rank + leaders_now)).select(F.col("sig").alias("_sig"), F.col("rank").alias("_rank"), F.col("set_key").alias("a"), F.col("component").alias("_c"), F.col("n").alias("_n"))
-        fits = 100 * F.least("n", "_n") >= PERCENT * F.greatest("n", "_n")
+        fits = 100 * F.least("n", "_n") >= percent * F.greatest("n", "_n")
         more = members.join(leaders, (members["sig"] == leaders["_sig"]) & (members["rank"] > leaders["_rank"]) & (members["component"] != leaders["_c"]) & fits)
         more = more.select("a", F.col("set_key").alias("b")).distinct()
         more = settle(more.join(compared, ["a", "b"], "left_anti"))
         rank, leaders_now = rank + leaders_now, GROWTH * leaders_now
         if not more.isEmpty():
-            links = settle(links.unionByName(verify(more, sets)).coalesce(_tasks(spark)))
+            links = settle(links.unionByName(verify(more, sets, percent)).coalesce(_tasks(spark)))
             compared = settle(compared.unionByName(more).coalesce(_tasks(spark)))
         elif members.where(F.col("rank") > rank).isEmpty():
             break
@@ -365,9 +372,9 @@ def _one_document(out: DataFrame) -> DataFrame:
     return out.join(least, out["component_id"] == least["node"], "left").select("doc_id", "n_shingles", F.coalesce("least", "component_id").alias("component_id"))
 
 
-def keep_one_of_each(docs: DataFrame) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
     """The rows of `docs` whose document has the smallest doc_id of its component; rows with a null doc_id stay."""
-    kept = settle(link(docs).where("component_id = doc_id").select(F.col("doc_id").alias("_kept")).distinct())
+    kept = settle(link(docs, n, percent).where("component_id = doc_id").select(F.col("doc_id").alias("_kept")).distinct())
     stays = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
     return stays.unionByName(docs.where("doc_id is null"))
 

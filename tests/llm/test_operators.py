@@ -250,6 +250,28 @@ def test_similar_sets_share_a_signature(common, left, right, seed):
         assert set(jaccard_join.signatures(a, plan, light).tolist()) & set(jaccard_join.signatures(b, plan, light).tolist())
 
 
+def test_jaccard_join_of_other_lengths_and_thresholds(spark):
+    r = np.random.default_rng(6)
+    texts = []
+    for size in (6, 9, 14, 25, 49, 50, 52, 90, 200):
+        words = [f"w{x}" for x in r.integers(0, 10**6, size)]
+        for _ in range(6):
+            texts.append(" ".join(words))
+            words = list(words)
+            words[int(r.integers(0, len(words)))] = f"n{r.integers(0, 10**6)}"
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for n, percent in ((5, 80), (3, 60)):
+        sets = [{tuple(w[i : i + n]) for i in range(len(w) - n + 1)} for w in map(str.split, texts)]
+        least = list(range(len(sets)))
+        for a in range(len(sets)):
+            for b in range(a):
+                if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                    x, y = sorted((least[a], least[b]))
+                    least = [x if c == y else c for c in least]
+        out = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.link(rows, n, percent).collect()}
+        assert out == {k: (len(sets[k]), least[k]) for k in range(len(sets))}
+
+
 def test_components(spark):
     links = [(k, k + 1) for k in range(0, 40)] + [(100, 101), (101, 102), (200, 200)] + [(300, k) for k in range(301, 340)]
     out = {x.node: x.least for x in components(spark.createDataFrame(links, "a long, b long")).collect()}
