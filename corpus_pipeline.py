@@ -26,7 +26,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near copies."""
+    """One row, of the smallest doc_id, of each group of near copies; rows with a null doc_id count among the copies."""
     return keep_one_of_each(docs, NEAR_NGRAM, NEAR_PERCENT)
 
 

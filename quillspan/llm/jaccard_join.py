@@ -373,10 +373,25 @@ def _one_document(out: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
-    """The rows of `docs` whose document has the smallest doc_id of its component; rows with a null doc_id stay."""
-    kept = settle(link(docs, n, percent).where("component_id = doc_id").select(F.col("doc_id").alias("_kept")).distinct())
-    stays = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
-    return stays.unionByName(docs.where("doc_id is null"))
+    """One row of `docs` of each component: one of its smallest doc_id, of several such rows that of the least hash.
+
+    A row with a null doc_id goes by a hash of its text, so that its copies are one document, and is kept only where
+    its component has no doc_id. Such rows without words are linked with nothing and stay.
+    """
+    own = F.coalesce("doc_id", F.xxhash64(F.lit("no doc_id"), "text"))
+    alone = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    some = docs.where(~alone)
+    nameless = some.where("doc_id is null").select(own.alias("_n")).distinct()
+    ids = link(some.select(own.alias("doc_id"), "text"), n, percent).groupBy("component_id", "doc_id").agg(F.count("*").alias("n_rows"))
+    ids = ids.join(nameless, ids["doc_id"] == nameless["_n"], "left")
+    first = F.min(F.struct(F.col("_n").isNotNull().alias("nameless"), F.col("doc_id").alias("_kept"), F.col("n_rows").alias("_n_rows")))
+    kept = settle(ids.groupBy("component_id").agg(first.alias("k")).select("k._kept", "k._n_rows"))
+    once, repeated = (kept.where(c).select("_kept") for c in ("_n_rows = 1", "_n_rows > 1"))
+    stays = some.join(once, own == F.col("_kept"), "left_semi").unionByName(docs.where(alone))
+    if repeated.isEmpty():
+        return stays
+    least = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row")
+    return stays.unionByName(some.join(repeated, own == F.col("_kept")).groupBy("_kept").agg(least).select("_row.*"))
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

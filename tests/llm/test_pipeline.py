@@ -6,6 +6,7 @@ from quillspan.llm import registry
 from quillspan.llm.bpe import default_tokenizer
 from quillspan.llm.mixing import mix
 from quillspan.llm.quality_rules import quality_rules
+from tests.llm.conftest import prose
 from tests.llm.test_operators import plain_links
 
 
@@ -33,6 +34,23 @@ def test_near_copies_by_five_words_and_four_fifths(spark):
     assert {r.doc_id for r in corpus_pipeline.near_copies_stage(spark, docs, "").collect()} == {0, 2, 3}
 
 
+def test_one_row_of_each_repeated_text_reaches_the_last_stage(spark):
+    """Rows that repeat under one doc_id, under none, under both, or as near copies, beside rows without words."""
+    texts = [prose(100 + k, 120) for k in range(7)]
+    near = texts[4].replace(texts[4].split()[60], "changed", 1)
+    rows = [(1, texts[0], "a"), (1, texts[0], "a"), (2, texts[1], "a"), (None, texts[1], "a"), (None, texts[2], "a"), (None, texts[2], "b"), (3, texts[3], "a"), (3, texts[3], "b")]
+    rows += [(None, texts[4], "a"), (5, near, "a"), (-(2**62), texts[5], "a"), (2**62, texts[5], "a"), (None, texts[5], "a"), (6, texts[6], "a")]
+    odd = [(None, None, "a"), (None, None, "a"), (None, " ", "a"), (7, "", "a"), (8, "", "a"), (8, "", "a")]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows + odd], "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    kept = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_copies_stage(spark, docs, "").collect())
+    expected = [(1, texts[0]), (2, texts[1]), (None, texts[2]), (3, texts[3]), (5, near), (-(2**62), texts[5]), (6, texts[6])]
+    assert kept == Counter([*expected, (None, None), (None, None), (None, " "), (7, ""), (8, "")])
+    clean = docs.where("length(text) > 400")
+    for _, stage in corpus_pipeline.STAGES[1:3]:
+        clean = stage(spark, clean, "").checkpoint()
+    assert Counter((r.doc_id, r.text) for r in clean.collect()) == Counter(expected)
+
+
 def test_run_against_a_plain_version(spark, tmp_path):
     """Each stage of run() is redone in plain Python on what the stage before kept."""
     from tokenizers import Tokenizer
