@@ -1,29 +1,29 @@
 """Size-aware heavy-light join on the Jaccard similarity of word n-gram sets, exact and without all pairs.
 
 Sets are distinct 64-bit hashes of n-grams (two different n-grams of one pair of texts share a hash
-with a chance below 1e-12). Equal sets form one class; only classes are joined.
-
-Light sets, of at most `boundary()` elements, are found by fixed-size subsets: a pair whose larger
-set has b elements shares ceil(t b) of them, so both enumerate their subsets of that size.
-
-Heavy sets are found through inverted lists. A list of a single n-gram would hold every document
-with a common passage, so the lists are kept for segments: a hash deals the elements of all sets of
-about one size into m segments. Two sets that differ in at most D elements agree on at least m - D
-segments. m leaves room for the few segments of a set with under `least` elements, which are not
-listed; a set with too many of those is dealt again with another hash, up to SEEDS times, and only
-then lists all. The number of subsets or segments of a size is its cost; the boundary is the last
-size up to which subsets cost less.
-
-Lists are not expanded into pairs. The members of a list are compared with its first member. Where
-that leaves a list with members in different components, they are compared with the next LEADERS
-members, then with twice as many, and so on until every list is one component or every pair across
-its components has been compared; pairs within a component, pairs whose sizes rule a link out and
-pairs that another list has led to before are left out. Copies of one text so cost one comparison
-each; only texts that share a segment without being similar cost more.
+with a chance below 1e-12). Equal sets form one class; only classes are joined. With d(n) the number
+of elements that a set of n elements may lack in a similar one:
+
+1. Candidates. Two similar sets share at least d + 1 of the 2 d + 1 elements of least hash (d of the
+   smaller). These elements are counted over all sets; a set with too few of them in any other set
+   has no partner and goes. Most texts end here.
+2. Lists. Elements of the candidates are put in order of rarity, counted over all candidates. Two
+   similar sets share one of their d + 1 rarest elements, so that heavy sets are indexed in the
+   inverted lists of these alone, with their sizes and the element's position. A passage in very many
+   texts is common and so stands in few lists.
+3. Light sets, of at most `boundary()` elements, enumerate their subsets of the size that a similar
+   pair shares instead; a light set stands in the inverted lists as well if a heavy one may be similar
+   to it. The boundary is where the subsets of all smaller sets and the measured lengths of the lists
+   that all larger sets would scan cost least together.
+4. Scans. Each list is scanned with its most central member, that with the fewest rarer elements.
+   Then, of each list that still holds several components, the members outside its largest component
+   meet those of all others. Sizes and positions rule out pairs before any set is compared. Pairs within a
+   component need no comparison, so that a group of n copies costs n of them.
 
 Defined results: a null or empty text, or one without words, has no set and is linked with nothing;
-so is a row with a null doc_id, whose component is null; rows that share a doc_id are one document;
-an empty table gives an empty result; columns of the input other than doc_id and text are not read.
+so is a row with a null doc_id, whose component is null; a text of any length is one set; rows that
+share a doc_id are one document; an empty table gives an empty result; columns of the input other
+than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -34,9 +34,8 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from quillspan.llm.common import drop_folder, new_folder, release, settle, table
 from quillspan.llm.components import components
@@ -45,13 +44,10 @@ from quillspan.llm.components import components
 NGRAM = 4
 #: Linked if 100 * intersection >= PERCENT * union.
 PERCENT = 85
-SEEDS = 4
-LEADERS = 8
-GROWTH = 2
-#: All signatures are shuffled, but in so many parts one after the other, which bounds the disk that they take at once.
-PASSES = 4
-#: A listed segment costs as much as so many subsets: unlike a subset, it may be shared by sets that are not similar.
-SEGMENT_COST = 1.5
+#: Sets with more subsets than this are heavy whatever the lists cost.
+MOST_SUBSETS = 2000
+#: Listing a subset costs as much as scanning so many entries of a list.
+SUBSET_COST = 2.0
 
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 REMEMBERED = 400_000
@@ -109,7 +105,23 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * shared >= percent * (len(both) - shared)
 
 
-# signatures --------------------------------------------------------------------------------------
+# sizes and subsets -------------------------------------------------------------------------------
+
+
+def lacking(n: int, percent: int = PERCENT) -> int:
+    """How many elements of a set of n a similar set may lack."""
+    return n - -(-percent * n // 100)
+
+
+def sampled(n: int, percent: int = PERCENT) -> int:
+    """How many elements of least hash the candidate test looks at."""
+    return min(n, 2 * lacking(n, percent) + 1)
+
+
+def shared_at_least(n: int, percent: int = PERCENT) -> int:
+    """How many of the elements of the candidate test a set of n shares with a similar set, however small that is."""
+    least = -(-percent * n // 100)
+    return min(lacking(least, percent) + 1, least)
 
 
 def subset_sizes(n: int, percent: int = PERCENT) -> list[int]:
@@ -117,84 +129,34 @@ def subset_sizes(n: int, percent: int = PERCENT) -> list[int]:
     return sorted({k for b in range(n, 100 * n // percent + 1) if (k := -(-percent * b // 100)) <= n})
 
 
-class Segments:
-    """How sets of each size are dealt into segments."""
-
-    def __init__(self, percent: int = PERCENT):
-        self.percent, self.starts, self.plans = percent, [1], []
-
-    def group(self, i: int) -> tuple[int, int, int]:
-        """(m, D, least) for pairs whose smaller set is in size class i."""
-        while len(self.plans) <= i:
-            k = len(self.plans)
-            self._start(k + 1)
-            a = self.starts[k + 1] - 1
-            differ = (a + 100 * a // self.percent) * (100 - self.percent) // (100 + self.percent)
-            self.plans.append(self._plan(self.starts[k], differ))
-        return self.plans[i]
-
-    def _start(self, i: int) -> int:
-        while len(self.starts) <= i:
-            self.starts.append(100 * self.starts[-1] // self.percent + 1)
-        return self.starts[i]
-
-    @staticmethod
-    def _plan(size: int, differ: int) -> tuple[int, int, int]:
-        for least in (2, 1):
-            for spare in range(differ // 3 + 3):
-                m = differ + 1 + spare
-                mean = size / m
-                small = m * math.exp(-mean) * (1 + mean * (least == 2))
-                if spare >= small + 1.3 * math.sqrt(small):
-                    return m, differ, least
-        return differ + 1 + differ // 3 + 2, differ, 1
-
-    def groups(self, n: int) -> list[int]:
-        """The groups in which a set of n elements may meet a partner: its class, and the one below if near enough."""
-        i = 0
-        while self._start(i + 1) <= n:
-            i += 1
-        return [i, i - 1] if i and self.percent * n < 100 * self.starts[i] else [i]
-
-    def cost(self, n: int) -> float:
-        return SEGMENT_COST * sum(self.group(g)[0] for g in self.groups(n))
-
-
-def boundary(percent: int = PERCENT) -> int:
-    """The last set size whose subsets cost less than its segments."""
-    plan, n = Segments(percent), 1
-    while sum(math.comb(n + 1, k) for k in subset_sizes(n + 1, percent)) <= plan.cost(n + 1):
+def n_subsets(n: int, percent: int = PERCENT) -> int:
+    return sum(math.comb(n, k) for k in subset_sizes(n, percent))
+
+
+def most_light(percent: int = PERCENT) -> int:
+    """The largest size whose subsets may be enumerated."""
+    n = 1
+    while n_subsets(n + 1, percent) <= MOST_SUBSETS:
         n += 1
     return n
 
 
-def signatures(s: np.ndarray, plan: Segments, light: int) -> np.ndarray:
-    """Hashes of which two similar sets share at least one."""
-    n, out = len(s), []
-    if not n:
-        return np.empty(0, np.uint64)
-    if n <= light:
-        for k in subset_sizes(n, plan.percent):
-            chosen = np.array(list(combinations(range(n), k)))
-            out.append(mixed(mixed(s)[chosen].sum(axis=1, dtype=np.uint64) + _scaled(k, M1)))
-    if 100 * n // plan.percent > light:
-        scattered = mixed(s ^ M1)
-        for g in plan.groups(n):
-            m, differ, least = plan.group(g)
-            for seed in range(SEEDS):
-                of = ((mixed(s + _scaled(seed + 1, M3)) >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
-                counts = np.bincount(of, minlength=m)
-                sums = np.zeros(m, np.uint64)
-                np.add.at(sums, of, scattered)
-                listed = counts >= least
-                enough = m - int(listed.sum()) < m - differ
-                if not enough and seed == SEEDS - 1:
-                    listed[:] = True
-                at = np.flatnonzero(listed).astype(np.uint64)
-                tag = _scaled(g * SEEDS + seed + 1, M2) + at * M1
-                out.append(mixed(sums[listed] + mixed(tag) + counts[listed].astype(np.uint64) * M3))
-                if enough:
-                    break
+def boundary(costs: list[tuple[int, int, int]], percent: int = PERCENT) -> int:
+    """The last light size, from (size, sets of that size, entries that they scan) of sizes up to `most_light`."""
+    light, best, total = 0, 0.0, 0.0
+    for n, sets, scanned in sorted(costs):
+        total += SUBSET_COST * sets * n_subsets(n, percent) - scanned
+        if total < best:
+            light, best = n, total
+    return light
+
+
+def subset_hashes(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Hashes of the subsets of a light set, of which two similar light sets share at least one."""
+    out = []
+    for k in subset_sizes(len(s), percent):
+        chosen = np.array(list(combinations(range(len(s)), k)))
+        out.append(mixed(mixed(s)[chosen].sum(axis=1, dtype=np.uint64) + _scaled(k, M1)))
     return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
 
 
@@ -206,61 +168,53 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and set_key (null for an empty set) of each row, and the signatures of the
-    set where it comes first in its task (else null)."""
+    """doc_id, n_shingles and set_key (null for an empty set) of each row, and the elements that the
+    candidate test looks at where the set comes first in its task (else null)."""
 
     def rows(batches):
-        plan, light, seen = Segments(percent), boundary(percent), set()
+        seen: set[int] = set()
         out: list[tuple] = []
         for batch in batches:
             for doc_id, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 s = ngram_set(text, n)
-                key, sigs = (set_key(s) if len(s) else None), None
+                key, least = (set_key(s) if len(s) else None), None
                 if key is not None and doc_id is not None and key not in seen:
                     seen.add(key)
-                    sigs = signatures(s, plan, light).view(np.int64)
-                out.append((doc_id, len(s), key, sigs))
+                    least = s[: sampled(len(s), percent)].view(np.int64)
+                out.append((doc_id, len(s), key, least))
                 if len(out) >= 500:
                     yield _rows(out)
                     out = []
         yield _rows(out)
 
     def _rows(out):
-        ids, sizes, keys, sigs = zip(*out, strict=True) if out else ([], [], [], [])
-        columns = [pa.array(list(x), t) for x, t in ((ids, pa.int64()), (sizes, pa.int64()), (keys, pa.int64()), (sigs, pa.list_(pa.int64())))]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_key", "sigs"])
+        ids, sizes, keys, least = zip(*out, strict=True) if out else ([], [], [], [])
+        columns = [pa.array(list(x), t) for x, t in ((ids, pa.int64()), (sizes, pa.int64()), (keys, pa.int64()), (least, pa.list_(pa.int64())))]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_key", "least"])
 
-    return _texts(docs).mapInArrow(rows, "doc_id long, n_shingles long, set_key long, sigs array<long>")
+    return _texts(docs).mapInArrow(rows, "doc_id long, n_shingles long, set_key long, least array<long>")
 
 
-def signature_rows(sets: DataFrame) -> DataFrame:
-    """(sig, set_key) of each distinct set, at most once a task."""
-    return sets.where("sigs is not null").select(F.explode("sigs").alias("sig"), "set_key")
+def _lacking(n: Column, percent: int) -> Column:
+    return n - _least_partner(n, percent)
 
 
-def shared_lists(rows: DataFrame) -> DataFrame:
-    """(sig, leader, set_key) of the lists with two sets or more: each further member beside the first."""
+def _least_partner(n: Column, percent: int) -> Column:
+    """The size of the smallest set that may be similar to one of n, which is the least overlap with any as well."""
+    return F.floor((percent * n + 99) / 100).cast("long")
 
-    def runs(batches):
-        sig, key, leader = None, None, None
-        for batch in batches:
-            s, k = (batch.column(i).to_numpy() for i in (0, 1))
-            if not len(s):
-                continue
-            begin = np.empty(len(s), bool)
-            begin[0] = s[0] != sig
-            begin[1:] = s[1:] != s[:-1]
-            again = np.empty(len(s), bool)
-            again[0] = not begin[0] and k[0] == key
-            again[1:] = ~begin[1:] & (k[1:] == k[:-1])
-            at = np.maximum.accumulate(np.where(begin, np.arange(len(s)), -1))
-            first = np.where(at >= 0, k[np.maximum(at, 0)], leader if leader is not None else 0)
-            sig, key, leader = s[-1], k[-1], first[-1]
-            out = ~begin & ~again
-            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (s, first, k)], names=["sig", "leader", "set_key"])
-
-    ordered = rows.repartition("sig").sortWithinPartitions("sig", "set_key")
-    return ordered.mapInArrow(runs, "sig long, leader long, set_key long")
+
+def candidates(hashed: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(set_key, doc_id, n) of the sets that share enough of their elements of least hash with others; doc_id is the least with that set."""
+    found = hashed.where("least is not null").select(F.explode("least").alias("e"), "set_key")
+    alone = found.groupBy("e").agg(F.min("set_key").alias("set_key"), F.max("set_key").alias("last")).where("set_key = last")
+    alone = alone.groupBy("set_key").agg(F.count("*").alias("alone")).withColumnRenamed("set_key", "_k")
+    sets = hashed.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
+    partner = _least_partner(F.col("n"), percent)
+    tested = F.least(2 * _lacking(F.col("n"), percent) + 1, F.col("n"))
+    needed = F.least(_lacking(partner, percent) + 1, partner)
+    met = sets.join(alone, sets["set_key"] == alone["_k"], "left").where(tested - F.coalesce("alone", F.lit(0)) >= needed)
+    return met.select("set_key", "doc_id", "n")
 
 
 def fetch_sets(docs: DataFrame, wanted: DataFrame, n: int = NGRAM) -> DataFrame:
@@ -273,12 +227,83 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame, n: int = NGRAM) -> DataFrame:
                 s = ngram_set(text, n)
                 if set_key(s) == key:  # rows of one doc_id may differ in text
                     keys.append(key)
-                    sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], names=["set_key", "elements"])
+                    sets.append(s.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["set_key", "elements"])
 
     here = _texts(docs).withColumnRenamed("doc_id", "_doc_id")
-    found = here.join(wanted, here["_doc_id"] == wanted["doc_id"]).select("set_key", "text").mapInArrow(rows, "set_key long, elements binary")
-    return found
+    return here.join(wanted, here["_doc_id"] == wanted["doc_id"]).select("set_key", "text").mapInArrow(rows, "set_key long, elements array<long>")
+
+
+def inverted_lists(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(e, set_key, n, pos, length) of the rarest elements of each set, as many as one of them must be in a similar set.
+
+    pos is the number of the set's elements that are rarer, length the number of entries of the list.
+    """
+    entries = sets.select(F.explode("elements").alias("e"), "set_key", F.size("elements").cast("long").alias("n"))
+    counts = settle(entries.groupBy("e").agg(F.count("*").alias("df")).where("df > 1").withColumnRenamed("e", "_e"))
+    common = entries.join(counts, entries["e"] == counts["_e"]).groupBy("set_key", "n").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("x"))
+    common = common.select("set_key", "n", F.posexplode("x").alias("at", "y"), (F.col("n") - F.size("x")).alias("alone"))
+    rare = common.where(F.col("alone") + F.col("at") <= _lacking(F.col("n"), percent)).select("y.e", "set_key", "n", (F.col("alone") + F.col("at")).alias("pos"))
+    rare = settle(rare)
+    lengths = rare.groupBy("e").agg(F.count("*").alias("length")).where("length > 1").withColumnRenamed("e", "_e")
+    return settle(rare.join(settle(lengths), rare["e"] == F.col("_e")).drop("_e"))
+
+
+def light_lists(sets: DataFrame, light: int, percent: int = PERCENT) -> DataFrame:
+    """(e, set_key, n, pos) of the subsets of the light sets; pos is 0, which rules nothing out."""
+
+    def rows(batches):
+        for batch in batches:
+            out, keys, sizes = [], [], []
+            for key, elements in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                h = subset_hashes(np.array(elements, np.int64).view(np.uint64), percent).view(np.int64)
+                out.append(h)
+                keys += [key] * len(h)
+                sizes += [len(elements)] * len(h)
+            e = np.concatenate(out) if out else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(e), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array([0] * len(e), pa.int64())], names=["e", "set_key", "n", "pos"])
+
+    small = sets.where(F.size("elements") <= light).select("set_key", "elements")
+    return small.mapInArrow(rows, "e long, set_key long, n long, pos long")
+
+
+def all_lists(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(e, set_key, n, pos): the lists of both kinds, with the boundary between light and heavy sets set by their costs."""
+    heavy = inverted_lists(sets, percent)
+    costs = heavy.where(F.col("n") <= most_light(percent)).groupBy("n").agg(F.countDistinct("set_key"), F.sum("length")).collect()  # a row a size
+    light = boundary([tuple(r) for r in costs], percent)
+    heavy = heavy.where(100 * F.col("n") > percent * light).select("e", "set_key", "n", "pos")  # the others have no heavy partner
+    return settle(heavy.unionByName(light_lists(sets, light, percent))) if light else heavy
+
+
+def _fits(percent: int) -> Column:
+    """Whether the sizes of two entries of a list, and what is left of both sets from there on, let them be similar."""
+    overlap = percent * (F.col("n") + F.col("_n"))  # of similar sets, at least, times 100 + percent
+    by_size = 100 * F.least("n", "_n") >= percent * F.greatest("n", "_n")
+    return by_size & ((100 + percent) * F.least(F.col("n") - F.col("pos"), F.col("_n") - F.col("_pos")) >= overlap)
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    return met.select(F.least("set_key", "_k").alias("a"), F.greatest("set_key", "_k").alias("b")).distinct()
+
+
+def central_pairs(lists: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b): the most central member of each list with each other one that fits it."""
+    first = lists.groupBy("e").agg(F.min(F.struct("pos", "set_key", "n")).alias("x"))
+    first = settle(first.select(F.col("e").alias("_e"), F.col("x.set_key").alias("_k"), F.col("x.n").alias("_n"), F.col("x.pos").alias("_pos")))
+    return _pairs(lists.join(first, (F.col("e") == F.col("_e")) & (F.col("set_key") != F.col("_k")) & _fits(percent)))
+
+
+def crossing_pairs(lists: DataFrame, of: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b): members of a list in different components that fit each other, at least one of them outside its largest."""
+    known = lists.join(of, lists["set_key"] == of["node"], "left").select("e", "set_key", "n", "pos", F.coalesce("least", "set_key").alias("c"))
+    known = settle(known)
+    sizes = known.groupBy("e", "c").agg(F.count("*").alias("m"))
+    main = sizes.groupBy("e").agg(F.count("*").alias("parts"), F.max(F.struct("m", "c")).alias("x")).where("parts > 1")
+    main = settle(main.select(F.col("e").alias("_main_e"), F.col("x.c").alias("main")))
+    still = settle(known.join(main, known["e"] == main["_main_e"]).drop("_main_e"))
+    others = still.where("c <> main").select(F.col("e").alias("_e"), F.col("set_key").alias("_k"), F.col("n").alias("_n"), F.col("pos").alias("_pos"), F.col("c").alias("_c"))
+    return _pairs(still.join(others, (F.col("e") == F.col("_e")) & (F.col("c") != F.col("_c")) & _fits(percent)))
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -287,7 +312,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
     def rows(batches):
         for batch in batches:
             x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            good = [similar(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), percent) for p, q in zip(x, y, strict=True)]
+            good = [similar(np.array(p, np.int64), np.array(q, np.int64), percent) for p, q in zip(x, y, strict=True)]
             kept = batch.filter(pa.array(good, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
 
@@ -302,43 +327,24 @@ def link(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of `docs`, by word n-grams and a Jaccard similarity of `percent` or more."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    sets_of_rows = new_folder(spark, "signatures")
-    sets_of(docs, n, percent).write.parquet(sets_of_rows)  # texts are cut into n-grams once for keys and signatures
-    hashed = spark.read.parquet(sets_of_rows)
+    folder = new_folder(spark, "sets")
+    sets_of(docs, n, percent).write.parquet(folder)  # texts are cut into n-grams once for keys and elements
+    hashed = spark.read.parquet(folder)
     seen = settle(hashed.select("doc_id", "n_shingles", "set_key"))
-    folder = new_folder(spark, "lists")
-    for k in range(PASSES):
-        part = signature_rows(hashed).where(F.pmod("sig", F.lit(PASSES)) == k)
-        shared_lists(part).write.mode("append").parquet(folder)
-        del part
-        release(spark)  # the shuffled signatures
-    drop_folder(spark, sets_of_rows)  # only the lists are read from here on
-    lists = spark.read.parquet(folder)
-    firsts = seen.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"))
-    pairs = settle(lists.select(F.col("leader").alias("a"), F.col("set_key").alias("b")).distinct())
-    met = pairs.select(F.col("a").alias("set_key")).unionByName(pairs.select(F.col("b").alias("set_key"))).distinct()
-    sets_folder = new_folder(spark, "sets")
-    fetch_sets(docs, firsts.join(met, "set_key"), n).dropDuplicates(["set_key"]).write.parquet(sets_folder)
-    sets = spark.read.parquet(sets_folder)
+    wanted = settle(candidates(hashed, percent))
+    drop_folder(spark, folder)
+    release(spark)  # the shuffled elements
+    folder = new_folder(spark, "candidates")
+    fetch_sets(docs, wanted, n).dropDuplicates(["set_key"]).write.parquet(folder)
+    sets = spark.read.parquet(folder)
     release(spark)
-    sizes = settle(sets.select(F.col("set_key").alias("_k"), (F.octet_length("elements") / 8).cast("long").alias("n")))
-    links = settle(verify(pairs, sets, percent))
-    compared, rank, leaders_now = pairs, 1, LEADERS
-    members = lists.select("sig", "set_key").unionByName(lists.select("sig", F.col("leader").alias("set_key")).distinct())
-    while True:
-        of = settle(components(links))
-        members = _open_members(members, of, sizes, rank)  # components only grow: what is closed stays so
-        leaders = members.where((F.col("rank") >= rank) & (F.col("rank") < rank + leaders_now)).select(F.col("sig").alias("_sig"), F.col("rank").alias("_rank"), F.col("set_key").alias("a"), F.col("component").alias("_c"), F.col("n").alias("_n"))
-        fits = 100 * F.least("n", "_n") >= percent * F.greatest("n", "_n")
-        more = members.join(leaders, (members["sig"] == leaders["_sig"]) & (members["rank"] > leaders["_rank"]) & (members["component"] != leaders["_c"]) & fits)
-        more = more.select("a", F.col("set_key").alias("b")).distinct()
-        more = settle(more.join(compared, ["a", "b"], "left_anti"))
-        rank, leaders_now = rank + leaders_now, GROWTH * leaders_now
-        if not more.isEmpty():
-            links = settle(links.unionByName(verify(more, sets, percent)).coalesce(_tasks(spark)))
-            compared = settle(compared.unionByName(more).coalesce(_tasks(spark)))
-        elif members.where(F.col("rank") > rank).isEmpty():
-            break
+    lists = all_lists(sets, percent)
+    links = settle(verify(central_pairs(lists, percent), sets, percent))
+    more = settle(crossing_pairs(lists, settle(components(links)), percent))
+    links = settle(links.unionByName(verify(more, sets, percent)))
+    of = settle(components(links))
+    drop_folder(spark, folder)
+    firsts = seen.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"))
     least = firsts.join(of, firsts["set_key"] == of["node"], "left").select("set_key", "doc_id", F.coalesce("least", "set_key").alias("component"))
     named = least.groupBy("component").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("component", "_c")
     of_set = least.join(named, least["component"] == named["_c"]).select(F.col("set_key").alias("_k"), "component_id")
@@ -347,21 +353,6 @@ def link(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
     return _one_document(out.select("doc_id", "n_shingles", own.alias("component_id")))
 
 
-def _tasks(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def _open_members(rows: DataFrame, of: DataFrame, sizes: DataFrame, rank: int) -> DataFrame:
-    """(sig, rank, set_key, n, component) of those members (sig, set_key) whose list spans components."""
-    rows = rows.select("sig", "set_key")
-    rows = rows.join(of, rows["set_key"] == of["node"], "left").select("sig", "set_key", F.coalesce("least", "set_key").alias("component"))
-    spans = rows.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
-    still = spans.where((F.col("lo") != F.col("hi")) & (F.col("n") > rank + 1)).select(F.col("sig").alias("_s"))
-    rows = rows.join(still, rows["sig"] == still["_s"], "left_semi")
-    rows = rows.join(sizes, rows["set_key"] == sizes["_k"]).drop("_k")
-    return settle(rows.withColumn("rank", F.row_number().over(W.partitionBy("sig").orderBy("set_key")) - 1))
-
-
 def _one_document(out: DataFrame) -> DataFrame:
     """Rows of one doc_id in different components join them."""
     twice = out.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("a"), F.max("component_id").alias("b")).where("a <> b")

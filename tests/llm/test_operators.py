@@ -241,13 +241,20 @@ def test_jaccard_join_families(spark):
 
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 120), st.integers(0, 12), st.integers(0, 12), st.integers(0, 10**6))
-def test_similar_sets_share_a_signature(common, left, right, seed):
+def test_similar_sets_pass_every_filter(common, left, right, seed):
     r = np.random.default_rng(seed)
     x = np.unique(r.integers(0, 2**63, common + left + right).astype(np.uint64))
+    r.shuffle(x)
     a, b = np.sort(x[: common + left]), np.sort(np.concatenate([x[:common], x[common + left :]]))
-    if jaccard_join.similar(a, b):
-        plan, light = jaccard_join.Segments(), jaccard_join.boundary()
-        assert set(jaccard_join.signatures(a, plan, light).tolist()) & set(jaccard_join.signatures(b, plan, light).tolist())
+    rarity = {e: k for k, e in enumerate(r.permutation(x).tolist())}
+    for percent in (60, 80, 85):
+        if jaccard_join.similar(a, b, percent):
+            tested = [set(s[: jaccard_join.sampled(len(s), percent)].tolist()) for s in (a, b)]
+            assert len(tested[0] & tested[1]) >= max(jaccard_join.shared_at_least(len(s), percent) for s in (a, b))
+            rare = [set(sorted(s.tolist(), key=rarity.get)[: jaccard_join.lacking(len(s), percent) + 1]) for s in (a, b)]
+            assert rare[0] & rare[1]
+            if max(len(a), len(b)) <= jaccard_join.most_light(percent):
+                assert np.intersect1d(jaccard_join.subset_hashes(a, percent), jaccard_join.subset_hashes(b, percent)).size
 
 
 def test_jaccard_join_of_other_lengths_and_thresholds(spark):
