@@ -79,6 +79,14 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
+def free_prefix(columns: list[str]) -> str:
+    """A prefix that no column has, for the names of working columns."""
+    prefix = "_w"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_w"
+    return prefix + "_"
+
+
 def let(value: Column, body) -> Column:
     """`body` of one value that is computed once, however often `body` names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -4,23 +4,26 @@ A byte goes if it is covered by a WINDOW-byte string that also starts anywhere e
 text or the same one. A suffix array of a whole corpus is no job for one machine, so that windows
 meet in groups first:
 
-1. Each window has an anchor, its leftmost GRAM-byte string of least hash; windows with one anchor
-   form a run of a text. Equal windows have equal anchors, so that only runs whose anchor string
-   occurs twice or more can hold repeated windows.
-2. Runs that are equal to the last byte repeat as a whole. What is left are runs with a common
-   anchor which differ somewhere, about one in thirty.
+1. Each window has an anchor, its leftmost string of half its length that has the least hash; windows
+   with one anchor form a run of a text. Equal windows have equal anchors, so that only runs whose
+   anchor string occurs twice or more can hold repeated windows.
+2. Runs that are equal from the first byte to the last repeat as a whole: they share the hash of the
+   anchor and that of the run, 128 bits in all. What is left are runs with a common anchor which
+   differ somewhere, about one in thirty.
 3. The distinct runs of an anchor are cut into blocks aligned with the anchor, and one suffix array
-   of the block strings is built (`suffix_sort`, linear grouping). A window holds at least INNER
-   whole blocks, so that only windows whose block suffix shares INNER blocks with a neighbour in
+   of the block strings is built (`suffix_sort`, linear grouping). A window holds a number of whole
+   blocks at least, so that only windows whose block suffix shares as many with a neighbour in
    suffix order can repeat; their bytes are then compared.
 
 Anchors with more than MOST distinct runs (a passage in very many texts) would make a task grow with
-the corpus: their windows are grouped by hash over the cluster instead, which is exact as well.
+the corpus: each of their windows becomes a run of its own, and step 2 settles them over the
+cluster, by 128 bits of hash and without a comparison of bytes.
 
 Texts are known by two 64-bit hashes, so that rows of equal text share their spans; results do not
-depend on doc_id. Defined results: a null text is empty; a text shorter than WINDOW keeps all;
-repeated rows repeat each other's windows and so lose all of them; null and repeated doc_ids are
-returned as they are; an empty table gives an empty result. Other columns are kept by `cut`.
+depend on doc_id. Defined results: a null text is empty; a text shorter than the window keeps all;
+texts of any length are looked through in pieces of PIECE windows; repeated rows repeat each other's
+windows and so lose all of them; null and repeated doc_ids are returned as they are; an empty table
+gives an empty result. Other columns are kept by `cut`, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,14 +37,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import new_folder, release, settle, table
+from quillspan.llm.common import drop_folder, free_prefix, new_folder, release, settle, table
 from quillspan.llm.suffix_sort import common_prefixes, ending_marks, suffix_array
 
+#: Default window in bytes, that of op6's contract.
 WINDOW = 400
-GRAM = 200
+#: The window of `cut`, somewhat below the length of 50 words of prose.
+CUT_WINDOW = 240
 BLOCK = 16
-#: Whole blocks in any window, wherever it begins.
-INNER = (WINDOW - BLOCK + 1) // BLOCK
 #: Distinct runs of an anchor that one suffix array takes.
 MOST = 2000
 #: Longer texts are looked through in pieces of so many windows.
@@ -91,21 +94,22 @@ def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def runs(text: bytes) -> list[tuple[int, int, int, int, int]]:
+def runs(text: bytes, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
     """(anchor hash, run hash, first window, last window, anchor position) of the runs of a text."""
     out = []
-    for begin in range(0, max(0, len(text) - WINDOW + 1), PIECE):
-        out += [(f, c, begin + p, begin + q, begin + a) for f, c, p, q, a in _piece_runs(text[begin : begin + PIECE + WINDOW - 1])]
+    for begin in range(0, max(0, len(text) - window + 1), PIECE):
+        out += [(f, c, begin + p, begin + q, begin + a) for f, c, p, q, a in _piece_runs(text[begin : begin + PIECE + window - 1], window)]
     return out
 
 
-def _piece_runs(text: bytes):
-    if len(text) < WINDOW:
+def _piece_runs(text: bytes, window: int):
+    if len(text) < window:
         return []
-    width = WINDOW - GRAM + 1
+    gram = window // 2
+    width = window - gram + 1
     roll = Rolling(text)
-    at = np.arange(len(text) - GRAM + 1)
-    grams = roll.hash(at, at + GRAM)
+    at = np.arange(len(text) - gram + 1)
+    grams = roll.hash(at, at + gram)
     least = sliding_min(grams, width)
     first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
     last = np.concatenate([first[1:] - 1, [len(least) - 1]])
@@ -119,14 +123,15 @@ def _piece_runs(text: bytes):
                 p = min(a, q) + 1
         first, last, anchor = (np.array(x, np.int64) for x in zip(*parts, strict=True))
     anchor = np.asarray(anchor, np.int64)
-    whole = mixed(roll.hash(first, last + WINDOW) + (anchor - first).astype(np.uint64) * np.uint64(FACTOR) + (last - first).astype(np.uint64))
+    whole = mixed(roll.hash(first, last + window) + (anchor - first).astype(np.uint64) * np.uint64(FACTOR) + (last - first).astype(np.uint64))
     return list(zip(least[first].view(np.int64).tolist(), whole.view(np.int64).tolist(), first.tolist(), last.tolist(), anchor.tolist(), strict=True))
 
 
-def repeated_windows(group: list[tuple[bytes, int, bool]]) -> list[list[int]]:
+def repeated_windows(group: list[tuple[bytes, int, bool]], window: int = WINDOW) -> list[list[int]]:
     """For each distinct run of an anchor, given as (bytes, place of the anchor in them, whether the
     run occurs twice), the windows, counted from its first, that repeat. Runs that occur twice get none."""
     ids: dict[bytes, int] = {}
+    inner = (window - BLOCK + 1) // BLOCK  # whole blocks in any window, wherever it begins
     strings, starts = [], []
     for text, anchor, _ in group:
         start = anchor % BLOCK
@@ -145,10 +150,10 @@ def repeated_windows(group: list[tuple[bytes, int, bool]]) -> list[list[int]]:
     for (text, _, twice), blocks, start in zip(group, strings, starts, strict=True):
         mine = []
         for d in range(len(blocks)):
-            if shared[base + d] >= INNER:
+            if shared[base + d] >= inner:
                 end = start + d * BLOCK
-                for p in range(max(0, end - BLOCK + 1), min(end, len(text) - WINDOW) + 1):
-                    mine.append((p, text[p : p + WINDOW]))
+                for p in range(max(0, end - BLOCK + 1), min(end, len(text) - window) + 1):
+                    mine.append((p, text[p : p + window]))
         counts.update(w for _, w in mine)
         asked.append([] if twice else mine)
         base += len(blocks) + 1
@@ -182,13 +187,13 @@ def _batch(names: list[str], kinds: list[pa.DataType], rows: list[tuple]) -> pa.
 _L, _I = pa.int64(), pa.int32()
 
 
-def anchored_runs(keyed: DataFrame) -> DataFrame:
+def anchored_runs(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
     def rows(batches):
         names = ["anchor", "run", "k1", "k2", "lo", "hi", "at"]
         for batch in batches:
             out = []
             for k1, k2, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                out += [(f, c, k1, k2, p, q, a) for f, c, p, q, a in runs(text)]
+                out += [(f, c, k1, k2, p, q, a) for f, c, p, q, a in runs(text, window)]
                 if len(out) > 50_000:
                     yield _batch(names, [_L] * 4 + [_I] * 3, out)
                     out = []
@@ -197,7 +202,7 @@ def anchored_runs(keyed: DataFrame) -> DataFrame:
     return keyed.select("k1", "k2", "_bytes").mapInArrow(rows, "anchor long, run long, k1 long, k2 long, lo int, hi int, at int")
 
 
-def open_runs(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
+def open_runs(keyed: DataFrame, wanted: DataFrame, window: int = WINDOW) -> DataFrame:
     """The bytes of the wanted runs: anchor, run, twice, k1, k2, lo, place (of the anchor), bytes."""
 
     def rows(batches):
@@ -207,7 +212,7 @@ def open_runs(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
             out = []
             for k1, k2, text, runs_ in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 for r in runs_:
-                    out.append((r["anchor"], r["run"], r["twice"], k1, k2, r["lo"], r["at"] - r["lo"], text[r["lo"] : r["hi"] + WINDOW]))
+                    out.append((r["anchor"], r["run"], r["twice"], k1, k2, r["lo"], r["at"] - r["lo"], text[r["lo"] : r["hi"] + window]))
                 if len(out) > 2000:
                     yield _batch(names, kinds, out)
                     out = []
@@ -219,13 +224,13 @@ def open_runs(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
     return met.select("k1", "k2", "_bytes", "runs").mapInArrow(rows, "anchor long, run long, twice boolean, k1 long, k2 long, lo int, place int, bytes binary")
 
 
-def sorted_spans(found: DataFrame) -> DataFrame:
+def sorted_spans(found: DataFrame, window: int = WINDOW) -> DataFrame:
     """Repeated windows of the open runs by one suffix array for each anchor."""
 
     def spans(group):
         distinct = {run: (text, place, twice, k1, k2, lo) for _, run, twice, k1, k2, lo, place, text in group}
         rows = list(distinct.values())
-        for (_, _, _, k1, k2, lo), at in zip(rows, repeated_windows([r[:3] for r in rows]), strict=True):
+        for (_, _, _, k1, k2, lo), at in zip(rows, repeated_windows([r[:3] for r in rows], window), strict=True):
             yield from ((k1, k2, lo + p, lo + q) for p, q in intervals(at))
 
     def rows(batches):
@@ -241,30 +246,32 @@ def sorted_spans(found: DataFrame) -> DataFrame:
     return found.repartition("anchor").sortWithinPartitions("anchor", "run").mapInArrow(rows, SPANS)
 
 
-def hashed_spans(found: DataFrame) -> DataFrame:
-    """Repeated windows of the open runs by their hashes, for anchors with very many runs."""
+def single_windows(found: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Repeated windows of the open runs, each window as a run of its own, for anchors with very many runs."""
 
     def rows(batches):
         for batch in batches:
             for anchor, twice, k1, k2, lo, text in zip(*[batch.column(c).to_pylist() for c in ("anchor", "twice", "k1", "k2", "lo", "bytes")], strict=True):
-                at = np.arange(len(text) - WINDOW + 1)
-                h = mixed(Rolling(text).hash(at, at + WINDOW) ^ np.uint64(anchor % (1 << 64))).view(np.int64)
+                at = np.arange(len(text) - window + 1)
+                h = Rolling(text).hash(at, at + window).view(np.int64)
                 n = len(at)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h), pa.array(np.full(n, k1)), pa.array(np.full(n, k2)), pa.array((lo + at).astype(np.int32)), pa.array([twice] * n, pa.bool_())], names=["window", "k1", "k2", "p", "twice"]
+                    [pa.array(np.full(n, anchor)), pa.array(h), pa.array(np.full(n, k1)), pa.array(np.full(n, k2)), pa.array((lo + at).astype(np.int32)), pa.array([twice] * n, pa.bool_())],
+                    names=["anchor", "window", "k1", "k2", "p", "twice"],
                 )
 
-    windows = found.dropDuplicates(["anchor", "run"]).mapInArrow(rows, "window long, k1 long, k2 long, p int, twice boolean")
-    counts = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("window", "_w")
-    return windows.where("not twice").join(counts, F.col("window") == F.col("_w"), "left_semi").select("k1", "k2", F.col("p").alias("lo"), F.col("p").alias("hi"))
+    windows = found.dropDuplicates(["anchor", "run"]).mapInArrow(rows, "anchor long, window long, k1 long, k2 long, p int, twice boolean")
+    counts = settle(windows.groupBy("anchor", "window").agg(F.count("*").alias("n")).where("n > 1").select(F.col("anchor").alias("_a"), F.col("window").alias("_w")))
+    same = (F.col("anchor") == F.col("_a")) & (F.col("window") == F.col("_w"))
+    return windows.where("not twice").join(counts, same, "left_semi").select("k1", "k2", F.col("p").alias("lo"), F.col("p").alias("hi"))
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(k1, k2, lo, hi): first and last start of repeated windows of each distinct text."""
     spark = docs.sparkSession
     keyed = _keyed(docs)
-    every = anchored_runs(keyed)
-    again = every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select(F.col("anchor").alias("_a"))
+    every = anchored_runs(keyed, window)
+    again = settle(every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select(F.col("anchor").alias("_a")))
     folder = new_folder(spark, "runs")
     every.join(again, every["anchor"] == again["_a"]).drop("_a").write.parquet(folder)
     release(spark)
@@ -274,31 +281,22 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     sizes = distinct.groupBy("anchor").agg(F.count("*").alias("runs"), F.min("n").alias("fewest")).where("runs > 1 and fewest = 1")
     sizes = settle(sizes.withColumnRenamed("anchor", "_a"))
     wanted = settle(distinct.join(sizes, distinct["anchor"] == sizes["_a"]).select("anchor", "run", (F.col("n") > 1).alias("twice"), "one.*", "runs"))
-    twice = distinct.where("n > 1").select(F.col("anchor").alias("_a"), F.col("run").alias("_r"))
+    twice = settle(distinct.where("n > 1").select(F.col("anchor").alias("_a"), F.col("run").alias("_r")))
     whole = live.join(twice, (live["anchor"] == twice["_a"]) & (live["run"] == twice["_r"]), "left_semi").select("k1", "k2", "lo", "hi")
-    out = whole.unionByName(sorted_spans(open_runs(keyed, wanted.where(F.col("runs") <= MOST).drop("runs"))))
+    out = whole.unionByName(sorted_spans(open_runs(keyed, wanted.where(F.col("runs") <= MOST).drop("runs"), window), window))
     most = wanted.where(F.col("runs") > MOST)
     if not most.isEmpty():
-        out = out.unionByName(hashed_spans(open_runs(keyed, most.drop("runs"))))
-    return settle(out.distinct())
+        out = out.unionByName(single_windows(open_runs(keyed, most.drop("runs"), window), window))
+    spans = settle(out.distinct())
+    drop_folder(spark, folder)
+    return spans
 
 
-def with_spans(docs: DataFrame) -> DataFrame:
-    """`docs` with _bytes and _spans, the first and last starts of its repeated windows."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.withColumns({"_sd_1": F.xxhash64(text), "_sd_2": F.xxhash64(F.lit(20), text), "_bytes": text.cast("binary")})
-    spans = repeated_spans(docs)
-    release(docs.sparkSession)
-    lists = spans.groupBy(F.col("k1").alias("_sd_k1"), F.col("k2").alias("_sd_k2")).agg(F.collect_list(F.struct("lo", "hi")).alias("_spans"))
-    same = (F.col("_sd_1") == F.col("_sd_k1")) & (F.col("_sd_2") == F.col("_sd_k2"))
-    return keyed.join(lists, same, "left").drop("_sd_1", "_sd_2", "_sd_k1", "_sd_k2")
-
-
-def removed(spans: list | None) -> list[tuple[int, int]]:
+def removed(spans: list | None, window: int = WINDOW) -> list[tuple[int, int]]:
     """Maximal byte ranges (begin, end) that the windows cover."""
     out: list[list[int]] = []
     for s in sorted((s["lo"], s["hi"]) for s in spans or []):
-        begin, end = s[0], s[1] + WINDOW
+        begin, end = s[0], s[1] + window
         if out and begin <= out[-1][1]:
             out[-1][1] = max(end, out[-1][1])
         else:
@@ -314,18 +312,30 @@ def kept(text: bytes, gone: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def cut(docs: DataFrame) -> DataFrame:
-    """`docs` with repeated strings cut from text and n_chars set anew. Where a cut splits a
-    character, the rest of it goes too. Documents of which nothing but white space is left go."""
+def with_spans(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, str]:
+    """`docs` with one more column, of the first and last starts of the repeated windows of its text, and that column's name."""
+    p = free_prefix(docs.columns)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    keyed = docs.withColumns({f"{p}1": F.xxhash64(text), f"{p}2": F.xxhash64(F.lit(20), text)})
+    spans = repeated_spans(docs, window)
+    release(docs.sparkSession)
+    lists = spans.groupBy(F.col("k1").alias(f"{p}k1"), F.col("k2").alias(f"{p}k2")).agg(F.collect_list(F.struct("lo", "hi")).alias(f"{p}spans"))
+    same = (F.col(f"{p}1") == F.col(f"{p}k1")) & (F.col(f"{p}2") == F.col(f"{p}k2"))
+    return keyed.join(settle(lists), same, "left").select(*docs.columns, f"{p}spans"), f"{p}spans"
 
+
+def cut(docs: DataFrame, window: int = CUT_WINDOW) -> DataFrame:
+    """`docs` with repeated strings of `window` bytes cut from text and n_chars set anew. Where a cut splits a
+    character, the rest of it goes too. Documents of which nothing but white space is left go."""
     names = docs.columns
+    spanned, name = with_spans(docs, window)
 
     def rows(batches):
         for batch in batches:
             texts, sizes, stays = [], [], []
-            for text, raw, spans in zip(*[batch.column(c).to_pylist() for c in ("text", "_bytes", "_spans")], strict=True):
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column(name).to_pylist(), strict=True):
                 if spans:
-                    text = kept(raw, removed(spans)).decode("utf-8", "ignore")
+                    text = kept(text.encode(), removed(spans, window)).decode("utf-8", "ignore")
                 texts.append(text)
                 sizes.append(None if text is None else len(text))
                 stays.append(not spans or bool(text.strip()))
@@ -333,22 +343,25 @@ def cut(docs: DataFrame) -> DataFrame:
             columns = [new[c] if c == "text" or (c == "n_chars" and pa.types.is_int64(batch.column(c).type)) else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(stays, pa.bool_()))
 
-    return with_spans(docs).mapInArrow(rows, docs.schema)
+    return spanned.mapInArrow(rows, docs.schema)
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row of `docs`."""
+def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept_text of each row of `docs`; where a cut splits a
+    character, kept_text lacks the rest of it, which kept_sha256 does not."""
+    spanned, name = with_spans(docs.select("doc_id", "text"), window)
 
     def rows(batches):
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
         for batch in batches:
             out = []
-            for doc_id, text, spans in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                gone = removed(spans)
-                out.append((doc_id, len(text), sum(b - a for a, b in gone), len(gone), hashlib.sha256(kept(text, gone)).hexdigest()))
-            yield _batch(names, [_L, _L, _L, _L, pa.string()], out)
+            for doc_id, text, spans in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "text", name)], strict=True):
+                raw, gone = (text or "").encode(), removed(spans, window)
+                left = kept(raw, gone)
+                out.append((doc_id, len(raw), sum(b - a for a, b in gone), len(gone), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore")))
+            yield _batch(names, [_L, _L, _L, _L, pa.string(), pa.string()], out)
 
-    return with_spans(docs.select("doc_id", "text")).select("doc_id", "_bytes", "_spans").mapInArrow(rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return spanned.mapInArrow(rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,6 +63,46 @@ def test_quality_fence_follows_its_group(spark):
     assert 100 not in kept and {200 + k for k in range(40)} <= kept and set(range(40)) <= kept
 
 
+def test_quality_verdicts_against_a_plain_version(spark):
+    """The quantiles of a group are read from sorted values instead of sketches."""
+    r = np.random.default_rng(8)
+    rows = []
+    for k in range(260):
+        word = lambda: "".join("abcdefgh"[x] for x in r.integers(0, 8, int(r.integers(2, 8 if k % 9 else 16))))
+        text = " ".join(word().capitalize() if r.random() < (0.02 if k % 7 else 0.5) else word() for _ in range(int(r.integers(40, 120))))
+        rows.append((k, text + " #" * int(r.integers(0, 30)) * (k % 5 == 0), "en" if k % 3 else "de", ("a", "b", "b", "b", "c")[k % 5] if k > 6 else None))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    values = {x.doc_id: x for x in quality_rules.measure(docs).collect()}
+    group = {i: (lang, source) for i, _, lang, source in rows}
+    cut = lambda v: v - v % (1 << max(0, v.bit_length() - 7))
+
+    def quartiles(rate, members):
+        v = sorted(cut(values[i][f"_q_{rate}"]) for i in members)
+        return v[-(-len(v) // 4) - 1], v[-(-3 * len(v) // 4) - 1], len(v)
+
+    def kept(i):
+        if values[i].base_failed:
+            return False
+        lang, source = group[i]
+        good = [j for j in values if not values[j].base_failed]
+        levels = [[j for j in good if group[j] == group[i]], [j for j in good if group[j][0] == lang], [j for j in good if group[j][1] == source], good]
+        level = next(k for k, m in enumerate(levels) if len(m) >= quality_rules.MIN_GROUP or k == 3)
+        for rate in quality_rules.RATES:
+            q1, q3, _ = quartiles(rate, levels[level])
+            spread = q3 - q1
+            if level == 0:
+                peers = [quartiles(rate, [j for j in good if group[j] == g]) for g in {group[j] for j in levels[1]}]
+                spread = max(spread, sum((high - low) * n for low, high, n in peers) // sum(n for *_, n in peers))
+            reach = max(quality_rules.REACH * spread, quality_rules.SLACK[rate])
+            v = values[i][f"_q_{rate}"]
+            if v > q3 + reach or rate in quality_rules.BOTH_SIDES and v < q1 - reach:
+                return False
+        return True
+
+    out = {x.doc_id: x.kept for x in quality_rules.quality_rules(docs).collect()}
+    assert out == {i: kept(i) for i in values} and 0 < sum(out.values()) < len(out)
+
+
 def test_quality_small_groups_meet_a_fence(spark):
     """Groups of fewer than MIN_GROUP documents are judged by their language, then their source, then all rows."""
     plain, marked = " ".join(f"w{j}" for j in range(60)), " ".join(f"#w{j}" for j in range(60))
@@ -187,12 +227,12 @@ def test_warc_bundle_is_seekable_and_one_stream(tmp_path):
     assert stream.read() == b"".join(data)
 
 
-def plain_links(rows):
+def plain_links(rows, n=4, percent=85):
     """doc_id -> (n_shingles, component)."""
     sets, parent = {}, {}
     for r in rows:
         w = (r.text or "").encode().lower().split()
-        sets[r.doc_id] = {tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if w else set()
+        sets[r.doc_id] = {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
         parent[r.doc_id] = r.doc_id
 
     def root(x):
@@ -204,7 +244,7 @@ def plain_links(rows):
     for k, a in enumerate(ids):
         for b in ids[:k]:
             both = len(sets[a] & sets[b])
-            if both and 100 * both >= 85 * len(sets[a] | sets[b]):
+            if both and 100 * both >= percent * len(sets[a] | sets[b]):
                 x, y = root(a), root(b)
                 parent[max(x, y)] = min(x, y)
     return {i: (len(sets[i]), root(i)) for i in ids}
@@ -296,17 +336,19 @@ def test_suffix_array(symbols):
             assert a[:n] == b[:n] and a[n : n + 1] != b[n : n + 1] or min(len(a), len(b)) == n
 
 
-def plain_dedup(texts):
+def plain_dedup(texts, window=400):
+    """Of each text: n_bytes, n_removed, n_spans, digest and text of what is left."""
     data = [(t or "").encode() for t in texts]
-    n = Counter(d[p : p + 400] for d in data for p in range(len(d) - 399))
+    n = Counter(d[p : p + window] for d in data for p in range(len(d) - window + 1))
     out = []
     for d in data:
         gone = bytearray(len(d))
-        for p in range(len(d) - 399):
-            if n[d[p : p + 400]] > 1:
-                gone[p : p + 400] = b"\1" * 400
+        for p in range(len(d) - window + 1):
+            if n[d[p : p + window]] > 1:
+                gone[p : p + window] = b"\1" * window
         spans = sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))
-        out.append((len(d), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(d, gone, strict=True) if not g)).hexdigest()))
+        left = bytes(x for x, g in zip(d, gone, strict=True) if not g)
+        out.append((len(d), sum(gone), spans, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore")))
     return out
 
 
@@ -339,6 +381,17 @@ def test_substring_dedup(docs, none):
     assert all(r.n_chars == len(r.text) for r in cut.where("text is not null").collect())
 
 
+def test_passages_of_fifty_words_are_cut(spark):
+    from tests.llm.conftest import prose
+
+    passage = prose(50, 52)
+    texts = [prose(51 + k, 80) + " " + passage + " " + prose(61 + k, 80) for k in range(4)] + [prose(71, 150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({"_w_spans": F.lit(1), "_W1": F.lit("x")})
+    assert len(passage) > substring_dedup.CUT_WINDOW
+    left = {r.doc_id: r.text for r in substring_dedup.cut(docs).collect()}
+    assert left == dict(enumerate(x[4] for x in plain_dedup(texts, substring_dedup.CUT_WINDOW))) and passage not in "".join(left.values())
+
+
 def test_runs_do_not_depend_on_pieces():
     text = ("".join(chr(97 + x) for x in np.random.default_rng(2).integers(0, 20, 3000)) + "ab" * 600).encode()
     whole = substring_dedup.runs(text)

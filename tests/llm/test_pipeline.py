@@ -6,8 +6,9 @@ from quillspan.llm import registry
 from quillspan.llm.bpe import default_tokenizer
 from quillspan.llm.mixing import mix
 from quillspan.llm.quality_rules import quality_rules
+from quillspan.llm.substring_dedup import CUT_WINDOW
 from tests.llm.conftest import prose
-from tests.llm.test_operators import plain_links
+from tests.llm.test_operators import plain_dedup, plain_links
 
 
 def test_every_operator_has_a_query():
@@ -60,19 +61,10 @@ def test_run_against_a_plain_version(spark, tmp_path):
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     good = {r.doc_id for r in quality_rules(docs).collect() if r.kept}
     rows = [r for r in docs.collect() if r.doc_id in good]
-    links = plain_links(rows)
+    links = plain_links(rows, corpus_pipeline.NEAR_NGRAM, corpus_pipeline.NEAR_PERCENT)
     rows = [r for r in rows if links[r.doc_id][1] == r.doc_id]
-    data = {r.doc_id: r.text.encode() for r in rows}
-    windows = Counter(d[p : p + 400] for d in data.values() for p in range(len(d) - 399))
-    texts = {}
-    for i, d in data.items():
-        gone = bytearray(len(d))
-        for p in range(len(d) - 399):
-            if windows[d[p : p + 400]] > 1:
-                gone[p : p + 400] = b"\1" * 400
-        text = bytes(x for x, g in zip(d, gone, strict=True) if not g).decode("utf-8", "ignore")
-        if not any(gone) or text.strip():
-            texts[i] = text
+    lefts = [x[4] for x in plain_dedup([r.text for r in rows], CUT_WINDOW)]
+    texts = {r.doc_id: x for r, x in zip(rows, lefts, strict=True) if x == r.text or x.strip()}
     left = spark.createDataFrame([(r.doc_id, texts[r.doc_id], r.source) for r in rows if r.doc_id in texts], "doc_id long, text string, source string")
     library = Tokenizer.from_str(default_tokenizer())
     expected = Counter()
