@@ -10,8 +10,9 @@ Buckets hold integers exactly up to 127 and with a relative width of 1/64 above,
 not depend on the order in which partial sketches meet.
 
 Defined results: a null text counts as empty and fails the base rules; a null language or source is
-a group of its own; repeated rows are judged one by one; an empty table gives an empty result.
-All columns of the input are kept; the working columns start with `_q_`.
+a group of its own; a text of any length is measured whole, in the task that reads it; repeated rows
+are judged one by one; an empty table gives an empty result. `keep_good` keeps all columns of its
+input, whatever their names; the working columns of `measure` start with `_q_`.
 """
 
 from __future__ import annotations
@@ -26,10 +27,11 @@ MIN_WORDS = 50
 #: Rates in thousandths, and on which side of the fence a document fails.
 RATES = ("symbols", "dup_lines", "repeats", "capitals", "word_length")
 BOTH_SIDES = ("word_length",)
-#: Fences stand this many interquartile ranges outside the quartiles, but never nearer than SLACK
-#: thousandths: a group whose quartiles coincide has no spread to measure by.
+#: Fences stand this many interquartile ranges outside the quartiles, the group's own or the mean range
+#: of the groups of its language, whichever is wider, but never nearer than SLACK thousandths: most texts have no symbols,
+#: repeated lines or windows at all, and where copies of one text fill a group its quartiles coincide.
 REACH = 4
-SLACK = {"symbols": 60, "dup_lines": 500, "repeats": 250, "capitals": 250, "word_length": 1500}
+SLACK = {"symbols": 60, "dup_lines": 500, "repeats": 250, "capitals": 20, "word_length": 750}
 #: Groups with fewer documents have no stable quartiles; a wider sketch gives their fence.
 MIN_GROUP = 20
 #: What sketches are merged by, narrowest first. The last holds all rows and serves however few they are.
@@ -121,7 +123,11 @@ def thresholds(sketches: DataFrame) -> DataFrame:
         F.max("total").alias("total"),
     )
     slack = F.create_map(*[F.lit(x) for r in RATES for x in (r, SLACK[r])])
-    reach = F.greatest(REACH * (F.col("q3") - F.col("q1")), F.element_at(slack, F.col("rate")).cast("long"))
+    quart = quart.withColumn("own", F.col("q3") - F.col("q1"))
+    peers = W.partitionBy("level", "lang", "rate")
+    mean = F.floor(F.sum(F.col("own") * F.col("total")).over(peers) / F.sum("total").over(peers))
+    quart = quart.withColumn("spread", F.when(F.col("level") == 0, F.greatest("own", mean)).otherwise(F.col("own")))
+    reach = F.greatest(REACH * F.col("spread"), F.element_at(slack, F.col("rate")).cast("long"))
     sides = quart.withColumns({"low": F.col("q1") - reach, "high": F.col("q3") + reach})
     pick = lambda side, r: F.max(F.when(F.col("rate") == r, F.col(side))).alias(f"_q_{side}_{r}")
     fences = [*[pick("high", r) for r in RATES], *[pick("low", r) for r in BOTH_SIDES]]
