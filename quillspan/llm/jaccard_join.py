@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import drop_folder, new_folder, release, settle, table
+from quillspan.llm.common import drop_folder, free_prefix, new_folder, release, settle, table
 from quillspan.llm.components import components
 
 #: Defaults, those of op5's contract.
@@ -374,15 +374,16 @@ def keep_one_of_each(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) ->
     some = docs.where(~alone)
     nameless = some.where("doc_id is null").select(own.alias("_n")).distinct()
     ids = link(some.select(own.alias("doc_id"), "text"), n, percent).groupBy("component_id", "doc_id").agg(F.count("*").alias("n_rows"))
+    p = free_prefix(docs.columns)
     ids = ids.join(nameless, ids["doc_id"] == nameless["_n"], "left")
-    first = F.min(F.struct(F.col("_n").isNotNull().alias("nameless"), F.col("doc_id").alias("_kept"), F.col("n_rows").alias("_n_rows")))
-    kept = settle(ids.groupBy("component_id").agg(first.alias("k")).select("k._kept", "k._n_rows"))
-    once, repeated = (kept.where(c).select("_kept") for c in ("_n_rows = 1", "_n_rows > 1"))
-    stays = some.join(once, own == F.col("_kept"), "left_semi").unionByName(docs.where(alone))
+    first = F.min(F.struct(F.col("_n").isNotNull().alias("nameless"), F.col("doc_id").alias("kept"), F.col("n_rows").alias("n_rows")))
+    kept = settle(ids.groupBy("component_id").agg(first.alias("k")).select(F.col("k.kept").alias(f"{p}kept"), "k.n_rows"))
+    once, repeated = (kept.where(c).select(f"{p}kept") for c in ("n_rows = 1", "n_rows > 1"))
+    stays = some.join(once, own == F.col(f"{p}kept"), "left_semi").unionByName(docs.where(alone))
     if repeated.isEmpty():
         return stays
-    least = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row")
-    return stays.unionByName(some.join(repeated, own == F.col("_kept")).groupBy("_kept").agg(least).select("_row.*"))
+    least = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row")
+    return stays.unionByName(some.join(repeated, own == F.col(f"{p}kept")).groupBy(f"{p}kept").agg(least).select("row.*"))
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

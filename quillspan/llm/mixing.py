@@ -8,10 +8,11 @@ duel. Duels run inside groups of about FAN documents; each group passes on one u
 and those meet in groups again: a reduction tree of depth log_FAN(documents). What a source takes
 so differs from its target by less than its longest document.
 
-Random draws are hashes of the seed and the document, so that reruns agree.
+Random draws are hashes of the seed and the document, so that reruns agree; rows that share doc_id,
+source and size are told apart by their texts.
 
 Defined results: a null text has size 0, and documents of size 0 take nothing; a null source is a
-source of its own, the last one; repeated rows (also of a null doc_id) are mixed as documents of
+source of its own, the last one; texts of any length count whole; repeated rows (also of a null doc_id) are mixed as documents of
 their own; an empty table gives an empty result. Columns of the input other than doc_id, text and
 source are not read by `mix` and are kept by `take_copies`.
 """
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quillspan.llm.common import join_dimension, let, settle, table, word_count
+from quillspan.llm.common import free_prefix, join_dimension, let, settle, table, word_count
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
@@ -104,15 +105,15 @@ def _round_group(docs: Column, seed: int) -> Column:
         met = F.when(acc["on"]["p"].isin(0.0, 1.0), F.struct(acc["on"].alias("out"), doc.alias("on"))).otherwise(_duel(acc["on"], doc, _draw(doc, seed)))
         return let(met, lambda m: F.struct(F.concat(acc["out"], F.array(m["out"])).alias("out"), m["on"].alias("on")))
 
-    return F.aggregate(F.slice(docs, 2, FAN * 1000), start, step)
+    return F.aggregate(F.slice(docs, F.lit(2), F.size(docs)), start, step)
 
 
 def mix(docs: DataFrame, seed: int = 10, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
-    """doc_id, tie (number of the row among rows of equal doc_id, source and size), source, size,
-    source_size, target, copies and taken of each row of `docs`."""
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    tie = F.row_number().over(W.partitionBy("doc_id", "source", "size").orderBy(F.lit(0)))
-    sized = settle(sized.withColumn("tie", tie))
+    """doc_id, tie (number of the row among rows of equal doc_id, source and size, by the hash of their
+    texts), source, size, source_size, target, copies and taken of each row of `docs`."""
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("digest"))
+    tie = F.row_number().over(W.partitionBy("doc_id", "source", "size").orderBy("digest"))
+    sized = settle(sized.withColumn("tie", tie).drop("digest"))
     goals = settle(targets(sized, weights, most))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     near = F.when(F.abs(ratio - F.round(ratio)) < SURE, F.round(ratio)).otherwise(ratio)
@@ -148,13 +149,15 @@ def mix(docs: DataFrame, seed: int = 10, weights: tuple[int, ...] = WEIGHTS, mos
 
 def take_copies(docs: DataFrame, seed: int = 10) -> DataFrame:
     """The rows of `docs` as often as the mix takes them, with the columns of `docs`."""
-    tie = F.row_number().over(W.partitionBy("_m_doc_id", "_m_source", "_m_size").orderBy(F.lit(0)))
-    here = docs.withColumns({"_m_doc_id": F.col("doc_id"), "_m_source": F.col("source"), "_m_size": word_count(F.col("text"))}).withColumn("_m_tie", tie)
-    took = mix(docs, seed).where("copies > 0").select(*[F.col(c).alias(f"_t_{c}") for c in ("doc_id", "source", "size", "tie", "copies")])
+    p = free_prefix(docs.columns)
+    key = ("doc_id", "source", "size", "tie")
+    here = docs.withColumns({f"{p}doc_id": F.col("doc_id"), f"{p}source": F.col("source"), f"{p}size": word_count(F.col("text")), f"{p}digest": F.xxhash64("text")})
+    here = here.withColumn(f"{p}tie", F.row_number().over(W.partitionBy(f"{p}doc_id", f"{p}source", f"{p}size").orderBy(f"{p}digest")))
+    took = mix(docs, seed).where("copies > 0").select(*[F.col(c).alias(f"{p}t_{c}") for c in (*key, "copies")])
     same = F.lit(True)
-    for c in ("doc_id", "source", "size", "tie"):
-        same = same & F.col(f"_m_{c}").eqNullSafe(F.col(f"_t_{c}"))
-    twice = here.join(took, same).withColumn("_t_copy", F.explode(F.sequence(F.lit(1), F.col("_t_copies").cast("int"))))
+    for c in key:
+        same = same & F.col(p + c).eqNullSafe(F.col(f"{p}t_{c}"))
+    twice = here.join(took, same).withColumn(f"{p}copy", F.explode(F.sequence(F.lit(1), F.col(f"{p}t_copies").cast("int"))))
     return twice.select(*docs.columns)
 
 
