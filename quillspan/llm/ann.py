@@ -12,12 +12,15 @@ pigeonhole principle, all codes within m (t + 1) - 1 bits of a query's code of m
 then been met. It ends when WANTED codes lie within a radius that is covered; all codes within the
 least such radius are ranked by the inner product of the original vectors, in double precision. Once
 a level would need more probes than the block has rows, the rest of the block's codes are compared
-without the tables, which covers every radius.
+without the tables, which covers every radius. Where the nearest vectors stand out, as in clustered
+data, a level or two settle a query; where they hardly do, as among vectors of random directions, no
+radius that holds them is smaller than what comparing all codes costs, and that comparison decides.
 
 Defined results: a null vector, a zero vector, one with null or non-finite components, one of
-another dimension than most rows have, and one with a null vec_id take no part; rows that share a
-vec_id count once, with the least vector; equal scores rank by vec_id; a query with fewer candidates
-returns them all; an empty table gives an empty result. Other columns are not read.
+another dimension than most rows have (no inner product is defined between the two), and one with a
+null vec_id take no part; rows that share a vec_id are rows of their own, queries and candidates of
+each other; equal scores rank by vec_id; a query with fewer candidates returns them all; an empty
+table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -109,12 +112,12 @@ class MultiIndex:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v): the rows that take part."""
+    """(vec_id, copy, v): the rows that take part; copy tells the rows of a vec_id apart, once settled."""
     v = F.col("embedding").cast("array<double>")
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.where("vec_id is not null and embedding is not null").select("vec_id", v.alias("v"))
     rows = rows.where(F.coalesce(fine, F.lit(False))).where(F.exists("v", lambda x: x != 0))
-    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
+    return rows.withColumn("copy", F.monotonically_increasing_id())
 
 
 def nearest(vectors: DataFrame, every: int = EVERY, k: int = NEAREST) -> DataFrame:
@@ -127,34 +130,34 @@ def nearest(vectors: DataFrame, every: int = EVERY, k: int = NEAREST) -> DataFra
     square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     n, longest = rows.agg(F.count("*"), F.max(square)).first()
     longest = longest or 0.0
-    sample = [r["v"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()]  # bounded by SAMPLE
+    sample = [r["v"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).collect()]  # bounded by SAMPLE
     fitted = np.array(sample, np.float64).reshape(len(sample), dimension)
     sent = spark.sparkContext.broadcast(rotations(_extended(fitted, longest)))
 
     blocks = max(1, -(-n // BLOCK_ROWS))
     n_queries = rows.where(F.col("vec_id") % every == 0).count()
     parts = max(1, -(-n_queries // BLOCK_ROWS))
-    index = rows.withColumns({"block": F.pmod(F.xxhash64("vec_id"), F.lit(blocks)), "part": F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))})
+    index = rows.withColumns({"block": F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)), "part": F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))})
     asked = rows.where(F.col("vec_id") % every == 0)
-    asked = asked.withColumns({"part": F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(parts)).cast("int"), "block": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))})
+    asked = asked.withColumns({"part": F.pmod(F.xxhash64(F.lit(1), "vec_id", "v"), F.lit(parts)).cast("int"), "block": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))})
 
     def search(queries: pa.Table, block: pa.Table) -> pa.Table:
-        q_ids, q = _matrix(queries, dimension)
-        ids, x = _matrix(block, dimension)
+        q_ids, q_copies, q = _matrix(queries, dimension)
+        ids, copies, x = _matrix(block, dimension)
         index_ = MultiIndex(codes(_extended(x, longest), sent.value))
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for query, vector, code in zip(q_ids, q, codes(np.pad(q, ((0, 0), (0, 1))), sent.value), strict=True):
+        out: list[tuple[np.ndarray, ...]] = []
+        for query, copy, vector, code in zip(q_ids, q_copies, q, codes(np.pad(q, ((0, 0), (0, 1))), sent.value), strict=True):
             near = index_.near(code)
-            near = near[ids[near] != query]
+            near = near[(ids[near] != query) | (copies[near] != copy)]
             score = np.einsum("ij,j->i", x[near], vector)
             best = np.lexsort((ids[near], -score))[:k]
-            out.append((np.full(len(best), query), ids[near][best], score[best]))
-        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
-        return pa.table([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
+            out.append((np.full(len(best), query), np.full(len(best), copy), ids[near][best], score[best]))
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+        return pa.table([pa.array(c) for c in columns], names=["query_id", "copy", "vec_id", "score"])
 
-    pairs = asked.select("part", "block", "vec_id", "v").groupBy("part", "block").cogroup(index.select("part", "block", "vec_id", "v").groupBy("part", "block"))
-    found = pairs.applyInArrow(search, "query_id long, vec_id long, score double")
-    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    pairs = asked.select("part", "block", "vec_id", "copy", "v").groupBy("part", "block").cogroup(index.select("part", "block", "vec_id", "copy", "v").groupBy("part", "block"))
+    found = pairs.applyInArrow(search, "query_id long, copy long, vec_id long, score double")
+    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id", "copy").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -163,9 +166,9 @@ def _extended(x: np.ndarray, longest: float) -> np.ndarray:
     return np.concatenate([x, rest[:, None]], axis=1)
 
 
-def _matrix(rows: pa.Table, dimension: int) -> tuple[np.ndarray, np.ndarray]:
+def _matrix(rows: pa.Table, dimension: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     flat = rows.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    return rows.column("vec_id").to_numpy(), flat.reshape(rows.num_rows, dimension)
+    return rows.column("vec_id").to_numpy(), rows.column("copy").to_numpy(), flat.reshape(rows.num_rows, dimension)
 
 
 def op9_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -459,6 +459,9 @@ def test_nearest_vectors(spark):
         hits += len({o.vec_id for o in found} & set(order))
     assert hits >= 0.9 * 20 * len(by_query)
     few = ann.nearest(table.where("vec_id in (0, 1, 2, 20)")).collect()
+    twice = spark.createDataFrame([(20, [1.0, 0.0]), (20, [1.0, 0.0]), (20, [0.6, 0.8]), (21, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    near = Counter((o.query_id, o["rank"], o.vec_id, round(o.score, 6)) for o in ann.nearest(twice).collect())
+    assert near == Counter([(20, 1, 20, 1.0), (20, 2, 20, 0.6), (20, 3, 21, 0.0)] * 2 + [(20, 1, 21, 0.8), (20, 2, 20, 0.6), (20, 3, 20, 0.6)])
     assert len(few) == 6 and ann.nearest(table.limit(0)).count() == 0
 
 
