@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quillspan.functions.text import directory, top_directory
+from quillspan.session import checkpoint_folder
 
 #: What a relative specifier may stand for, in order of preference.
 SUFFIXES = ("", ".ts", ".tsx", ".js", ".jsx", ".mjs", "/index.ts", "/index.tsx", "/index.js", "/index.jsx")
@@ -74,11 +75,26 @@ def new_edges(after: DataFrame, before: DataFrame, key: list[str]) -> DataFrame:
     return after.join(before.select(*key).distinct(), key, "left_anti")
 
 
-def within_steps(edges: DataFrame, start: DataFrame, steps: int) -> DataFrame:
-    """(origin, node, distance): nodes that each origin reaches in at most `steps` edges, with the shortest distance.
+def cyclic_core(edges: DataFrame) -> DataFrame:
+    """The edges left when nodes without an edge in or out are dropped again and again: cycles and what joins them."""
+    checkpoint_folder(edges.sparkSession)
+    e = edges.checkpoint()
+    before, n = -1, e.count()
+    while n != before:
+        heads = e.select(F.col("source").alias("target")).distinct()
+        tails = e.select(F.col("target").alias("source")).distinct()
+        e = e.join(heads, "target", "left_semi").join(tails, "source", "left_semi").select("source", "target").checkpoint()
+        before, n = n, e.count()
+    return e
+
+
+def within_steps(edges: DataFrame, start: DataFrame, steps: int | None = None) -> DataFrame:
+    """(origin, node, distance): nodes that each origin reaches in at most `steps` edges, or in any number, with the shortest distance.
 
     Each step joins the frontier to the edges and drops what was reached before.
     """
+    if steps is None:
+        return _closure(edges, start)
     e = edges.select(F.col("source").alias("_s"), F.col("target").alias("_t")).distinct()
     seen = start.select("origin", F.col("origin").alias("node"), F.lit(0).alias("distance"))
     front = seen
@@ -89,6 +105,19 @@ def within_steps(edges: DataFrame, start: DataFrame, steps: int) -> DataFrame:
     return seen
 
 
+def _closure(edges: DataFrame, start: DataFrame) -> DataFrame:
+    checkpoint_folder(edges.sparkSession)
+    e = edges.select(F.col("source").alias("_s"), F.col("target").alias("_t")).distinct().checkpoint()
+    seen = start.select("origin", F.col("origin").alias("node"), F.lit(0).alias("distance")).distinct().checkpoint()
+    front, k = seen, 0
+    while not front.isEmpty():
+        k += 1
+        ahead = front.join(e, front["node"] == e["_s"]).select("origin", F.col("_t").alias("node")).distinct()
+        front = ahead.join(seen.select("origin", "node"), ["origin", "node"], "left_anti").withColumn("distance", F.lit(k)).checkpoint()
+        seen = seen.unionByName(front)
+    return seen.checkpoint()
+
+
 def first_callers(calls: DataFrame, owner: list[str], order: list[str], most: int = 20) -> DataFrame:
     """The first `most` call sites of each owner, and how many there are in all."""
     by = W.partitionBy(*owner)

@@ -26,7 +26,7 @@ class PatternRule(NamedTuple):
 
     @property
     def rule_id(self) -> str:
-        return f"jev/no-{self.name}"
+        return f"quill/{self.name}"
 
 
 def _f(name: str, message: str, *needs: str, unless: str | None = None, least: int = 1) -> PatternRule:

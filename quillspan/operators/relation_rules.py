@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quillspan.functions.text import directory, name_tokens, normalize_source, top_directory
-from quillspan.operators.modules import first_callers, new_edges, within_steps
+from quillspan.operators.modules import cyclic_core, first_callers, new_edges, within_steps
 from quillspan.operators.similarity import clumps, shared_items
 
 HEAD = r"(?m)^\s*(export\s+)?(?:default\s+)?(?:async\s+)?(?:function\s+([\w$]+)\s*(?:<[^>]*>)?\(([^)]*)\)|const\s+([\w$]+)\s*=\s*(?:async\s*)?\(([^)]*)\)\s*(?::[^=]+)?=>)"
@@ -20,6 +20,7 @@ CALL = r"(?<![\w$.])([A-Za-z_$][\w$]*)\s*\(([^()]*)\)"
 NO_CALL = ("if", "for", "while", "switch", "catch", "function", "return", "typeof", "await", "new")
 TEST_FILE = r"\.(test|spec)\.[cm]?[jt]sx?$"
 INDEX_FILE = r"(^|/)index\.[cm]?[jt]sx?$"
+#: Fixed value: how many callers of a function are named.
 MOST_CALLERS = 20
 
 
@@ -73,7 +74,7 @@ def single_caller_exported_helper(functions: DataFrame, calls: DataFrame) -> Dat
 def data_clump(functions: DataFrame) -> DataFrame:
     """Three parameter names that three functions or more share."""
     members = functions.select(F.concat_ws("#", "file_path", "name").alias("owner"), F.explode("parameters").alias("item"))
-    return clumps(members, "owner", "item", 3, 3, most_items=10)
+    return clumps(members, "owner", "item", 3, 3)
 
 
 def duplicated_logic(functions: DataFrame, least: int = 3) -> DataFrame:
@@ -201,11 +202,11 @@ def dev_dependency_runtime_leak(imports: DataFrame, dependencies: DataFrame) ->
     return p.join(sections.select("name"), "name", "left_semi").select("file_path", "name")
 
 
-def import_cycle_tangle(edges: DataFrame, changed: DataFrame, steps: int = 8) -> DataFrame:
-    """Changed files (column node) that reach themselves, with the length of the shortest cycle."""
-    e = edges.where("source <> target")
-    starts = changed.select(F.col("node").alias("origin"))
-    reach = within_steps(e, starts, steps - 1)
+def import_cycle_tangle(edges: DataFrame, changed: DataFrame) -> DataFrame:
+    """Changed files (column node) that reach themselves, with the length of the shortest cycle, however long."""
+    e = cyclic_core(edges.where("source <> target").select("source", "target").distinct())
+    starts = changed.select(F.col("node").alias("origin")).join(e.select(F.col("source").alias("origin")).distinct(), "origin", "left_semi")
+    reach = within_steps(e, starts)
     back = e.select(F.col("source").alias("_s"), F.col("target").alias("_t")).distinct()
     cycles = reach.join(back, (F.col("node") == F.col("_s")) & (F.col("origin") == F.col("_t")))
     return cycles.groupBy("origin").agg((F.min("distance") + 1).alias("length"))

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quillspan.session import checkpoint_folder
+
 #: Limits of one request and of a report.
 MOST_QUESTIONS, MOST_CHARACTERS = 24, 48_000
 MOST_FAILURE_TEXT, SHOWN, SHOWN_FAILURES = 500, 5, 20
@@ -148,6 +150,17 @@ def audit_order(candidates: DataFrame) -> list[Column]:
     return [category_rank(F.col("kind"), KIND_ORDER), F.desc("in_degree"), F.col("start"), F.col("file_path")]
 
 
+def numbered(rows: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
+    """Adds the number from 1 of each row in a total order, without gathering the rows in one task."""
+    checkpoint_folder(rows.sparkSession)
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+    part = F.shiftright("_at", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # a row for each partition
+    before = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
+    number = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return placed.join(F.broadcast(before), part == F.col("_part")).withColumn(name, number).drop("_at", "_part", "_before")
+
+
 def cap(candidates: DataFrame, order: list[Column], most: int) -> DataFrame:
     """Adds `asked`: whether a candidate is among the first `most`. The cut is found from the `most` rows that
     Spark's top-k keeps, not by a sort of all."""

@@ -2,45 +2,47 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: Items of more owners than this say nothing about two of them, and are left to `shared_items`' caller.
-COMMON = 64
-
 
-def shared_items(items: DataFrame, owner: str, item: str, least: int, common: int = COMMON) -> DataFrame:
+def shared_items(items: DataFrame, owner: str, item: str, least: int) -> DataFrame:
     """(left, right, shared, jaccard) of owners that share `least` items or more, from an inverted index.
 
-    Items of more than `common` owners are left out on both sides, which bounds the pairs of an item.
+    Of two such owners of n items, one of the n - least + 1 rarest of each is among those of the other, so that
+    only these are indexed; pairs are then compared as whole sets. Every item counts, however many owners it has.
     """
     rows = items.select(F.col(owner).alias("o"), F.col(item).alias("i")).where("o is not null and i is not null").distinct()
-    rare = rows.groupBy("i").agg(F.count("*").alias("n")).where(F.col("n") <= common).select("i")
-    rows = rows.join(rare, "i")
-    sizes = rows.groupBy("o").agg(F.count("*").alias("size"))
-    other = rows.select(F.col("i").alias("_i"), F.col("o").alias("right"))
-    pairs = rows.withColumnRenamed("o", "left").join(other, (F.col("i") == F.col("_i")) & (F.col("left") < F.col("right")))
-    pairs = pairs.groupBy("left", "right").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
-    pairs = pairs.join(sizes.select(F.col("o").alias("left"), F.col("size").alias("left_size")), "left")
-    pairs = pairs.join(sizes.select(F.col("o").alias("right"), F.col("size").alias("right_size")), "right")
-    jaccard = F.col("shared") / (F.col("left_size") + F.col("right_size") - F.col("shared"))
+    counts = rows.groupBy("i").agg(F.count("*").alias("n"))
+    ordered = rows.join(counts, "i").groupBy("o").agg(F.sort_array(F.collect_list(F.struct("n", "i"))).alias("x")).where(F.size("x") >= least)
+    sets = ordered.select("o", F.transform("x", lambda e: e["i"]).alias("all"))
+    rare = ordered.select("o", F.explode(F.slice("x", F.lit(1), F.size("x") - (least - 1))).alias("e")).where("e.n > 1").select("o", "e.i")
+    other = rare.select(F.col("i").alias("_i"), F.col("o").alias("right"))
+    pairs = rare.withColumnRenamed("o", "left").join(other, (F.col("i") == F.col("_i")) & (F.col("left") < F.col("right"))).select("left", "right").distinct()
+    pairs = pairs.join(sets.select(F.col("o").alias("left"), F.col("all").alias("_l")), "left").join(sets.select(F.col("o").alias("right"), F.col("all").alias("_r")), "right")
+    pairs = pairs.withColumn("shared", F.size(F.array_intersect("_l", "_r")).cast("long")).where(F.col("shared") >= least)
+    jaccard = F.col("shared") / (F.size("_l") + F.size("_r") - F.col("shared"))
     return pairs.select("left", "right", "shared", F.round(jaccard, 3).alias("jaccard"))
 
 
-def clumps(members: DataFrame, owner: str, item: str, size: int, least: int, most_items: int = 12) -> DataFrame:
+def clumps(members: DataFrame, owner: str, item: str, size: int, least: int) -> DataFrame:
     """Groups of `size` items (item_1 < item_2 ...) that occur together in `least` owners or more.
 
-    The first `most_items` items of an owner count, so that an owner's groups are bounded.
+    Groups grow by one item at a time, from those that are in enough owners already.
     """
-    lists = members.groupBy(owner).agg(F.slice(F.array_sort(F.collect_set(item)), 1, most_items).alias("items"))
-    picks = F.array(*[F.array(*[F.lit(k) for k in c]) for c in combinations(range(most_items), size)])
-    fitting = F.filter(picks, lambda c: F.element_at(c, -1) < F.size("items"))
-    groups = lists.select(owner, F.explode(F.transform(fitting, lambda c: F.transform(c, lambda k: F.get("items", k)))).alias("clump"))
-    found = groups.groupBy("clump").agg(F.count("*").alias("owners")).where(F.col("owners") >= least)
-    return found.select(*[F.get("clump", F.lit(k)).alias(f"item_{k + 1}") for k in range(size)], "owners")
+    rows = members.select(F.col(owner).alias("o"), F.col(item).alias("i")).where("o is not null and i is not null").distinct()
+    frequent = rows.groupBy("i").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("i")
+    rows = rows.join(frequent, "i")
+    more = rows.select(F.col("o").alias("_o"), F.col("i").alias("_i"))
+    found = rows.select("o", F.array("i").alias("clump"))
+    for _ in range(size - 1):
+        found = found.join(more, (F.col("o") == F.col("_o")) & (F.element_at("clump", -1) < F.col("_i"))).select("o", F.concat("clump", F.array("_i")).alias("clump"))
+        counts = found.groupBy("clump").agg(F.count("*").alias("owners")).where(F.col("owners") >= least)
+        found = found.join(counts.select("clump"), "clump", "left_semi")
+    if size == 1:
+        counts = found.groupBy("clump").agg(F.count("*").alias("owners")).where(F.col("owners") >= least)
+    return counts.select(*[F.get("clump", F.lit(k)).alias(f"item_{k + 1}") for k in range(size)], "owners")
 
 
 def multiset_overlap(counts: DataFrame, pairs: DataFrame, owner: str, item: str, n: str) -> DataFrame:

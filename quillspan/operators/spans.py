@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -41,9 +41,13 @@ def candidates(files: DataFrame) -> DataFrame:
     run = F.sum(starts_comment.cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0))
     comments = rows.withColumn("run", run).where("kind = 'comment'").groupBy("file_path", "run")
     comments = comments.agg(F.min("line_number").alias("start_line"), F.max("line_number").alias("end_line")).select("file_path", F.lit("comment").alias("kind"), "start_line", "end_line")
-    heads = rows.where("kind in ('function', 'abstraction')").select(F.col("file_path").alias("_f"), F.col("kind").alias("_k"), F.col("line_number").alias("_at"), F.col("before").alias("_depth"))
-    met = rows.join(heads, (F.col("file_path") == F.col("_f")) & (F.col("line_number") >= F.col("_at")) & (F.col("after") <= F.col("_depth")))
-    blocks = met.groupBy("file_path", "_k", "_at").agg(F.min("line_number").alias("end_line")).select("file_path", F.col("_k").alias("kind"), F.col("_at").alias("start_line"), "end_line")
+    # a line that ends at a lower depth closes each depth in between; a head ends with the next line that closes its own
+    heads = rows.where("kind in ('function', 'abstraction')").select("file_path", F.col("before").alias("depth"), "line_number", "kind", (F.col("after") <= F.col("before")).alias("closed"))
+    closing = rows.where("after < before").select("file_path", F.explode(F.sequence("after", F.col("before") - 1)).alias("depth"), "line_number", F.lit(None).cast("string").alias("kind"), F.lit(False).alias("closed"))
+    level = W.partitionBy("file_path", "depth").orderBy("line_number")
+    ends = F.min(F.when(F.col("kind").isNull(), F.col("line_number"))).over(level.rangeBetween(1, W.unboundedFollowing))
+    blocks = heads.unionByName(closing).withColumn("end_line", F.when(F.col("closed"), F.col("line_number")).otherwise(ends))
+    blocks = blocks.where("kind is not null and end_line is not null").select("file_path", "kind", F.col("line_number").alias("start_line"), "end_line")
     number = F.row_number().over(W.partitionBy("file_path").orderBy("start_line", "end_line", "kind")) - 1
     return comments.unionByName(blocks).withColumn("id", F.concat(F.lit("candidate_"), number.cast("string")))
 
@@ -90,7 +94,3 @@ def whole_file(files: DataFrame, path: str = "file_path", source: str = "source"
     """(path, start, end): all lines of a file as one range; a line feed at the end opens no line."""
     text = F.regexp_replace(F.col(source), "\n$", "")
     return files.select(path, F.lit(1).alias("start"), F.size(F.split(text, "\n")).alias("end"))
-
-
-def span_key(*parts: Column) -> Column:
-    return F.concat_ws(":", *[p.cast("string") for p in parts])

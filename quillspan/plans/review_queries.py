@@ -42,12 +42,10 @@ def abstention_counts(spark, sf_dir):
     return R.abstentions(_asked(spark, sf_dir))
 
 
-@query(f"SELECT event_id, CAST(row_number() OVER (ORDER BY {_CATEGORY_SQL}, value DESC NULLS LAST, event_id) AS INT) AS position FROM events QUALIFY position <= 200")
+@query(f"SELECT event_id, CAST(row_number() OVER (ORDER BY {_CATEGORY_SQL}, value DESC NULLS LAST, event_id) AS BIGINT) AS position FROM events")
 def judgment_order(spark, sf_dir):
     e = _t(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("category"), F.col("value").alias("probability"))
-    order = [*R.ranked(e, CATEGORIES), F.col("event_id")]
-    top = e.orderBy(*order).limit(200)
-    return top.select("event_id", F.row_number().over(W.orderBy(*order)).alias("position"))
+    return R.numbered(e, [*R.ranked(e, CATEGORIES), F.col("event_id")]).select("event_id", "position")
 
 
 @query(f"SELECT event_id, value AS probability FROM events WHERE value >= 40 ORDER BY {_CATEGORY_SQL}, value DESC, event_id LIMIT 5")
@@ -66,16 +64,18 @@ def coverage_omitted(spark, sf_dir):
 
 
 @query(
-    """WITH RECURSIVE r AS (SELECT source, doc_id, least(n_chars, 20000) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
-p AS (SELECT source, i, doc_id, n AS used, 1 AS held, CAST(0 AS BIGINT) AS batch FROM r WHERE i = 1
-  UNION ALL SELECT r.source, r.i, r.doc_id, CASE WHEN held = 24 OR used + r.n > 48000 THEN r.n ELSE used + r.n END,
+    """WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+r AS (SELECT doc_id, CAST(i AS BIGINT) AS i, CAST(len(line) AS BIGINT) AS n FROM l),
+p AS (SELECT doc_id, i, n AS used, 1 AS held, CAST(0 AS BIGINT) AS batch FROM r WHERE i = 1
+  UNION ALL SELECT r.doc_id, r.i, CASE WHEN held = 24 OR used + r.n > 48000 THEN r.n ELSE used + r.n END,
     CASE WHEN held = 24 OR used + r.n > 48000 THEN 1 ELSE held + 1 END, CASE WHEN held = 24 OR used + r.n > 48000 THEN batch + 1 ELSE batch END
-  FROM p JOIN r ON r.source = p.source AND r.i = p.i + 1)
-SELECT source, doc_id, batch FROM p"""
+  FROM p JOIN r ON r.doc_id = p.doc_id AND r.i = p.i + 1)
+SELECT doc_id, i AS line_number, batch FROM p"""
 )
 def batch_packing(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents").select("source", "doc_id", F.least("n_chars", F.lit(20000)).alias("n"))
-    return R.batches(d, "source", ["doc_id"], "n").select("source", "doc_id", "batch")
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    d = d.select("doc_id", (F.col("at") + 1).cast("long").alias("line_number"), F.length("line").cast("long").alias("n"))
+    return R.batches(d, "doc_id", ["line_number"], "n").select("doc_id", "line_number", "batch")
 
 
 @query("SELECT sha256(text) AS digest, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1")
@@ -135,11 +135,11 @@ def rule_timings(spark, sf_dir):
 
 @query(
     """SELECT doc_id, '::notice file=' || replace(replace(source, '%', '%25'), ',', '%2C') || ',line=1::' ||
-  replace(replace(replace(substr(text, 1, 40), '%', '%25'), chr(13), '%0D'), chr(10), '%0A') AS line FROM documents"""
+  replace(replace(replace(text, '%', '%25'), chr(13), '%0D'), chr(10), '%0A') AS line FROM documents"""
 )
 def annotations(spark, sf_dir):
     d = _t(spark, sf_dir, "documents")
-    line = F.concat(F.lit("::notice file="), T.escape_annotation(F.col("source"), True), F.lit(",line=1::"), T.escape_annotation(F.substring("text", 1, 40)))
+    line = F.concat(F.lit("::notice file="), T.escape_annotation(F.col("source"), True), F.lit(",line=1::"), T.escape_annotation(F.col("text")))
     return d.select("doc_id", line.alias("line"))
 
 
@@ -151,13 +151,13 @@ def path_scope(spark, sf_dir):
 
 
 @query(
-    """SELECT source, CAST(count(*) AS BIGINT) AS n, CAST(sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS BIGINT) AS good, sha256(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id)) AS artifact
+    """SELECT source, CAST(count(*) AS BIGINT) AS n, CAST(sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS BIGINT) AS good, bit_xor(CAST('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT)) AS artifact
 FROM documents JOIN labels USING (doc_id) GROUP BY source"""
 )
 def file_artifacts(spark, sf_dir):
     d = _t(spark, sf_dir, "documents").select("doc_id", "source").join(_t(spark, sf_dir, "labels"), "doc_id")
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",")
-    return d.groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("quality") == 1).alias("good"), F.sha2(ids, 256).alias("artifact"))
+    part = F.conv(F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 15), 16, 10).cast("long")
+    return d.groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("quality") == 1).alias("good"), F.bit_xor(part).alias("artifact"))
 
 
 @query(
@@ -181,12 +181,11 @@ def adjoining_comments(spark, sf_dir):
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of documents as candidates, two line rules, abstentions left out, stub scores, the best five of each rule."""
+    """Lines of documents as candidates, two line rules, abstentions left out, the five longest of each rule; nothing is scored."""
     lines = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_number", "line"))
     kind = F.when(F.col("line").rlike(r"\|"), "table").when(F.col("line").rlike("(?i)licen[cs]ed? under"), "license")
     rules = spark.createDataFrame([("long-table", "table"), ("license-line", "license")], "rule_id string, scope string")
     met = lines.withColumn("kind", kind).where("kind is not null").join(F.broadcast(rules), F.col("kind") == F.col("scope"))
     asked = met.where((F.col("kind") == "license") | (F.length("line") > 200))
-    scored = asked.withColumn("probability", R.stub_probability(F.sha2(F.concat_ws(":", "rule_id", "line"), 256)))
-    best = W.partitionBy("rule_id").orderBy(F.desc("probability"), "doc_id", "line_number")
-    return scored.withColumn("position", F.row_number().over(best)).where(F.col("position") <= R.SHOWN).select("rule_id", "position", "doc_id", "line_number", "probability")
+    best = W.partitionBy("rule_id").orderBy(F.desc(F.length("line")), "doc_id", "line_number")
+    return asked.withColumn("position", F.row_number().over(best)).where(F.col("position") <= R.SHOWN).select("rule_id", "position", "doc_id", "line_number", F.length("line").alias("n_chars"))

@@ -110,14 +110,14 @@ def test_pattern_rules_hit_and_abstain(spark):
     rows = [("f", f"{n}{k}", "function", t) for n, pair in cases.items() for k, t in enumerate(pair)]
     found = {(r.id, r.rule_id) for r in pattern_rules.pattern_evidence(spark.createDataFrame(rows, "file_path string, id string, kind string, text string")).collect()}
     for name in cases:
-        assert (f"{name}0", f"jev/no-{name}") in found and (f"{name}1", f"jev/no-{name}") not in found
+        assert (f"{name}0", f"quill/{name}") in found and (f"{name}1", f"quill/{name}") not in found
 
 
 def test_audit_review_and_cache(spark, repository, tmp_path):
     rules = spark.createDataFrame([*api.default_rules(), ("own/extra", "function", "security", "extra")], "rule_id string, scope string, category string, message string")
     report = api.audit(repository, rules)
     j = report.judgments.collect()
-    assert {"jev/no-swallowed-error", "jev/no-bare-json-parse", "own/extra"} <= {r.rule_id for r in j} and all(0 <= r.probability <= 1 for r in j)
+    assert {"quill/swallowed-error", "quill/bare-json-parse", "own/extra"} <= {r.rule_id for r in j} and all(0 <= r.probability <= 1 for r in j)
     total = report.summary().first()
     candidates = repository.candidates.groupBy("kind").count().collect()
     per_kind = {r.kind: r["count"] for r in candidates}
@@ -229,4 +229,4 @@ def test_stream(spark, tmp_path):
     q = incremental.start(incremental.file_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state"), once=True)
     q.awaitTermination(120)
     out = spark.read.parquet(str(tmp_path / "out"))
-    assert [r.rule_id for r in out.where("rule_id = 'jev/no-dynamic-code-execution'").collect()] == ["jev/no-dynamic-code-execution"]
+    assert [r.rule_id for r in out.where("rule_id = 'quill/dynamic-code-execution'").collect()] == ["quill/dynamic-code-execution"]
