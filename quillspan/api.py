@@ -4,8 +4,10 @@
     report = audit(facts, rules)                      # the whole tree
     report = review(facts, changes, rules)            # only what changed lines touch
 
-Pattern rules give evidence for single spans. A rule of the table `rules` without a pattern is asked
-without evidence. Scores come from a stub (a hash) unless the caller passes a scorer.
+Pattern rules give evidence for single spans, relational rules for functions, types, modules and, in a
+review, for the change as a whole; both abstain where they find none. Any other rule of the table
+`rules` is asked without evidence. Without a scorer judgments are marked as not scored: their
+probability is then a hash of the question, which orders them and means nothing.
 """
 
 from __future__ import annotations
@@ -17,10 +19,10 @@ from functools import cached_property
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from quillspan.operators import modules, relation_rules, review as ops, spans
+from quillspan.operators import module_facts, modules, relation_evidence, relation_rules, review as ops, spans
 from quillspan.operators.pattern_rules import PATTERN_RULES, pattern_evidence, span_texts
+from quillspan.session import checkpoint_folder
 from quillspan.sources.files import changed_lines, changed_ranges
 
 #: The order of categories in a report.
@@ -47,7 +49,7 @@ class Repository:
 
     @cached_property
     def edges(self) -> DataFrame:
-        return self.imports.where("resolved is not null and resolved <> file_path").select(F.col("file_path").alias("source"), F.col("resolved").alias("target"), "specifier").distinct()
+        return self.imports.where("resolved is not null and resolved <> file_path").select(F.col("file_path").alias("source"), F.col("resolved").alias("target"), "specifier").distinct().persist()
 
     @cached_property
     def in_degree(self) -> DataFrame:
@@ -59,10 +61,10 @@ class Repository:
 
     @cached_property
     def calls(self) -> DataFrame:
-        return relation_rules.resolved_calls(relation_rules.calls_of(self.functions), self.functions, self.imports)
+        return relation_rules.resolved_calls(relation_rules.calls_of(self.functions), self.functions, self.imports).persist()
 
     def close(self) -> None:
-        for name in ("candidates", "texts", "imports", "functions"):
+        for name in ("candidates", "texts", "imports", "edges", "functions", "calls"):
             if name in self.__dict__:
                 self.__dict__[name].unpersist()
 
@@ -90,6 +92,7 @@ class Report:
         j = self.judgments.agg(F.count("*").alias("judgments"))
         a = self.abstentions.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("abstentions"))
         f = self.failures.agg(F.count("*").alias("failures"))
+        j = j.join(F.broadcast(self.judgments.where("not scored").agg(F.count("*").alias("unscored"))), F.lit(True))
         return j.join(F.broadcast(a), F.lit(True)).join(F.broadcast(f), F.lit(True)).withColumn("complete", F.col("failures") == 0)
 
     def write(self, folder: str) -> None:
@@ -100,26 +103,55 @@ class Report:
 
 
 def default_rules() -> list[tuple]:
-    """(rule_id, scope, category, message) of the pattern rules."""
-    return [(r.rule_id, r.scope, "testing" if "test" in r.name else "maintainability", r.message) for r in PATTERN_RULES]
+    """(rule_id, scope, category, message) of the pattern rules and the relational rules."""
+    category = lambda name: "testing" if "test" in name else "maintainability"
+    patterns = [(r.rule_id, r.scope, category(r.name), r.message) for r in PATTERN_RULES]
+    return patterns + [(relation_evidence.rule_id(n), scope, category(n), message) for n, scope, message in relation_evidence.RELATION_RULES]
 
 
 def audit(repository: Repository, rules: DataFrame, most: int | None = None, scorer: Callable[[pd.DataFrame], pd.Series] | None = None, cache: DataFrame | None = None) -> Report:
-    """All candidates of the tree, in audit order if `most` bounds how many are asked."""
-    return _judge(repository, repository.texts, rules, most, scorer, cache)
+    """All spans and modules of the tree, in audit order if `most` bounds how many are asked."""
+    found = _found(repository) | relation_evidence.module_evidence(repository)
+    return _judge(repository, _with(repository.texts, module_facts.module_candidates(repository.files)), rules, most, scorer, cache, found)
 
 
 def review(repository: Repository, changes: DataFrame, rules: DataFrame, scorer: Callable[[pd.DataFrame], pd.Series] | None = None, cache: DataFrame | None = None) -> Report:
-    """The candidates that share a line with the changes (file_path, source, old_source)."""
-    touched = spans.overlapping(repository.texts, changed_ranges(changed_lines(changes)), "file_path")
-    return _judge(repository, touched, rules, None, scorer, cache)
+    """The spans that share a line with the changes (file_path, source, old_source), the modules that changed, and the change."""
+    ranges = changed_ranges(changed_lines(changes))
+    touched = spans.overlapping(repository.texts, ranges, "file_path")
+    changed = module_facts.module_candidates(repository.files.join(changes.select("file_path").distinct(), "file_path", "left_semi"))
+    before = _before(repository, changes)
+    found = _found(repository) | relation_evidence.module_evidence(repository, before) | relation_evidence.change_evidence(repository, before, changes)
+    whole = module_facts.change_candidate(changes, ranges)
+    return _judge(repository, _with(_with(touched, changed), whole), rules, None, scorer, cache, found)
 
 
-def _judge(repository: Repository, texts: DataFrame, rules: DataFrame, most: int | None, scorer, cache: DataFrame | None) -> Report:
-    handled = [r.rule_id for r in PATTERN_RULES]
-    texts = texts.withColumn("id", F.concat_ws("#", "file_path", "id"))
+def _found(repository: Repository) -> dict[str, relation_evidence.Evidence]:
+    return relation_evidence.function_evidence(repository.functions, repository.calls) | relation_evidence.type_evidence(relation_rules.members_of(repository.texts))
+
+
+def _before(repository: Repository, changes: DataFrame) -> Repository:
+    """The tree without the changes; files that it gained are not in it."""
+    c = changes.select(F.col("file_path").alias("_f"), "old_source", F.lit(True).alias("_changed"))
+    met = repository.files.join(c, F.col("file_path") == F.col("_f"), "left").where("_changed is null or old_source is not null")
+    return Repository(met.select("file_path", F.coalesce("old_source", "source").alias("source"), "file_order"))
+
+
+def _with(texts: DataFrame, more: DataFrame) -> DataFrame:
+    columns = ("file_path", "kind", "start_line", "end_line", "id", "text")
+    return texts.select(*columns).unionByName(more.select(*columns))
+
+
+def _judge(repository: Repository, texts: DataFrame, rules: DataFrame, most: int | None, scorer, cache: DataFrame | None, related: dict[str, relation_evidence.Evidence]) -> Report:
+    checkpoint_folder(texts.sparkSession)
+    handled = [r.rule_id for r in PATTERN_RULES] + [relation_evidence.rule_id(n) for n, _, _ in relation_evidence.RELATION_RULES]
+    texts = texts.withColumn("id", F.when(F.col("kind") == "change", F.lit("change")).otherwise(F.concat_ws("#", "file_path", "id")))
     found = pattern_evidence(texts, keep=("id",))
     evidence = found.groupBy("id", "rule_id").agg(F.to_json(F.struct(F.first("matches").alias("matches"), F.first("total").alias("total"))).alias("evidence"))
+    asked_rules = {r.rule_id for r in rules.select("rule_id").collect()}  # the table of rules is configuration
+    for part in relation_evidence.evidence(related, asked_rules):
+        evidence = evidence.unionByName(part)
+    evidence = evidence.checkpoint()
     table = rules.select("rule_id", "scope", "category", "message", F.col("rule_id").isin(*handled).alias("handled"))
     degrees = repository.in_degree.select(F.col("node").alias("_n"), "in_degree")
     placed = texts.join(degrees, F.col("file_path") == F.col("_n"), "left").select("id", "kind", "file_path", F.col("start_line").alias("start"), F.col("end_line").alias("end"), "text", F.coalesce("in_degree", F.lit(0)).alias("in_degree"))
@@ -138,15 +170,11 @@ def _judge(repository: Repository, texts: DataFrame, rules: DataFrame, most: int
         batched = ops.batches(asked, "file_path", ["start", "end", "rule_id"], "size").repartition("file_path", "batch").sortWithinPartitions("file_path", "batch")
         schema = batched.schema.simpleString()[len("struct<") : -1] + ",probability:double,error:string"
         scored = ops.evaluate(batched.withColumn("batch", F.concat_ws("#", "file_path", "batch")), scorer, schema.replace("batch:bigint", "batch:string"))
-    columns = ["category", "probability", "file_path", "start", "end", "rule_id", "kind", "message", "digest"]
+    scored = scored.withColumn("scored", F.lit(scorer is not None))
+    columns = ["category", "probability", "scored", "file_path", "start", "end", "rule_id", "kind", "message", "digest"]
     judgments = scored.where("error is null").select(*columns)
     if known is not None:
-        judgments = judgments.unionByName(known.select(*columns))
+        judgments = judgments.unionByName(known.withColumn("scored", F.lit(True)).select(*columns))
     failures = scored.where("error is not null").select("file_path", "rule_id", "id", "error")
     return Report(judgments, ops.abstentions(met), failures, ops.coverage(placed))
 
-
-def file_positions(judgments: DataFrame) -> DataFrame:
-    """Judgments numbered by file in report order."""
-    by = W.partitionBy("file_path").orderBy(*ops.ranked(judgments, CATEGORIES))
-    return judgments.withColumn("position", F.row_number().over(by))

@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quillspan.functions import text as T
+from quillspan.operators import module_facts as MF
+from quillspan.operators import module_rules as MR
 from quillspan.operators import modules as M
+from quillspan.operators import relation_rules as RR
 from quillspan.operators import review as R
 from quillspan.operators import similarity as S
 from quillspan.operators import spans as P
@@ -80,8 +83,8 @@ def position_at(spark, sf_dir):
 
 
 @query(
-    """WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS l, len(string_split(substr(text, 1, CAST(n_chars // 2 AS INT)), chr(10))) AS at FROM documents)
-SELECT doc_id, sha256(array_to_string(list_slice(l, greatest(1, at - 3), least(at + 3, len(l))), chr(10))) AS nearby FROM s"""
+    """WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS l, len(string_split(substr(text, 1, CAST(n_chars // 2 AS INT)), chr(10))) AS here FROM documents)
+SELECT doc_id, sha256(array_to_string(list_slice(l, greatest(1, here - 1), least(here + 3, len(l))), chr(10))) AS nearby FROM s"""
 )
 def nearby_source(spark, sf_dir):
     d = _t(spark, sf_dir, "documents")
@@ -361,3 +364,86 @@ def levenshtein_nearest(spark, sf_dir):
 def name_token_sets(spark, sf_dir):
     p = _t(spark, sf_dir, "part")
     return p.select("p_partkey", F.array_join(F.array_sort(T.name_tokens(F.lower(F.concat_ws("-", "p_name", "p_type")))), " ").alias("tokens"))
+
+
+# modules and changes: pages stand for files, their links for imports --------------------------------
+
+
+_EDGE_SQL = """(SELECT DISTINCT source, target FROM e JOIN k USING (specifier) WHERE source <> target)"""
+
+
+def _paths(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Files of three areas, and their edges, those of every fifth page being new."""
+    top = F.when(F.expr("page_id % 3 = 0"), "core").when(F.expr("page_id % 3 = 1"), "web").otherwise("tool")
+    files = _t(spark, sf_dir, "pages").select("page_id", F.concat(top, F.lit("/p"), F.col("page_id"), F.lit(".ts")).alias("file_path"))
+    e = _edges(spark, sf_dir).where("source <> target").select("source", "target").distinct()
+    s, t = (files.select(F.col("page_id").alias(f"_{c}"), F.col("file_path").alias(f"{c}_path")) for c in ("source", "target"))
+    e = e.join(s, F.col("source") == F.col("_source")).join(t, F.col("target") == F.col("_target"))
+    rows = e.select(F.col("source_path").alias("source"), F.col("target_path").alias("target"), (F.col("source") % 5 == 0).alias("new"))
+    return files, rows.select("source", "target"), rows.where("new").select("source", "target")
+
+
+_PATHS_SQL = f"""{_EDGES_SQL}, f AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'core' WHEN 1 THEN 'web' ELSE 'tool' END AS area, area || '/p' || page_id || '.ts' AS file_path FROM pages),
+g AS (SELECT s.file_path AS source, s.area AS s_area, t.file_path AS target, t.area AS t_area, x.source % 5 = 0 AS new FROM {_EDGE_SQL} x JOIN f s ON s.page_id = x.source JOIN f t ON t.page_id = x.target)"""
+
+
+@query(
+    f"""WITH {_PATHS_SQL}, r AS (SELECT target, source, row_number() OVER (PARTITION BY target ORDER BY source) AS position, count(*) OVER (PARTITION BY target) AS total FROM g)
+SELECT target, source, CAST(position AS INT) AS position, total, total > 40 AS truncated FROM r WHERE position <= 40"""
+)
+def module_edges_in(spark, sf_dir):
+    return MF.edges_in(_paths(spark, sf_dir)[1]).select("target", "source", "position", "total", "truncated")
+
+
+@query(
+    """WITH x AS (SELECT p_partkey % 50 AS s, p_partkey AS t, p_partkey % 5 = 0 AS new FROM part UNION ALL SELECT p_partkey, p_partkey % 7, false FROM part),
+g AS (SELECT 'a' || s % 3 AS s_area, 'a' || s % 3 || '/p' || s AS source, 'a' || t % 3 || '/p' || t AS target, new FROM x WHERE s <> t),
+d AS (SELECT target, count(DISTINCT source) AS importers, count(DISTINCT s_area) AS areas FROM g GROUP BY 1)
+SELECT source AS file_path, g.target, o.importers, o.areas FROM g JOIN d o ON o.target = g.source LEFT JOIN d t ON t.target = g.target
+WHERE new AND o.importers >= 3 AND coalesce(t.importers, 0) <= 1"""
+)
+def stable_to_volatile_edges(spark, sf_dir):
+    part = _t(spark, sf_dir, "part")
+    x = part.select((F.col("p_partkey") % 50).alias("s"), F.col("p_partkey").alias("t"), (F.col("p_partkey") % 5 == 0).alias("new"))
+    x = x.unionByName(part.select(F.col("p_partkey").alias("s"), (F.col("p_partkey") % 7).alias("t"), F.lit(False).alias("new"))).where("s <> t")
+    path = lambda c: F.concat(F.lit("a"), F.col(c) % 3, F.lit("/p"), F.col(c))
+    g = x.select(path("s").alias("source"), path("t").alias("target"), "new")
+    return MR.stable_to_volatile_edge(g.where("new").drop("new"), g.drop("new")).select("file_path", "target", "importers", "areas")
+
+
+@query(
+    f"""WITH {_PATHS_SQL}, old AS (SELECT * FROM g WHERE NOT new),
+d AS (SELECT target, count(*) AS importers, count(DISTINCT s_area) AS areas FROM old GROUP BY 1),
+c AS (SELECT source, g.target, areas, importers, row_number() OVER (PARTITION BY source ORDER BY areas DESC, importers DESC, g.target) AS r FROM g JOIN d ON d.target = g.target
+  WHERE new AND t_area = 'core' AND s_area <> 'core' AND NOT EXISTS (SELECT 1 FROM old WHERE old.target = g.target AND old.s_area = g.s_area))
+SELECT source AS file_path, target, areas, importers FROM c WHERE r = 1"""
+)
+def shared_module_consumers(spark, sf_dir):
+    _, edges, fresh = _paths(spark, sf_dir)
+    return MR.shared_kernel_new_consumer(fresh, edges).select("file_path", "target", "areas", "importers")
+
+
+@query(
+    f"""WITH {_PATHS_SQL}, n AS (SELECT DISTINCT source, t_area FROM g WHERE new), o AS (SELECT DISTINCT source, t_area FROM g WHERE NOT new)
+SELECT source, count(*) AS new_areas FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.source = n.source AND o.t_area = n.t_area) GROUP BY 1 HAVING count(*) >= 2"""
+)
+def coupling_bursts(spark, sf_dir):
+    _, edges, fresh = _paths(spark, sf_dir)
+    before = edges.join(fresh, ["source", "target"], "left_anti")
+    return RR.efferent_coupling_burst(edges, before, 2).select("source", "new_areas")
+
+
+_SURFACE_SQL = """b AS (SELECT o_custkey AS f, list_sort(list(DISTINCT l_partkey)) AS x FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber <= 2 GROUP BY 1),
+a AS (SELECT o_custkey AS f, list_sort(list(DISTINCT l_partkey)) AS x FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber <> 2 GROUP BY 1)"""
+
+
+@query(
+    f"""WITH {_SURFACE_SQL}
+SELECT CAST(f AS VARCHAR) AS file_path, len(list_filter(a.x, lambda v: NOT list_contains(b.x, v))) AS added, len(list_filter(b.x, lambda v: NOT list_contains(a.x, v))) AS removed,
+  len(list_filter(a.x, lambda v: list_contains(b.x, v))) AS kept FROM a JOIN b USING (f)"""
+)
+def export_surface_changes(spark, sf_dir):
+    rows = _t(spark, sf_dir, "orders").join(_t(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = rows.select(F.col("o_custkey").cast("string").alias("file_path"), F.col("l_partkey").alias("name"), "l_linenumber")
+    out = MR.export_changes(rows.where("l_linenumber <= 2"), rows.where("l_linenumber <> 2"))
+    return out.select("file_path", *[F.size(c).cast("long").alias(c) for c in ("added", "removed", "kept")])

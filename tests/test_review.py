@@ -114,25 +114,28 @@ def test_pattern_rules_hit_and_abstain(spark):
 
 
 def test_audit_review_and_cache(spark, repository, tmp_path):
-    rules = spark.createDataFrame([*api.default_rules(), ("own/extra", "function", "security", "extra")], "rule_id string, scope string, category string, message string")
+    related = ("quill/unused-exported-helper", "quill/convergent-twin-types", "quill/import-use-skew", "quill/import-time-side-effect")
+    defaults = [r for r in api.default_rules() if r[0] in related or r[0] in {p.rule_id for p in pattern_rules.PATTERN_RULES}]
+    rules = spark.createDataFrame([*defaults, ("own/extra", "function", "security", "extra")], "rule_id string, scope string, category string, message string")
     report = api.audit(repository, rules)
     j = report.judgments.collect()
-    assert {"quill/swallowed-error", "quill/bare-json-parse", "own/extra"} <= {r.rule_id for r in j} and all(0 <= r.probability <= 1 for r in j)
+    assert {"quill/swallowed-error", "quill/bare-json-parse", "own/extra", *related[:3]} <= {r.rule_id for r in j} and all(0 <= r.probability <= 1 for r in j)
     total = report.summary().first()
     candidates = repository.candidates.groupBy("kind").count().collect()
-    per_kind = {r.kind: r["count"] for r in candidates}
+    per_kind = {r.kind: r["count"] for r in candidates} | {"module": repository.files.count()}
     n_rules = rules.groupBy("scope").count().collect()
-    assert total.judgments + total.abstentions == sum(per_kind.get(r.scope, 0) * r["count"] for r in n_rules) and total.complete
+    assert total.judgments + total.abstentions == sum(per_kind.get(r.scope, 0) * r["count"] for r in n_rules) and total.complete and total.unscored == total.judgments
     assert report.text().count() == 5 and report.annotations().count() == total.judgments
     report.write(str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out" / "judgments")).count() == total.judgments
-    capped = api.audit(repository, rules, most=2).coverage.agg(F.sum("covered"), F.sum("omitted")).first()
+    few = rules.where("rule_id = 'own/extra' or rule_id = 'quill/swallowed-error'")  # rules that are not asked are not computed
+    capped = api.audit(repository, few, most=2).coverage.agg(F.sum("covered"), F.sum("omitted")).first()
     assert tuple(capped) == (2, sum(per_kind.values()) - 2)
     changes = src.changed_files(repository.files.withColumn("source", F.regexp_replace("source", r"JSON\.parse\(rows\)", "rows")), repository.files)
-    touched = api.review(repository, changes, rules).judgments.select("file_path", "start").distinct().collect()
-    assert [tuple(r) for r in touched] == [("a/total.ts", 16)]
-    cached = api.audit(repository, rules, scorer=lambda pdf: pd.Series(0.5, pdf.index), cache=report.judgments.select("digest", "probability"))
-    assert cached.judgments.where("probability = 0.5").count() == 0 and cached.judgments.count() == total.judgments
+    touched = api.review(repository, changes, few).judgments.select("file_path", "start").distinct().collect()
+    assert {tuple(r) for r in touched} <= {("a/total.ts", 16), ("a/total.ts", 1)} and ("a/total.ts", 16) in {tuple(r) for r in touched}
+    cached = api.audit(repository, few, scorer=lambda pdf: pd.Series(0.5, pdf.index), cache=report.judgments.select("digest", "probability"))
+    assert cached.judgments.where("probability = 0.5").count() == 0 and cached.judgments.count() == sum(r.rule_id in ("own/extra", "quill/swallowed-error") for r in j)
 
 
 def test_evaluator_halves_and_marks(spark):
@@ -180,6 +183,18 @@ def test_change_rules(spark, repository):
     assert [tuple(r) for r in relation_rules.shotgun_change(shared).collect()] == [("total", 2)]
 
 
+def test_review_of_a_change_asks_about_modules_and_the_change(spark, repository):
+    rules = spark.createDataFrame([r for r in api.default_rules() if r[1] in ("module", "change")], "rule_id string, scope string, category string, message string")
+    old = [("a/total.ts", A.replace("sum + value.amount", "sum")), ("a/store.ts", STORE), ("b/show.ts", OTHER + "export let gone = 1;\nexport function away(x) {\n  return x;\n}\n")]
+    changes = src.changed_files(src.ordered(spark.createDataFrame(old, "file_path string, source string")), repository.files)
+    report = api.review(repository, changes, rules)
+    found = {(r.rule_id, r.kind, r.file_path) for r in report.judgments.collect()}
+    assert {("quill/wide-fan-in-edit", "change", "a/total.ts"), ("quill/breaking-export-reshape", "change", "a/total.ts")} <= found
+    assert {k for _, k, _ in found} >= {"change", "module"} and ("quill/self-authored-exam", "change", "a/total.ts") not in found
+    asked = {r.kind: (r.candidates, r.omitted) for r in report.coverage.collect()}
+    assert asked["change"] == (1, 0) and asked["module"] == (3, 0)
+
+
 def test_cycles_and_areas(spark):
     edges = spark.createDataFrame([("a/x", "b/y"), ("b/y", "c/z"), ("c/z", "a/x"), ("d/w", "a/x")], "source string, target string")
     changed = spark.createDataFrame([("a/x",), ("d/w",)], "node string")
