@@ -17,7 +17,7 @@ changed between the two is found by a checksum and fails the job rather than giv
 
 `decode` joins ids to the pieces of the vocabulary, a table whose size the tokenizer file fixes.
 
-Defined results: a null text is empty and has no ids; a null doc_id is kept; repeated rows are
+Defined results: a null text is empty and has no ids; a text of any length is encoded whole, within one chunk; a null doc_id is kept; repeated rows are
 encoded row by row; an empty table gives an empty result; columns of the input other than doc_id and
 text are not read. Ids outside the vocabulary decode to nothing.
 """

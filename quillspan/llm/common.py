@@ -27,13 +27,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: `spark.checkpoint.dir`.
 
-    Only where the session names none (tests on one machine) a temporary one is set.
+    Only where the session names none and runs in one process (tests) a temporary one is set.
     """
     here = spark.conf.get("spark.checkpoint.dir", None)
     if here:
         return here.rstrip("/")
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillspan-"))
     return sc.getCheckpointDir().rstrip("/")
 

@@ -5,7 +5,7 @@ reserved") go; equivalent spellings are made one; everything but a-z and 0-9 bec
 Texts are hashed in Spark and joined to the digests; a text matches if it is that licence and
 nothing else.
 
-Defined results: a null or empty text, and one of which nothing is left, has the digest of the
+Defined results: a text of any length is hashed whole; a null or empty text, and one of which nothing is left, has the digest of the
 empty text and matches nothing; equal known texts resolve to the smallest licence id; a table of
 known licences with null texts ignores those; repeated rows are looked up one by one. Columns of the
 input other than doc_id and text are not read.

@@ -9,7 +9,7 @@ Neither labels nor lang, source or doc_id enter a score. Rows whose crc32(doc_id
 are held out of the fit. Labels other than 0 and 1, and labels without a document, are left out; a
 document with several label rows counts once for each.
 
-Defined results: a null or empty text is scored by its statistics, which are then 0; if the fit has
+Defined results: a text of any length is measured whole; a null or empty text is scored by its statistics, which are then 0; if the fit has
 no two classes (an empty table), every score is the share of label 1, or 0.5 without labels; a null
 doc_id is never held out; repeated rows are scored one by one.
 """

@@ -11,7 +11,7 @@ Arrow file beside it lists the doc_ids of the shard in order.
 Each task writes the shards of its range of doc_ids under names of their own and returns a manifest
 row for each; only shards in the settled manifest count, so that tasks which ran twice do no harm.
 
-Defined results: a null text is empty and leaves only END; null doc_ids come first; repeated rows
+Defined results: a text of any length is encoded whole; a null text is empty and leaves only END; null doc_ids come first; repeated rows
 are written one by one, in an order of their own among equal doc_ids; an empty table writes nothing.
 Columns of the input other than doc_id and text are not read.
 """

@@ -12,7 +12,7 @@ Each task writes bundles under names of their own and returns an index row for e
 frame, offset in the decompressed frame, length. Only bundles in the settled index count, so that a
 task that ran twice does no harm.
 
-Defined results: a null html is an empty payload; a null url is an empty target; pages with a null
+Defined results: a payload of any length is one record; a null html is an empty payload; a null url is an empty target; pages with a null
 page_id are records too (smallest only among themselves); of repeated rows that share the smallest
 page_id, each is a response; an empty table writes nothing. Other columns are not read.
 """
