@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -26,6 +27,8 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
 
 
 def checkpoint_folder(spark: SparkSession) -> None:
-    """Makes sure that checkpoints have a folder: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """Makes sure that checkpoints have a folder: spark.checkpoint.dir, or in one process a temporary one where it is unset."""
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillspan-"))
