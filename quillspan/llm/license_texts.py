@@ -1,4 +1,4 @@
-"""Whole texts of well-known short public licences, by SPDX identifier."""
+"""Whole texts of well-known short public licences and digests of long ones, by SPDX identifier."""
 
 _AS_IS_MIT = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
 IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
@@ -102,3 +102,53 @@ misrepresented as being the original software.
 
 3. This notice may not be removed or altered from any source distribution.""",
 }
+
+#: SHA-256 of the canonical form of long licences; a second one is of the terms alone, without
+#: the appendix on how to apply them.
+DIGESTS = {
+    "Apache-2.0": [
+        "45c5565dedc03ff2a570c67c5af611f8a3d0a0227c6e81d9fb11fbf0c004b959",
+        "6530dac82be99e5bbcc128a6caf5bfdd0451a21fe23ac3df15ed85a1c550c859",
+    ],
+    "Artistic-1.0-Perl": [
+        "e963bc30f4d3c45f45030c34409ee37315564625649c1394e32bb5ddd99e01b2",
+    ],
+    "CC0-1.0": [
+        "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",
+    ],
+    "GFDL-1.2": [
+        "1c057ea35084eb195331cec1a49fca335c176422a7726a9a23636906fd4e241f",
+    ],
+    "GFDL-1.3": [
+        "7e8edd3abe6258bb82bb853d91a0c24fcd9976894fd0592747354cffe1cb18e7",
+    ],
+    "GPL-1.0": [
+        "8a4692e318e41e8d96d4610f021d16f03ff4485322f3d81c00d2621fdda7b2b1",
+        "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc",
+    ],
+    "GPL-2.0": [
+        "0248b317bc123a7424b6ff9799b9786ffde75241881994270612a604d03836cc",
+        "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34",
+    ],
+    "GPL-3.0": [
+        "c12290e729cf5c76615f2090788703cf9e2f654a0abf9786258c53e41ea0c090",
+        "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636",
+    ],
+    "LGPL-2.0": [
+        "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908",
+        "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260",
+    ],
+    "LGPL-2.1": [
+        "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891",
+        "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4",
+    ],
+    "LGPL-3.0": [
+        "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
+    ],
+    "MPL-1.1": [
+        "27d164b52dfaff4b5a631cd4eebfbb7683fe882e3057f2f2e01d54692688d985",
+    ],
+    "MPL-2.0": [
+        "4019e4c8fe9ede57c538b37b3332dc097a88c163e273bb6905d38316e63c2eb6",
+    ],
+}

@@ -4,8 +4,11 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
+import duckdb
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -413,6 +416,46 @@ def test_license_scan(spark, docs, none):
     assert license_scan.scan(docs, known).count() == docs.count() and license_scan.scan(none, known).count() == 0
 
 
+def test_license_scan_names_and_sentences(spark):
+    """Lines that name a holder go; wrapped sentences that begin with the word stay."""
+    lines = ["Copyright Jane Doe", "# Copyright The Quill Authors", "Copyright by Liu", "Copyright Holder may not sell", "Copyright Law applies", "copyright license to copy"]
+    df = spark.createDataFrame(list(enumerate(lines)), "id int, t string")
+    left = {r.id: r.c for r in df.select("id", license_scan.canonical(F.concat(F.lit("a\n"), "t", F.lit("\nb"))).alias("c")).collect()}
+    assert left == {0: "a b", 1: "a b", 2: "a b", 3: "a copyright holder may not sell b", 4: "a copyright law applies b", 5: "a copyright license to copy b"}
+
+
+def test_license_scan_stored_table(spark, tmp_path):
+    text = "Any use is fine.\n" * 3
+    stored = spark.createDataFrame([("Z-own", text), ("A-own", text), ("Null", None)], "license_id string, text string")
+    stored.write.parquet(str(tmp_path / "known"))
+    known = license_scan.known_licenses(spark, str(tmp_path / "known"))
+    docs = spark.createDataFrame([(1, text.upper()), (2, LICENSES["ISC"]), (3, "")], "doc_id long, text string")
+    assert {r.doc_id: r.license_id for r in license_scan.scan(docs, known).collect()} == {1: "A-own", 2: "ISC", 3: None}
+    digests = stored.limit(3).where("text is not null").select("license_id", license_scan.digest(F.col("text")).alias("canonical_sha256"))
+    assert {r.doc_id: r.license_id for r in license_scan.scan(docs, digests).collect()} == {1: "A-own", 2: None, 3: None}
+
+
+@pytest.mark.parametrize("name, license_id", [("Apache-2.0", "Apache-2.0"), ("GPL-2", "GPL-2.0"), ("GPL-3", "GPL-3.0"), ("LGPL-2.1", "LGPL-2.1"), ("MPL-2.0", "MPL-2.0")])
+def test_license_scan_long_texts(spark, name, license_id):
+    file = Path("/usr/share/common-licenses") / name
+    if not file.exists():
+        pytest.skip("no licence texts on this machine")
+    text = file.read_text(encoding="utf-8")
+    rows = [(1, text), (2, "Copyright Jane Doe\n" + text), (3, text + "and more")]
+    out = {r.doc_id: r.license_id for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), license_scan.known_licenses(spark)).collect()}
+    assert out == {1: license_id, 2: license_id, 3: None}
+
+
+def test_license_scan_sql_agrees(spark, tmp_path):
+    texts = ["Copyright Jane\r\n" + LICENSES["MIT"], "x\rCopyright Jane\u2028y", "\u0130 Copyright \u00c9va\nz", LICENSES["ISC"].lower(), None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = {tuple(r) for r in license_scan.scan(docs, license_scan.known_licenses(spark)).collect()}
+    assert got == set(con.execute(license_scan.ORACLE_SQL).fetchall())
+
+
 def test_token_files(spark, docs, none):
     from tokenizers import Tokenizer
 
