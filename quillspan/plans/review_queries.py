@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from quillspan.functions import text as T
 from quillspan.operators import graph as G
+from quillspan.operators import requests as Q
 from quillspan.operators import review as R
 from quillspan.plans.queries import _t, query
 
@@ -180,6 +181,73 @@ def adjoining_comments(spark, sf_dir):
     return c.groupBy("conv_id", "role").agg(F.count("*").alias("turns"), F.count_if(F.col("previous") == F.col("role")).alias("repeated"))
 
 
+@query(
+    """WITH p AS (SELECT *, min(l_linenumber) OVER (PARTITION BY l_orderkey, l_returnflag) AS f FROM lineitem),
+n AS (SELECT *, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY f, l_returnflag) - 1 AS c,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag, 'part-' || l_partkey || '-' || l_suppkey) - 1 AS q FROM p)
+SELECT CAST(l_orderkey AS VARCHAR) AS file_path, 'q' || q AS question_id, l_returnflag AS candidate_id, 'part-' || l_partkey || '-' || l_suppkey AS rule_id, 'candidates[' || c || ']' AS inspect,
+  'candidates[' || c || ']' || CASE WHEN l_linestatus = 'F' THEN '.nearbySource' ELSE '.source' END AS context,
+  CASE WHEN l_quantity > 25 THEN 'candidates[' || c || '].evidence["part-' || l_partkey || '-' || l_suppkey || '"]' END AS evidence_path FROM n"""
+)
+def request_questions(spark, sf_dir):
+    return _named(spark, sf_dir).select("file_path", "question_id", "candidate_id", "rule_id", "inspect", "context", "evidence_path")
+
+
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of an order as the questions of a batch, return flags as candidates."""
+    rows = _t(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("file_path"),
+        F.lit(0).alias("batch"),
+        F.col("l_linenumber").alias("position"),
+        F.col("l_returnflag").alias("candidate_id"),
+        F.concat(F.lit("part-"), F.col("l_partkey"), F.lit("-"), F.col("l_suppkey")).alias("rule_id"),
+        F.when(F.col("l_linestatus") == "F", F.lit("")).alias("nearby_source"),
+        F.when(F.col("l_quantity") > 25, F.lit("{}")).alias("evidence"),
+    )
+    return Q.questions_of(rows)
+
+
+@query(
+    """SELECT CAST(doc_id AS BIGINT) AS doc_id, '{"function":{"name":"' || coalesce(source, '') || '"},"note":"' || coalesce(lang, '') || '"}' AS evidence, md5(substr(coalesce(text, ''), 1, 16000)) AS module_digest FROM documents"""
+)
+def evidence_sections(spark, sf_dir):
+    text, source = F.coalesce("text", F.lit("")), F.coalesce("source", F.lit(""))
+    section = F.struct(text.alias("moduleSource"), source.alias("name"), text.alias("source"))
+    rows = _t(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct(section.alias("function"), F.coalesce("lang", F.lit("")).alias("note"))).alias("evidence"))
+    return Q.compact_evidence(rows).select("doc_id", "evidence", F.md5("module_source").alias("module_digest"))
+
+
+@query(
+    """SELECT owner, file_path, CAST(position AS INT) AS position, true AS bounded FROM (
+  SELECT a.n_name AS owner, b.n_name AS file_path, row_number() OVER (PARTITION BY a.n_name ORDER BY
+    CASE WHEN a.n_name = b.n_name THEN 0 WHEN a.n_regionkey = b.n_regionkey THEN 1 ELSE 2 END, b.n_nationkey) AS position
+  FROM nation a, nation b) WHERE position <= 12"""
+)
+def scope_order(spark, sf_dir):
+    n = _t(spark, sf_dir, "nation")
+    owners = n.select(F.col("n_name").alias("owner"), "n_regionkey")
+    files = n.select(F.col("n_name").alias("file_path"), F.col("n_nationkey").alias("file_order"), "n_regionkey")
+    return Q.scope_files(owners, files, owners.join(files, "n_regionkey"), most=12)
+
+
+@query(
+    """SELECT file_path, file_path || '.json' AS artifact, CAST(sum(n) AS BIGINT) AS evaluated, CAST(sum(m) AS BIGINT) AS abstained FROM (
+  SELECT user_id::VARCHAR AS file_path, CASE WHEN value > 10 THEN 1 ELSE 0 END AS n, CASE WHEN value > 10 THEN 0 ELSE 1 END AS m FROM events) GROUP BY 1"""
+)
+def artifact_totals(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("file_path"), F.coalesce(F.col("value") > 10, F.lit(False)).alias("high"))
+    return Q.artifact_totals(e.where("high"), e.where("not high").withColumn("count", F.lit(1).cast("long")))
+
+
+@query(
+    """SELECT event_type AS kind, count(*) FILTER (WHERE value > 10) || ' of ' || count(*) || ' candidates of kind ' || event_type || ' scored, ' || (count(*) - count(*) FILTER (WHERE value > 10))
+  || ' omitted; coverage ' || CASE WHEN count(*) = count(*) FILTER (WHERE value > 10) THEN 'complete' ELSE 'incomplete' END AS sentence FROM events GROUP BY event_type"""
+)
+def coverage_sentences(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select(F.col("event_type").alias("kind"), F.coalesce(F.col("value") > 10, F.lit(False)).alias("asked"))
+    return Q.coverage_sentence(R.coverage(e)).select("kind", "sentence")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents as candidates, two line rules, abstentions left out, the five longest of each rule; nothing is scored."""
     lines = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_number", "line"))
