@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.operators import module_facts, modules, relation_evidence, relation_rules, review as ops, spans
+from quillspan.operators import module_facts, modules, relation_evidence, relation_rules, requests, review as ops, spans
 from quillspan.operators.pattern_rules import PATTERN_RULES, pattern_evidence, span_texts
 from quillspan.session import checkpoint_folder
 from quillspan.sources.files import changed_lines, changed_ranges
@@ -75,6 +75,7 @@ class Report:
     abstentions: DataFrame
     failures: DataFrame
     coverage: DataFrame
+    totals: DataFrame
 
     def text(self, shown: int = ops.SHOWN, least: float = 0.0) -> DataFrame:
         """The best judgments as lines, ranked; `least` and `shown` bound only what is displayed."""
@@ -95,10 +96,15 @@ class Report:
         j = j.join(F.broadcast(self.judgments.where("not scored").agg(F.count("*").alias("unscored"))), F.lit(True))
         return j.join(F.broadcast(a), F.lit(True)).join(F.broadcast(f), F.lit(True)).withColumn("complete", F.col("failures") == 0)
 
+    def coverage_text(self) -> DataFrame:
+        """A sentence for each kind of candidate."""
+        return requests.coverage_sentence(self.coverage).select("kind", "sentence")
+
     def write(self, folder: str) -> None:
-        """Judgments by file, abstentions and the summary as JSON."""
+        """Judgments and totals by file, abstentions and the summary as JSON."""
         self.judgments.withColumn("shard", ops.shard(F.sha2("file_path", 256))).write.mode("overwrite").partitionBy("shard").json(f"{folder}/judgments")
         self.abstentions.write.mode("overwrite").json(f"{folder}/abstentions")
+        self.totals.write.mode("overwrite").json(f"{folder}/totals")
         self.summary().write.mode("overwrite").json(f"{folder}/summary")
 
 
@@ -176,5 +182,7 @@ def _judge(repository: Repository, texts: DataFrame, rules: DataFrame, most: int
     if known is not None:
         judgments = judgments.unionByName(known.withColumn("scored", F.lit(True)).select(*columns))
     failures = scored.where("error is not null").select("file_path", "rule_id", "id", "error")
-    return Report(judgments, ops.abstentions(met), failures, ops.coverage(placed))
+    silent = met.where("outcome = 'abstention'").groupBy("file_path", "rule_id").agg(F.count("*").alias("count"))
+    totals = requests.artifact_totals(judgments, silent)
+    return Report(judgments, ops.abstentions(met), failures, ops.coverage(placed), totals)
 

@@ -128,6 +128,9 @@ def test_audit_review_and_cache(spark, repository, tmp_path):
     assert report.text().count() == 5 and report.annotations().count() == total.judgments
     report.write(str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out" / "judgments")).count() == total.judgments
+    by_file = spark.read.json(str(tmp_path / "out" / "totals")).agg(F.sum("evaluated"), F.sum("abstained")).first()
+    assert tuple(by_file) == (total.judgments, total.abstentions)
+    assert all(r.sentence.endswith("coverage complete") for r in report.coverage_text().collect())
     few = rules.where("rule_id = 'own/extra' or rule_id = 'quill/swallowed-error'")  # rules that are not asked are not computed
     capped = api.audit(repository, few, most=2).coverage.agg(F.sum("covered"), F.sum("omitted")).first()
     assert tuple(capped) == (2, sum(per_kind.values()) - 2)
