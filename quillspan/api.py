@@ -133,7 +133,8 @@ def review(repository: Repository, changes: DataFrame, rules: DataFrame, scorer:
 
 
 def _found(repository: Repository) -> dict[str, relation_evidence.Evidence]:
-    return relation_evidence.function_evidence(repository.functions, repository.calls) | relation_evidence.type_evidence(relation_rules.members_of(repository.texts))
+    of_functions = relation_evidence.function_evidence(repository.functions, repository.calls) | relation_evidence.call_evidence(repository)
+    return of_functions | relation_evidence.type_evidence(relation_rules.members_of(repository.texts))
 
 
 def _before(repository: Repository, changes: DataFrame) -> Repository:
