@@ -9,6 +9,28 @@ from pyspark.sql import functions as F
 SOURCE_FILE = r"(?i)\.[cm]?[jt]sx?$"
 
 
+#: Strings, templates and comments; possessive, so that long ones need no stack.
+QUOTED = r"""(["'])(?:[^"'\\\n]++|\\.|(?!\1)["'])*+\1|(`)(?:[^`\\]++|\\[\s\S])*+`|//[^\n]*+|/\*(?:[^*]++|\*(?!/))*+\*/"""
+#: A part of a list up to a comma outside brackets and quotes, with brackets in brackets up to two deep.
+ITEM = r"""(?:[^,()\[\]{}"'`]|"[^"]*"|'[^']*'|`[^`]*`|\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)|\[(?:[^\[\]]|\[[^\[\]]*\])*\]|\{(?:[^{}]|\{[^{}]*\})*\})+"""
+
+
+def code_only(source: Column) -> Column:
+    """A source with its strings emptied and its comments gone."""
+    return F.regexp_replace(source, QUOTED, "$1$1$2$2")
+
+
+def code_lines(source: Column) -> Column:
+    """A source without its strings and comments, line by line as before: of what goes, the line feeds stay."""
+    parts, gone = F.split(source, QUOTED, -1), F.regexp_extract_all(source, F.lit(QUOTED), F.lit(0))
+    return F.array_join(F.zip_with(parts, gone, lambda p, g: F.concat(p, F.coalesce(F.regexp_replace(g, "[^\n]", ""), F.lit("")))), "")
+
+
+def split_top(items: Column) -> Column:
+    """The parts of a list between commas that stand outside brackets and quotes, trimmed; none of a blank text."""
+    return F.filter(F.transform(F.regexp_extract_all(items, F.lit(ITEM), F.lit(0)), lambda x: F.trim(x)), lambda x: x != "")
+
+
 def normalize_source(source: Column) -> Column:
     """Line ends as one line feed."""
     return F.regexp_replace(source, "\r\n?", "\n")

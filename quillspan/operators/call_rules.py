@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quillspan.functions.text import name_tokens
+from quillspan.functions.text import name_tokens, split_top
 from quillspan.operators.relation_rules import is_test_file
 
 #: The longest chain that is followed, and how many siblings are named.
@@ -34,10 +34,11 @@ REGISTRATION = r"\b(?:on|once|addEventListener|subscribe|register\w*|schedule\w*
 EMISSION = r"\b(?:emit|track|increment|counter|gauge|histogram|record|metric)\w*\(\s*['\"]([\w.:/-]+)['\"]"
 LITERAL = r"['\"]([\w.:/-]+)['\"]"
 CONDITION = r"\bif\s*\(([^(){}]*[\w$]\.[\w$]+[^(){}]*[=<>]=?\s*['\"\d][^(){}]*)\)"
-COMPAT = ("legacy", "old", "compat", "deprecated", "shim", "v1")
-#: Verbs that undo each other.
+#: Words in names of what is kept for compatibility.
+COMPAT = ("legacy", "compat", "v1", "old", "deprecated", "historic", "backcompat", "backward", "shim")
+#: Verbs that undo each other.
 INVERSES = {"encode": "decode", "serialize": "deserialize", "marshal": "unmarshal", "pack": "unpack", "format": "parse", "stringify": "parse", "write": "read", "save": "load", "to": "from"}
-#: The ways in which a function reports a failure.
+#: The ways in which a function reports a failure.
 STYLES = {
     "throws": r"\bthrow\b",
     "null": r"\breturn\s+(null|undefined)\b",
@@ -45,7 +46,7 @@ STYLES = {
     "result": r"\breturn\s*\{\s*(ok|error|success)\b",
     "rejects": r"\bPromise\.reject\(",
 }
-#: Two habits for the same thing.
+#: Two habits for the same thing.
 HABITS = {
     "async": (r"\bawait\b", r"\.then\("),
     "equality": (r"[!=]==", r"(?<![=!<>])[!=]=(?!=)"),
@@ -124,7 +125,7 @@ def mixed_responsibilities(functions: DataFrame, imports: DataFrame, least: int
 def chatty_interface(functions: DataFrame, calls: DataFrame) -> DataFrame:
     """Awaited calls of another file's function in a loop although that file exports a form for many."""
     out = calls.where("owner <> file_path").select("file_path", F.col("caller").alias("name"), "owner", "target").distinct()
-    looped = F.concat(F.lit(r"\b(?:for|while)\s*\([^{]*\{[^}]*\bawait\s+(?:[\w$]+\.)?"), F.col("target"), F.lit(r"\s*\("))
+    looped = F.concat(F.lit(r"\b(?:for|while)\s*\([^{]*\{[^}]*\bawait\s+(?:[\w$]+\.)?"), F.regexp_replace("target", r"\$", r"\\\$"), F.lit(r"\s*\("))
     at = out.join(functions.select(*OWN, "text"), list(OWN)).where(F.regexp_like("text", looped)).drop("text")
     bulk = functions.where("exported").select(F.col("file_path").alias("owner"), F.col("name").alias("batch"))
     plain = lambda c: F.lower(F.regexp_replace(c, r"(?i)(many|all|batch|bulk)", ""))
@@ -258,7 +259,8 @@ def retry_storm_shape(functions: DataFrame, imports: DataFrame) -> DataFrame:
 
 def repeated_handler_preamble(functions: DataFrame, least: int = 2) -> DataFrame:
     """Functions of a file that begin with the same guard."""
-    start = F.filter(F.transform(F.slice(_lines(), 2, 4), lambda x: F.trim(x)), lambda x: x != "")
+    body = F.transform(F.slice(_lines(), F.lit(2), F.size(_lines())), lambda x: F.trim(x))
+    start = F.filter(body, lambda x: (x != "") & ~x.rlike(r"^(//|/?\*)"))  # the first statement, however many blank lines and comments stand before it
     guard = F.when(F.get(start, F.lit(0)).endswith("{"), F.array_join(F.slice(start, 1, 2), "\n")).otherwise(F.get(start, F.lit(0)))
     d = _live(functions).select(*OWN, guard.alias("preamble")).where(F.col("preamble").rlike(r"^(if\s*\(|(await\s+)?(assert|validate|authorize|ensure|require|check)\w*\()"))
     by = d.groupBy("file_path", "preamble").agg(F.count("*").alias("repetitions")).where(F.col("repetitions") >= least)
@@ -330,7 +332,7 @@ def variant_partitioned_helper(functions: DataFrame, calls: DataFrame, least: in
     arms = _live(functions).select(*OWN, "text", F.posexplode("parameters").alias("position", "parameter"))
     quoted = F.regexp_replace("parameter", r"\$", r"\\\$")
     arms = arms.where(F.regexp_like("text", F.concat(F.lit(r"(?<![\w$.])"), quoted, F.lit(r"\s*===?\s*['\"]|switch\s*\(\s*"), quoted, F.lit(r"\s*\)")))).select(*OWN, "position", "parameter")
-    given = calls.where(~is_test_file(F.col("file_path"))).select(F.col("owner").alias("_o"), F.col("target").alias("_t"), F.col("file_path").alias("_caller"), F.posexplode(F.split("arguments", ",")).alias("position", "_x"))
+    given = calls.where(~is_test_file(F.col("file_path"))).select(F.col("owner").alias("_o"), F.col("target").alias("_t"), F.col("file_path").alias("_caller"), F.posexplode(split_top(F.col("arguments"))).alias("position", "_x"))
     literal = given.select("_o", "_t", "_caller", "position", F.regexp_extract("_x", r"^\s*['\"]([^'\"]*)['\"]\s*$", 1).alias("literal")).where("literal <> ''")
     met = arms.join(literal.withColumnsRenamed({"_o": "file_path", "_t": "name"}), [*OWN, "position"])
     one = met.groupBy(*OWN, "parameter", "_caller").agg(F.count_distinct("literal").alias("_n"), F.min("literal").alias("literal"))

@@ -6,6 +6,7 @@ import json
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -51,22 +52,25 @@ def abstentions(asked: DataFrame) -> DataFrame:
 def batches(rows: DataFrame, group: str, order: list[str], size: str, most: int = MOST_QUESTIONS, characters: int = MOST_CHARACTERS) -> DataFrame:
     """Adds `batch`: rows of a group packed in order, a batch closing before it passes either limit.
 
-    What a batch holds depends on all rows before it, so that the fold runs over each group in Python;
-    a group is one file, and only sizes enter it. A row beyond the limit has a batch of its own.
+    What a batch holds depends on all rows before it, so that one fold runs over partitions sorted by group;
+    it keeps four numbers, however long a group is. A row beyond the limit has a batch of its own.
     """
     schema = rows.schema.simpleString()[len("struct<") : -1] + ",batch:bigint"
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        numbers, batch, held, used = [], 0, 0, 0
-        for n in pdf[size]:
-            if held and (held == most or used + n > characters):
-                batch, held, used = batch + 1, 0, 0
-            held, used = held + 1, used + n
-            numbers.append(batch)
-        return pdf.assign(batch=numbers)
-
-    return rows.groupBy(group).applyInPandas(pack, schema)
+    def pack(frames):
+        began, inside, batch, held, used = False, None, 0, 0, 0
+        for frame in frames:
+            numbers = []
+            for owner, n in zip(frame.column(group).to_pylist(), frame.column(size).to_pylist(), strict=True):
+                if not began or owner != inside:
+                    began, inside, batch, held, used = True, owner, 0, 0, 0
+                if held and (held == most or used + n > characters):
+                    batch, held, used = batch + 1, 0, 0
+                held, used = held + 1, used + n
+                numbers.append(batch)
+            yield frame.append_column("batch", pa.array(numbers, pa.int64()))
+
+    return rows.repartition(group).sortWithinPartitions(group, *order).mapInArrow(pack, schema)
 
 
 def request_size(request: Column) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quillspan.functions.text import code_lines
+
 #: What a line must hold to be a candidate of a kind, tried in this order.
 LINE_KINDS = (
     ("comment", r"^\s*(//|/\*|\*|#)"),
@@ -27,13 +29,15 @@ def candidates(files: DataFrame) -> DataFrame:
 
     A comment is a maximal run of comment lines. A function or abstraction reaches from its first
     line to the line on which the depth of braces falls back to where it began, found by a running
-    sum over the file's lines: no parser, so braces in strings count.
+    sum over the file's lines. Braces in strings and comments do not count.
     """
     kind = F.lit(None).cast("string")
     for name, pattern in reversed(LINE_KINDS):
         kind = F.when(F.col("line").rlike(pattern), F.lit(name)).otherwise(kind)
-    braces = F.length(F.regexp_replace("line", "[^{]", "")) - F.length(F.regexp_replace("line", "[^}]", ""))
-    rows = lines(files).withColumns({"kind": kind, "braces": braces})
+    both = F.arrays_zip(F.split("source", "\n").alias("line"), F.split(code_lines(F.col("source")), "\n").alias("code"))
+    rows = files.select("file_path", F.posexplode(both).alias("at", "x")).select("file_path", (F.col("at") + 1).alias("line_number"), "x.line", "x.code").withColumn("kind", kind)
+    braces = F.length(F.regexp_replace("code", "[^{]", "")) - F.length(F.regexp_replace("code", "[^}]", ""))
+    rows = rows.withColumn("braces", braces)
     order = W.partitionBy("file_path").orderBy("line_number")
     rows = rows.withColumn("after", F.sum("braces").over(order.rowsBetween(W.unboundedPreceding, 0)))
     rows = rows.withColumns({"before": F.col("after") - F.col("braces"), "previous": F.lag("kind").over(order)})

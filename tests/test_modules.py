@@ -103,7 +103,7 @@ def test_text_and_import_rules(spark, tree):
     imports = spark.createDataFrame([("a/b/c/d.ts", "../../z"), ("a/b/c/d.ts", "../y"), ("a/b/c/d.ts", "zod")], "file_path string, specifier string")
     assert rows(MR.skipped_level_import(imports, files, imports), "specifier", "climb", "barrel") == [("../../z", 2, "a/b/index.ts")]
     deps = spark.createDataFrame([("zod",), ("yup",), ("pino",)], "name string")
-    assert rows(MR.second_shelf_dependency(imports, deps), "name", "job", "incumbents") == [("zod", "schemas", ["yup"])]
+    assert rows(MR.second_shelf_dependency(imports, deps), "name", "job", "incumbents") == [("zod", "schema", ["yup"])]
 
 
 def test_candidates_of_modules_and_changes(spark, tree):
