@@ -6,8 +6,9 @@ Documents stand in for functions, their lines for statements; lines of orders st
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from quillspan.operators import shape
+from quillspan.operators import call_order, shape
 from quillspan.plans.queries import _t, query
 
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -32,3 +33,30 @@ def shape_lookalikes(spark, sf_dir):
     left = shapes.select(F.col("shape").alias("left"), F.col("first").alias("left_doc"), F.col("n").alias("left_docs"))
     right = shapes.select(F.col("shape").alias("right"), F.col("first").alias("right_doc"), F.col("n").alias("right_docs"))
     return near.join(left, "left").join(right, "right").select("left_doc", "right_doc", "left_docs", "right_docs", "distance")
+
+
+_ASKED = "asked AS (SELECT a, b FROM (SELECT s_suppkey AS a, lead(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS b FROM supplier) WHERE b IS NOT NULL)"
+
+
+@query(
+    f"""WITH {_ASKED}, c AS (SELECT l_orderkey AS caller, l_suppkey AS t, min(l_linenumber) AS p FROM lineitem GROUP BY 1, 2)
+SELECT a AS first, b AS second, count(*) FILTER (x.p < y.p) AS before, count(*) FILTER (x.p >= y.p) AS after, count(*) FILTER (x.p IS NULL) AS without, min(y.caller) FILTER (x.p IS NULL OR x.p >= y.p) AS example
+FROM asked JOIN c y ON y.t = b LEFT JOIN c x ON x.t = a AND x.caller = y.caller GROUP BY 1, 2"""
+)
+def call_order_support(spark, sf_dir):
+    after = F.lead("s_suppkey").over(W.partitionBy("s_nationkey").orderBy("s_suppkey"))
+    asked = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("first"), after.alias("second")).where("second is not null")
+    calls = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("caller"), F.col("l_suppkey").alias("target"), F.col("l_linenumber").alias("position"))
+    return call_order.order_support(calls, asked)
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT * FROM (SELECT o_orderkey AS a, o_orderstatus AS s, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS b FROM orders) WHERE b IS NOT NULL AND s <> 'F'),
+p AS (SELECT a AS origin, a AS node, CAST(a AS VARCHAR) AS path, 1 AS n FROM e WHERE a NOT IN (SELECT b FROM e)
+  UNION ALL SELECT origin, b, path || ',' || b, n + 1 FROM p JOIN e ON e.a = p.node)
+SELECT origin, node, path, CAST(n AS BIGINT) AS layers FROM p"""
+)
+def handed_on_paths(spark, sf_dir):
+    follows = F.lead("o_orderkey").over(W.partitionBy("o_custkey").orderBy("o_orderkey"))
+    steps = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("source"), "o_orderstatus", follows.alias("target")).where("target is not null and o_orderstatus <> 'F'")
+    return call_order.first_paths(steps).select("origin", "node", F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"), F.size("path").cast("long").alias("layers"))
