@@ -134,7 +134,7 @@ def review(repository: Repository, changes: DataFrame, rules: DataFrame, scorer:
 
 def _found(repository: Repository) -> dict[str, relation_evidence.Evidence]:
     of_functions = relation_evidence.function_evidence(repository.functions, repository.calls) | relation_evidence.call_evidence(repository)
-    return of_functions | relation_evidence.type_evidence(relation_rules.members_of(repository.texts))
+    return of_functions | relation_evidence.type_evidence(relation_rules.members_of(repository.texts)) | relation_evidence.class_evidence(repository)
 
 
 def _before(repository: Repository, changes: DataFrame) -> Repository:

@@ -1,15 +1,15 @@
-"""Connected parts of a graph of links."""
+"""Connected parts of a graph: of links, and of directed edges."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.session import checkpoint_folder
+from quillspan.session import checkpoint_folder, stored
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, least): each node of `links` (a, b: long) and the least node that it is connected with.
+    """(node, least): each node of `links` (a, b: of one ordered type) and the least node that it is connected with.
 
     Every round gives each node the least label among its own, its neighbours' and its label's label,
     which halves paths; rounds end when no label changes. Only that count reaches the driver.
@@ -25,3 +25,59 @@ def components(links: DataFrame) -> DataFrame:
         if step.where("new <> least").isEmpty():
             return step.select("node", F.col("new").alias("least"))
         labels = step.select("node", F.col("new").alias("least"))
+
+
+def _spread(edges: DataFrame, salt: int) -> DataFrame:
+    """(node, label): the least label among the nodes from which `node` is reached by `edges` (s, t), itself included.
+
+    Labels are nodes, ordered by a hash. A node also takes its label's label, which a path leads from as well, so that
+    labels travel twice as far each round.
+    """
+    order = lambda c: F.struct(F.xxhash64(F.lit(salt), c).alias("h"), F.col(c).alias("n"))
+    nodes = edges.select(F.col("s").alias("node")).unionByName(edges.select(F.col("t").alias("node"))).distinct()
+    labels = stored(nodes.select("node", order("node").alias("label")))
+
+    def once(now: DataFrame) -> DataFrame:
+        near = edges.join(now, edges["s"] == now["node"]).groupBy("t").agg(F.min("label").alias("from"))
+        met = now.join(near, now["node"] == near["t"], "left").select("node", F.least("label", F.coalesce("from", "label")).alias("met"))
+        jump = now.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
+        return met.join(jump, F.col("met.n") == F.col("_n")).select("node", F.least("met", "_l").alias("label"))
+
+    while True:
+        step = stored(once(once(labels)).withColumnRenamed("label", "new").join(labels, "node"))
+        if step.where("new <> label").isEmpty():
+            return labels
+        labels = step.select("node", F.col("new").alias("label"))
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(node, root): the nodes of `edges` (source, target) that lie on circles, and one node for each set of nodes that reach each other.
+
+    A round colours each node by the least node that it is reached from and by the least one that it reaches. Where
+    both are the same node, the node belongs to that one's component; edges between other colours lie on no
+    circle and go. Orders are drawn anew each round, so that the rest falls apart quickly, however long its paths are.
+    No row holds more than a node, an edge and their colours.
+    """
+    e = edges.select(F.col("source").alias("s"), F.col("target").alias("t"))
+    loops = e.where("s = t").select(F.col("s").alias("node"), F.col("s").alias("root")).distinct()
+    e = stored(e.where("s <> t").distinct())
+    done, salt = loops.where("false"), 0
+    while True:
+        for _ in range(2):  # what has no way in or no way out is on no circle
+            e = e.join(e.select(F.col("t").alias("s")).distinct(), "s", "left_semi")
+            e = stored(e.join(e.select(F.col("s").alias("t")).distinct(), "t", "left_semi").select("s", "t"))
+        if e.isEmpty():
+            break
+        ahead = _spread(e, salt).select("node", F.col("label.n").alias("f"))
+        back = _spread(e.select(F.col("t").alias("s"), F.col("s").alias("t")), salt).select("node", F.col("label.n").alias("b"))
+        colours = stored(ahead.join(back, "node"))
+        done = done.unionByName(colours.where("f = b").select("node", F.col("f").alias("root")))
+        left = colours.where("f <> b")
+        from_ = left.select(F.col("node").alias("s"), F.col("f").alias("f1"), F.col("b").alias("b1"))
+        to = left.select(F.col("node").alias("t"), F.col("f").alias("f2"), F.col("b").alias("b2"))
+        e = e.join(from_, "s").join(to, "t").where("f1 = f2 and b1 = b2").select("s", "t")
+        salt += 1
+    # a root alone in its component is on no circle, unless it has an edge to itself
+    sizes = done.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
+    found = done.join(sizes.select("root"), "root", "left_semi").select("node", "root")
+    return stored(found.unionByName(loops.join(found.select("node"), "node", "left_anti").select("node", "root")))

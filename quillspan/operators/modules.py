@@ -75,19 +75,6 @@ def new_edges(after: DataFrame, before: DataFrame, key: list[str]) -> DataFrame:
     return after.join(before.select(*key).distinct(), key, "left_anti")
 
 
-def cyclic_core(edges: DataFrame) -> DataFrame:
-    """The edges left when nodes without an edge in or out are dropped again and again: cycles and what joins them."""
-    checkpoint_folder(edges.sparkSession)
-    e = edges.checkpoint()
-    before, n = -1, e.count()
-    while n != before:
-        heads = e.select(F.col("source").alias("target")).distinct()
-        tails = e.select(F.col("target").alias("source")).distinct()
-        e = e.join(heads, "target", "left_semi").join(tails, "source", "left_semi").select("source", "target").checkpoint()
-        before, n = n, e.count()
-    return e
-
-
 def within_steps(edges: DataFrame, start: DataFrame, steps: int | None = None) -> DataFrame:
     """(origin, node, distance): nodes that each origin reaches in at most `steps` edges, or in any number, with the shortest distance.
 

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quillspan.functions.text import directory, name_tokens, normalize_source, top_directory
-from quillspan.operators.modules import cyclic_core, first_callers, new_edges, within_steps
+from quillspan.operators.graph import strong_components
+from quillspan.operators.modules import first_callers, new_edges, within_steps
 from quillspan.operators.similarity import clumps, shared_items
 
 HEAD = r"(?m)^\s*(export\s+)?(?:default\s+)?(?:async\s+)?(?:function\s+([\w$]+)\s*(?:<[^>]*>)?\(([^)]*)\)|const\s+([\w$]+)\s*=\s*(?:async\s*)?\(([^)]*)\)\s*(?::[^=]+)?=>)"
@@ -22,6 +23,8 @@ TEST_FILE = r"\.(test|spec)\.[cm]?[jt]sx?$"
 INDEX_FILE = r"(^|/)index\.[cm]?[jt]sx?$"
 #: Fixed value: how many callers of a function are named.
 MOST_CALLERS = 20
+#: Cycles of up to so many edges are looked for first.
+MOST_CYCLE = 8
 
 
 def functions_of(spans: DataFrame) -> DataFrame:
@@ -202,14 +205,36 @@ def dev_dependency_runtime_leak(imports: DataFrame, dependencies: DataFrame) ->
     return p.join(sections.select("name"), "name", "left_semi").select("file_path", "name")
 
 
-def import_cycle_tangle(edges: DataFrame, changed: DataFrame) -> DataFrame:
-    """Changed files (column node) that reach themselves, with the length of the shortest cycle, however long."""
-    e = cyclic_core(edges.where("source <> target").select("source", "target").distinct())
-    starts = changed.select(F.col("node").alias("origin")).join(e.select(F.col("source").alias("origin")).distinct(), "origin", "left_semi")
-    reach = within_steps(e, starts)
-    back = e.select(F.col("source").alias("_s"), F.col("target").alias("_t")).distinct()
-    cycles = reach.join(back, (F.col("node") == F.col("_s")) & (F.col("origin") == F.col("_t")))
-    return cycles.groupBy("origin").agg((F.min("distance") + 1).alias("length"))
+def cycle_components(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(source, target, root) of the edges that lie on cycles, and (root, files, edges) of each set of files that reach each other."""
+    e = edges.where("source <> target").select("source", "target").distinct()
+    parts = strong_components(e)
+    one, two = parts.select(F.col("node").alias("source"), "root"), parts.select(F.col("node").alias("target"), F.col("root").alias("_root"))
+    inside = e.join(one, "source").join(two, "target").where("root = _root").select("source", "target", "root")
+    return inside, inside.groupBy("root").agg(F.count_distinct("source").alias("files"), F.count("*").alias("edges"))
+
+
+def import_cycle_tangle(edges: DataFrame, changed: DataFrame, steps: int = MOST_CYCLE) -> DataFrame:
+    """Changed files (column node) that reach themselves, with the length of the shortest cycle, however long.
+
+    Cycles are looked for inside components only: first those of up to `steps` edges; a component with as many edges
+    as files is one ring, as long as it has files; what is left is followed to its end.
+    """
+    inside, sizes = cycle_components(edges)
+    on = changed.select(F.col("node").alias("origin")).distinct().join(inside.select(F.col("source").alias("origin"), "root").distinct(), "origin").join(sizes, "root").checkpoint()
+
+    def shortest(among: DataFrame, starts: DataFrame, most: int | None) -> DataFrame:
+        reach = within_steps(among, starts.select("origin"), most)
+        back = among.select(F.col("source").alias("_s"), F.col("target").alias("_t"))
+        met = reach.join(back, (F.col("node") == F.col("_s")) & (F.col("origin") == F.col("_t")))
+        return met.groupBy("origin").agg((F.min("distance") + 1).alias("length"))
+
+    rings = on.where("files = edges").select("origin", F.col("files").cast("int").alias("length"))
+    tangled = on.where("files <> edges")
+    short = shortest(inside.join(tangled.select("root").distinct(), "root", "left_semi"), tangled, steps - 1).checkpoint()
+    long = tangled.join(short, "origin", "left_anti")
+    rest = shortest(inside.join(long.select("root").distinct(), "root", "left_semi"), long, None)
+    return rings.unionByName(short).unionByName(rest)
 
 
 def efferent_coupling_burst(after: DataFrame, before: DataFrame, least: int = 3) -> DataFrame:

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quillspan.operators import call_order, shape
+from quillspan.operators import call_order, classes, shape
+from quillspan.operators import relation_rules as RR
 from quillspan.plans.queries import _t, query
 
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -60,3 +61,31 @@ def handed_on_paths(spark, sf_dir):
     follows = F.lead("o_orderkey").over(W.partitionBy("o_custkey").orderBy("o_orderkey"))
     steps = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("source"), "o_orderstatus", follows.alias("target")).where("target is not null and o_orderstatus <> 'F'")
     return call_order.first_paths(steps).select("origin", "node", F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"), F.size("path").cast("long").alias("layers"))
+
+
+_RING = "e AS (SELECT DISTINCT source, target FROM (SELECT l_partkey AS source, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS target FROM lineitem WHERE l_quantity > 40) WHERE source <> target)"
+
+
+@query(
+    f"""WITH RECURSIVE {_RING},
+r AS (SELECT source AS origin, target AS node FROM e UNION SELECT origin, target FROM r JOIN e ON e.source = r.node),
+m AS (SELECT a.origin AS node, min(a.node) AS least FROM r a JOIN r b ON b.origin = a.node AND b.node = a.origin GROUP BY 1)
+SELECT x.least AS component, count(DISTINCT e.source) AS files, count(*) AS edges FROM e JOIN m x ON x.node = e.source JOIN m y ON y.node = e.target WHERE x.least = y.least GROUP BY 1"""
+)
+def cycle_components(spark, sf_dir):
+    follows = F.lead("l_partkey").over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
+    e = _t(spark, sf_dir, "lineitem").where("l_quantity > 40").select(F.col("l_partkey").alias("source"), follows.alias("target")).where("source <> target")
+    inside, sizes = RR.cycle_components(e)
+    least = inside.groupBy("root").agg(F.min("source").alias("component"))
+    return sizes.join(least, "root").select("component", "files", "edges")
+
+
+@query(
+    """WITH RECURSIVE m AS (SELECT DISTINCT o_custkey AS c, o_orderkey AS o, l_suppkey AS s FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity > 20),
+r AS (SELECT DISTINCT c, o AS a, o AS b FROM m UNION SELECT r.c, r.a, y.o FROM r JOIN m x ON x.c = r.c AND x.o = r.b JOIN m y ON y.c = x.c AND y.s = x.s)
+SELECT c AS customer, a AS member, min(b) AS part FROM r GROUP BY 1, 2"""
+)
+def cohesion_parts(spark, sf_dir):
+    o, lines = _t(spark, sf_dir, "orders"), _t(spark, sf_dir, "lineitem").where("l_quantity > 20")
+    rows = o.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("customer"), F.col("o_orderkey").alias("member"), "l_suppkey").distinct()
+    return classes.parts(rows, ["customer"], "member", "l_suppkey")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -32,3 +33,17 @@ def checkpoint_folder(spark: SparkSession) -> None:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillspan-"))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """`df` written below the checkpoint folder and read again.
+
+    Unlike a checkpoint, which keeps the estimates of the plan that it cuts, the files have sizes of their own; in a loop
+    of joins those estimates would multiply each round.
+    """
+    spark = df.sparkSession
+    checkpoint_folder(spark)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    folder = f"{base.rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
