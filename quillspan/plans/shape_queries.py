@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from quillspan.operators import call_order, classes, shape
 from quillspan.operators import relation_rules as RR
 from quillspan.plans.queries import _t, query
+from quillspan.sources import diff
 
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _SHAPES = f"""d AS (SELECT doc_id, array_to_string([substr('{_LETTERS}', least(25, length(x) // 16) + 1, 1) FOR x IN string_split(coalesce(text, ''), chr(10))], '') AS shape FROM documents),
@@ -89,3 +90,20 @@ def cohesion_parts(spark, sf_dir):
     o, lines = _t(spark, sf_dir, "orders"), _t(spark, sf_dir, "lineitem").where("l_quantity > 20")
     rows = o.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("customer"), F.col("o_orderkey").alias("member"), "l_suppkey").distinct()
     return classes.parts(rows, ["customer"], "member", "l_suppkey")
+
+
+@query(
+    """WITH RECURSIVE d AS (SELECT doc_id, text, lag(doc_id) OVER w AS other, lag(text) OVER w AS old FROM documents WHERE text IS NOT NULL WINDOW w AS (PARTITION BY string_split(text, chr(10))[1] ORDER BY doc_id)),
+p AS (SELECT doc_id, other, string_split(old, chr(10)) AS a, string_split(text, chr(10)) AS b FROM d WHERE other IS NOT NULL),
+r AS (SELECT doc_id, 0 AS i, [0 FOR x IN b] AS best FROM p
+  UNION ALL SELECT r.doc_id, i + 1, [list_max([CASE WHEN b[k] = a[i + 1] THEN CASE WHEN k = 1 THEN 0 ELSE best[k - 1] END + 1 ELSE best[k] END FOR k IN generate_series(1, j)]) FOR j IN generate_series(1, len(b))]
+  FROM r JOIN p ON p.doc_id = r.doc_id WHERE i < len(a))
+SELECT p.doc_id, p.other, CAST(len(b) - list_max(best) AS BIGINT) AS added, CAST(len(a) - list_max(best) AS BIGINT) AS removed FROM p JOIN r ON r.doc_id = p.doc_id AND i = len(a)"""
+)
+def line_diffs(spark, sf_dir):
+    w = W.partitionBy(F.get(F.split("text", "\n"), F.lit(0))).orderBy("doc_id")
+    d = _t(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.col("text").alias("source"), F.lag("doc_id").over(w).alias("other"), F.lag("text").over(w).alias("old_source")).where("other is not null")
+    hunks = diff.line_hunks(d.select(F.col("doc_id").cast("string").alias("file_path"), "source", "old_source"))
+    sizes = hunks.groupBy(F.col("file_path").cast("long").alias("doc_id")).agg(F.sum(F.size("new_lines")).alias("added"), F.sum(F.size("old_lines")).alias("removed"))
+    none = F.lit(0).cast("long")
+    return d.select("doc_id", "other").join(sizes, "doc_id", "left").select("doc_id", "other", F.coalesce("added", none).alias("added"), F.coalesce("removed", none).alias("removed"))

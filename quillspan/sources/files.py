@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quillspan.functions.text import closest_key, is_source_file, normalize_source
+from quillspan.sources.diff import line_hunks
 
 SCOPES = ("function", "comment", "abstraction", "change", "module")
 #: Files beside sources that rules read.
@@ -43,15 +44,9 @@ def changed_files(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def changed_lines(changes: DataFrame) -> DataFrame:
-    """(file_path, line_number, line) of lines that the old source does not hold as often.
-
-    The n-th occurrence of a line is new if the old file has fewer than n of it.
-    """
-    numbered = lambda c: changes.select("file_path", F.posexplode(F.split(F.col(c), "\n")).alias("at", "line"))
-    nth = F.row_number().over(W.partitionBy("file_path", "line").orderBy("at"))
-    old = numbered("old_source").withColumn("n", nth).select("file_path", "line", "n")
-    new = numbered("source").withColumn("n", nth)
-    return new.join(old, ["file_path", "line", "n"], "left_anti").select("file_path", (F.col("at") + 1).alias("line_number"), "line")
+    """(file_path, line_number, line) of lines that are not common to the old source: new ones, changed ones and those that moved."""
+    new = line_hunks(changes).select("file_path", "new_at", F.posexplode("new_lines").alias("at", "line"))
+    return new.select("file_path", (F.col("new_at") + F.col("at")).alias("line_number"), "line")
 
 
 def changed_ranges(lines: DataFrame) -> DataFrame:
