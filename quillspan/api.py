@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.operators import module_facts, modules, relation_evidence, relation_rules, requests, review as ops, spans
+from quillspan.operators import module_facts, modules, references, relation_evidence, relation_rules, requests, review as ops, spans
 from quillspan.operators.pattern_rules import PATTERN_RULES, pattern_evidence, span_texts
 from quillspan.session import checkpoint_folder
 from quillspan.sources.files import changed_lines, changed_ranges
@@ -63,8 +63,17 @@ class Repository:
     def calls(self) -> DataFrame:
         return relation_rules.resolved_calls(relation_rules.calls_of(self.functions), self.functions, self.imports).persist()
 
+    @cached_property
+    def postings(self) -> DataFrame:
+        return references.postings(self.files).persist()
+
+    @cached_property
+    def references(self) -> DataFrame:
+        """Functions named as values, and called from other files, in functions or outside them."""
+        return references.function_references(self.functions, self.imports, self.postings).where("kind = 'value' or file_path <> owner").persist()
+
     def close(self) -> None:
-        for name in ("candidates", "texts", "imports", "edges", "functions", "calls"):
+        for name in ("candidates", "texts", "imports", "edges", "functions", "calls", "postings", "references"):
             if name in self.__dict__:
                 self.__dict__[name].unpersist()
 
@@ -133,7 +142,7 @@ def review(repository: Repository, changes: DataFrame, rules: DataFrame, scorer:
 
 
 def _found(repository: Repository) -> dict[str, relation_evidence.Evidence]:
-    of_functions = relation_evidence.function_evidence(repository.functions, repository.calls) | relation_evidence.call_evidence(repository)
+    of_functions = relation_evidence.function_evidence(repository.functions, repository.calls, repository.references) | relation_evidence.call_evidence(repository)
     return of_functions | relation_evidence.type_evidence(relation_rules.members_of(repository.texts)) | relation_evidence.class_evidence(repository)
 
 

@@ -20,15 +20,20 @@ def code_only(source: Column) -> Column:
     return F.regexp_replace(source, QUOTED, "$1$1$2$2")
 
 
-def code_lines(source: Column) -> Column:
-    """A source without its strings and comments, line by line as before: of what goes, the line feeds stay."""
-    parts, gone = F.split(source, QUOTED, -1), F.regexp_extract_all(source, F.lit(QUOTED), F.lit(0))
+def blanked(source: Column, pattern: str) -> Column:
+    """A source without what matches, line by line as before: of what goes, the line feeds stay."""
+    parts, gone = F.split(source, pattern, -1), F.regexp_extract_all(source, F.lit(pattern), F.lit(0))
     return F.array_join(F.zip_with(parts, gone, lambda p, g: F.concat(p, F.coalesce(F.regexp_replace(g, "[^\n]", ""), F.lit("")))), "")
 
 
+def code_lines(source: Column) -> Column:
+    """A source without its strings and comments, line by line."""
+    return blanked(source, QUOTED)
+
+
 def split_top(items: Column) -> Column:
     """The parts of a list between commas that stand outside brackets and quotes, trimmed; none of a blank text."""
-    return F.filter(F.transform(F.regexp_extract_all(items, F.lit(ITEM), F.lit(0)), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.regexp_extract_all(items, F.lit(ITEM), F.lit(0)), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
 
 
 def normalize_source(source: Column) -> Column:

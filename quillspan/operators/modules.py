@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quillspan.functions.text import directory, top_directory
+from quillspan.functions.text import directory, split_top, top_directory
 from quillspan.session import checkpoint_folder
 
 #: What a relative specifier may stand for, in order of preference.
@@ -23,7 +23,7 @@ def module_imports(files: DataFrame) -> DataFrame:
     s = files.select("file_path", statement)
     part = lambda k: F.nullif(F.regexp_extract("statement", IMPORT, k), F.lit(""))
     s = s.select("file_path", part(5).alias("specifier"), part(1).isNotNull().alias("type_only"), part(2).alias("default"), part(3).alias("namespace"), part(4).alias("named"))
-    names = F.transform(F.filter(F.split(F.coalesce("named", F.lit("")), ","), lambda x: F.trim(x) != ""), lambda x: _binding(F.trim(x)))
+    names = F.transform(split_top(F.coalesce("named", F.lit(""))), _binding)
     none = F.array().cast("array<struct<imported:string,local:string>>")
     one = lambda c, name: F.when(c.isNotNull(), F.array(F.struct(name.alias("imported"), c.alias("local")))).otherwise(none)
     rows = F.concat(one(F.col("default"), F.lit("default")), one(F.col("namespace"), F.lit("*")), names)

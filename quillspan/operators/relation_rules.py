@@ -16,7 +16,7 @@ from quillspan.operators.modules import first_callers, new_edges, within_steps
 from quillspan.operators.similarity import clumps, shared_items
 
 HEAD = r"(?m)^\s*(export\s+)?(?:default\s+)?(?:async\s+)?(?:function\s+([\w$]+)\s*(?:<[^>]*>)?\(([^)]*)\)|const\s+([\w$]+)\s*=\s*(?:async\s*)?\(([^)]*)\)\s*(?::[^=]+)?=>)"
-CALL = r"(?<![\w$.])([A-Za-z_$][\w$]*)\s*\(([^()]*)\)"
+CALL = r"(?<![\w$.])((?:[A-Za-z_$][\w$]*\.)?[A-Za-z_$][\w$]*)\s*\(([^()]*)\)"
 #: Words before a parenthesis that are no calls.
 NO_CALL = ("if", "for", "while", "switch", "catch", "function", "return", "typeof", "await", "new")
 TEST_FILE = r"\.(test|spec)\.[cm]?[jt]sx?$"
@@ -37,17 +37,21 @@ def functions_of(spans: DataFrame) -> DataFrame:
 
 
 def calls_of(functions: DataFrame) -> DataFrame:
-    """(file_path, caller, callee, arguments): calls by plain name inside each function."""
+    """(file_path, caller, callee, arguments): calls by plain name, or by one name of another (`ns.f`), inside each function."""
     sites = functions.select("file_path", F.col("name").alias("caller"), F.posexplode(F.regexp_extract_all("text", F.lit(CALL), F.lit(0))).alias("position", "site"))
     rows = sites.select("file_path", "caller", "position", F.regexp_extract("site", CALL, 1).alias("callee"), F.regexp_extract("site", CALL, 2).alias("arguments"))
     return rows.where(~F.col("callee").isin(*NO_CALL) & (F.col("callee") != F.col("caller")))
 
 
 def resolved_calls(calls: DataFrame, functions: DataFrame, imports: DataFrame) -> DataFrame:
-    """Adds `owner`, the file that defines the callee: by import binding, else the caller's own file."""
+    """Adds `owner`, the file that defines the callee: by import binding, else the caller's own file. A name of another
+    name is a callee only where that one is bound to a whole module."""
     bound = imports.where("resolved is not null").select(F.col("file_path").alias("_f"), F.col("local").alias("_l"), F.col("imported").alias("_i"), F.col("resolved").alias("_r")).distinct()
-    met = calls.join(bound, (F.col("file_path") == F.col("_f")) & (F.col("callee") == F.col("_l")), "left")
-    named = met.withColumns({"owner": F.coalesce("_r", "file_path"), "target": F.when(F.col("_i").isNotNull() & (F.col("_i") != "default"), F.col("_i")).otherwise(F.col("callee"))})
+    leaf = F.when(F.contains("callee", F.lit(".")), F.substring_index("callee", ".", -1))
+    met = calls.withColumns({"_root": F.substring_index("callee", ".", 1), "_leaf": leaf})
+    met = met.join(bound, (F.col("file_path") == F.col("_f")) & (F.col("_root") == F.col("_l")), "left").where("_leaf is null or _i = '*'")
+    plain = F.when(F.col("_i").isNotNull() & (F.col("_i") != "default"), F.col("_i")).otherwise(F.col("callee"))
+    named = met.withColumns({"owner": F.coalesce("_r", "file_path"), "target": F.coalesce("_leaf", plain)})
     known = functions.select(F.col("file_path").alias("_of"), F.col("name").alias("_on")).distinct()
     return named.join(known, (F.col("owner") == F.col("_of")) & (F.col("target") == F.col("_on")), "left_semi").select("file_path", "caller", "owner", "target", "arguments", "position")
 
@@ -59,11 +63,13 @@ def is_test_file(path: Column) -> Column:
 # function rules ----------------------------------------------------------------------------------
 
 
-def unused_exported_helper(functions: DataFrame, calls: DataFrame) -> DataFrame:
-    """Exported functions that no file outside tests calls."""
-    live = calls.where(~is_test_file(F.col("file_path"))).select(F.col("owner").alias("_o"), F.col("target").alias("_t")).distinct()
+def unused_exported_helper(functions: DataFrame, calls: DataFrame, references: DataFrame | None = None) -> DataFrame:
+    """Exported functions that no file outside tests calls; nor, with `references` (owner, target, file_path), names as a value."""
+    live = calls.where(~is_test_file(F.col("file_path"))).select(F.col("owner").alias("_o"), F.col("target").alias("_t"))
+    if references is not None:
+        live = live.unionByName(references.where(~is_test_file(F.col("file_path"))).select(F.col("owner").alias("_o"), F.col("target").alias("_t")))
     own = functions.where(F.col("exported") & ~is_test_file(F.col("file_path")))
-    return own.join(live, (F.col("file_path") == F.col("_o")) & (F.col("name") == F.col("_t")), "left_anti").select("file_path", "name")
+    return own.join(live.distinct(), (F.col("file_path") == F.col("_o")) & (F.col("name") == F.col("_t")), "left_anti").select("file_path", "name")
 
 
 def single_caller_exported_helper(functions: DataFrame, calls: DataFrame) -> DataFrame:
@@ -155,11 +161,13 @@ def breaking_export_reshape(before: DataFrame, after: DataFrame) -> DataFrame:
     return j.where("new is null or new > old").select("file_path", "name", F.when(F.col("new").isNull(), "removed").otherwise("more parameters").alias("change"))
 
 
-def change_stranded_code(calls_before: DataFrame, calls_after: DataFrame, after: DataFrame) -> DataFrame:
-    """Functions that had callers before and have none now."""
+def change_stranded_code(calls_before: DataFrame, calls_after: DataFrame, after: DataFrame, references: DataFrame | None = None) -> DataFrame:
+    """Functions that had callers before and have none now; nor, with `references` (owner, target), a place that names them as a value."""
     was = calls_before.select(F.col("owner").alias("file_path"), F.col("target").alias("name")).distinct()
-    now = calls_after.select(F.col("owner").alias("file_path"), F.col("target").alias("name")).distinct()
-    return after.select("file_path", "name").join(was, ["file_path", "name"], "left_semi").join(now, ["file_path", "name"], "left_anti")
+    now = calls_after.select(F.col("owner").alias("file_path"), F.col("target").alias("name"))
+    if references is not None:
+        now = now.unionByName(references.select(F.col("owner").alias("file_path"), F.col("target").alias("name")))
+    return after.select("file_path", "name").join(was, ["file_path", "name"], "left_semi").join(now.distinct(), ["file_path", "name"], "left_anti")
 
 
 def shotgun_change(changed_lines: DataFrame, least: int = 2, most: int = 30) -> DataFrame:

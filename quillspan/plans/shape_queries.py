@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quillspan.operators import call_order, classes, shape
+from quillspan.operators import call_order, classes, references, shape, units
 from quillspan.operators import relation_rules as RR
 from quillspan.plans.queries import _t, query
 from quillspan.sources import diff
@@ -107,3 +107,30 @@ def line_diffs(spark, sf_dir):
     sizes = hunks.groupBy(F.col("file_path").cast("long").alias("doc_id")).agg(F.sum(F.size("new_lines")).alias("added"), F.sum(F.size("old_lines")).alias("removed"))
     none = F.lit(0).cast("long")
     return d.select("doc_id", "other").join(sizes, "doc_id", "left").select("doc_id", "other", F.coalesce("added", none).alias("added"), F.coalesce("removed", none).alias("removed"))
+
+
+_PAGES = r"p AS (SELECT page_id, regexp_extract(url, '^https?://([^?#]*[^?#/])', 1) AS path, url FROM pages)"
+_UNITS = "u AS (SELECT DISTINCT regexp_extract(path, '^([^/]+/[^/]+)/', 1) AS unit FROM p WHERE url LIKE '%#top' UNION SELECT DISTINCT regexp_extract(path, '^([^/]+)/', 1) FROM p WHERE url LIKE 'https:%')"
+
+
+@query(
+    f"""WITH {_PAGES}, {_UNITS}
+SELECT page_id, max_by(unit, length(unit)) AS unit FROM p LEFT JOIN u ON unit <> '' AND starts_with(path, unit || '/') GROUP BY page_id"""
+)
+def nearest_unit(spark, sf_dir):
+    p = _t(spark, sf_dir, "pages").select("page_id", "url", F.regexp_extract("url", r"^https?://([^?#]*[^?#/])", 1).alias("path"))
+    sections = p.where("url like '%#top'").select(F.regexp_extract("path", "^([^/]+/[^/]+)/", 1).alias("unit"))
+    hosts = p.where("url like 'https:%'").select(F.regexp_extract("path", "^([^/]+)/", 1).alias("unit"))
+    found = units.nearest(p.select("path"), sections.unionByName(hosts).where("unit <> ''"))
+    return p.join(found, "path", "left").select("page_id", "unit")
+
+
+@query(
+    r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z_$][A-Za-z0-9_$]*')) AS name FROM documents)
+SELECT name, count(*) AS sites, count(DISTINCT doc_id) AS files FROM w GROUP BY name"""
+)
+def identifier_postings(spark, sf_dir):
+    # prose has no strings or comments; what would begin one is taken out on both sides of the comparison
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^A-Za-z0-9_$\n]", " ")
+    posted = references.postings(_t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file_path"), plain.alias("source")))
+    return posted.groupBy("name").agg(F.count("*").alias("sites"), F.count_distinct("file_path").alias("files"))
