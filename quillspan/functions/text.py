@@ -11,6 +11,8 @@ SOURCE_FILE = r"(?i)\.[cm]?[jt]sx?$"
 
 #: Strings, templates and comments; possessive, so that long ones need no stack.
 QUOTED = r"""(["'])(?:[^"'\\\n]++|\\.|(?!\1)["'])*+\1|(`)(?:[^`\\]++|\\[\s\S])*+`|//[^\n]*+|/\*(?:[^*]++|\*(?!/))*+\*/"""
+#: The same with what a string holds as its first group, comments outside it.
+STRING_OR_COMMENT = r"""("(?:[^"\\\n]++|\\.)*+"|'(?:[^'\\\n]++|\\.)*+'|`(?:[^`\\]++|\\[\s\S])*+`)|//[^\n]*+|/\*(?:[^*]++|\*(?!/))*+\*/"""
 #: A part of a list up to a comma outside brackets and quotes, with brackets in brackets up to two deep.
 ITEM = r"""(?:[^,()\[\]{}"'`]|"[^"]*"|'[^']*'|`[^`]*`|\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)|\[(?:[^\[\]]|\[[^\[\]]*\])*\]|\{(?:[^{}]|\{[^{}]*\})*\})+"""
 
@@ -20,6 +22,11 @@ def code_only(source: Column) -> Column:
     return F.regexp_replace(source, QUOTED, "$1$1$2$2")
 
 
+def uncommented(source: Column) -> Column:
+    """A source without its comments, strings as they are."""
+    return F.regexp_replace(source, STRING_OR_COMMENT, "$1")
+
+
 def blanked(source: Column, pattern: str) -> Column:
     """A source without what matches, line by line as before: of what goes, the line feeds stay."""
     parts, gone = F.split(source, pattern, -1), F.regexp_extract_all(source, F.lit(pattern), F.lit(0))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quillspan.functions.text import directory, name_tokens, normalize_source, top_directory
+from quillspan.functions.text import directory, name_tokens, normalize_source, top_directory, uncommented
 from quillspan.operators.graph import strong_components
 from quillspan.operators.modules import first_callers, new_edges, within_steps
 from quillspan.operators.similarity import clumps, shared_items
@@ -38,7 +38,7 @@ def functions_of(spans: DataFrame) -> DataFrame:
 
 def calls_of(functions: DataFrame) -> DataFrame:
     """(file_path, caller, callee, arguments): calls by plain name, or by one name of another (`ns.f`), inside each function."""
-    sites = functions.select("file_path", F.col("name").alias("caller"), F.posexplode(F.regexp_extract_all("text", F.lit(CALL), F.lit(0))).alias("position", "site"))
+    sites = functions.select("file_path", F.col("name").alias("caller"), F.posexplode(F.regexp_extract_all(uncommented(F.col("text")), F.lit(CALL), F.lit(0))).alias("position", "site"))
     rows = sites.select("file_path", "caller", "position", F.regexp_extract("site", CALL, 1).alias("callee"), F.regexp_extract("site", CALL, 2).alias("arguments"))
     return rows.where(~F.col("callee").isin(*NO_CALL) & (F.col("callee") != F.col("caller")))
 
