@@ -66,3 +66,22 @@ def nearest_set(asked: DataFrame, sets: DataFrame, owner: str, name: str, value:
     shared = a.join(s, "v").groupBy("o", "s").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
     best = F.min(F.struct((-F.col("shared")).alias("k"), F.col("s"))).alias("b")
     return shared.groupBy("o").agg(best).select(F.col("o").alias(owner), F.col("b.s").alias(name), (-F.col("b.k")).alias("shared"))
+
+
+def contained_sets(items: DataFrame, owner: str, item: str, least: int = 2) -> DataFrame:
+    """(inside, outside, size, other_size): sets of `least` items or more that lie wholly in another, larger one.
+
+    Owners of equal sets are one, the least of them. A set lies only in sets that hold its rarest item, so that it meets
+    the owners of that item alone, and lies in those that hold as many of its items as it has.
+    """
+    rows = items.select(F.col(owner).alias("o"), F.col(item).alias("i")).where("o is not null and i is not null").distinct()
+    sets = rows.groupBy("o").agg(F.sha2(F.to_json(F.sort_array(F.collect_set("i"))), 256).alias("key"), F.count("*").alias("n")).where(F.col("n") >= least)
+    first = sets.groupBy("key").agg(F.min("o").alias("o"), F.first("n").alias("n")).select("o", "n")
+    rows = rows.join(first, "o")
+    counts = rows.groupBy("i").agg(F.count("*").alias("owners"))
+    rarest = rows.join(counts, "i").groupBy("o", "n").agg(F.min(F.struct("owners", "i"))["i"].alias("i"))
+    there = rows.select(F.col("o").alias("outside"), F.col("n").alias("other_size"), "i")
+    met = rarest.join(there, "i").where("other_size > n").select(F.col("o").alias("inside"), F.col("n").alias("size"), "outside", "other_size")
+    asked = met.join(rows.select(F.col("o").alias("inside"), "i"), "inside")
+    shared = asked.join(there.select("outside", "i"), ["outside", "i"]).groupBy("inside", "outside", "size", "other_size").agg(F.count("*").alias("shared"))
+    return shared.where("shared = size").select("inside", "outside", "size", "other_size")

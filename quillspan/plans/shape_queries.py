@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quillspan.operators import call_order, classes, references, shape, units
+from quillspan.operators import call_order, classes, references, shape, similarity, units
 from quillspan.operators import relation_rules as RR
 from quillspan.plans.queries import _t, query
 from quillspan.sources import diff
@@ -134,3 +134,13 @@ def identifier_postings(spark, sf_dir):
     plain = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^A-Za-z0-9_$\n]", " ")
     posted = references.postings(_t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file_path"), plain.alias("source")))
     return posted.groupBy("name").agg(F.count("*").alias("sites"), F.count_distinct("file_path").alias("files"))
+
+
+@query(
+    """WITH i AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s FROM lineitem),
+z AS (SELECT o, list_sort(list(s)) AS k, count(*) AS n FROM i GROUP BY o), f AS (SELECT min(o) AS o, any_value(n) AS n FROM z WHERE n >= 2 GROUP BY k),
+r AS (SELECT i.o, i.s, n FROM i JOIN f ON f.o = i.o)
+SELECT a.o AS inside, b.o AS outside, any_value(a.n) AS size, any_value(b.n) AS other_size FROM r a JOIN r b ON a.s = b.s AND b.n > a.n GROUP BY a.o, b.o HAVING count(*) = any_value(a.n)"""
+)
+def contained_sets(spark, sf_dir):
+    return similarity.contained_sets(_t(spark, sf_dir, "lineitem"), "l_orderkey", "l_suppkey")
