@@ -20,9 +20,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.operators import module_facts, modules, references, relation_evidence, relation_rules, requests, review as ops, spans
+from quillspan.operators import custom_rules, module_facts, modules, references, relation_evidence, relation_rules, requests, review as ops, spans
 from quillspan.operators.pattern_rules import PATTERN_RULES, pattern_evidence, span_texts
+from quillspan.operators.custom_rules import RuleBook
 from quillspan.session import checkpoint_folder
+from quillspan.sources.answers import AnswerStore
 from quillspan.sources.files import changed_lines, changed_ranges
 
 #: The order of categories in a report.
@@ -124,13 +126,25 @@ def default_rules() -> list[tuple]:
     return patterns + [(relation_evidence.rule_id(n), scope, category(n), message) for n, scope, message in relation_evidence.RELATION_RULES]
 
 
-def audit(repository: Repository, rules: DataFrame, most: int | None = None, scorer: Callable[[pd.DataFrame], pd.Series] | None = None, cache: DataFrame | None = None) -> Report:
-    """All spans and modules of the tree, in audit order if `most` bounds how many are asked."""
+def built_in() -> list[str]:
+    """Names of the rules that the engine has builders for."""
+    return [r.rule_id for r in PATTERN_RULES] + [relation_evidence.rule_id(n) for n, _, _ in relation_evidence.RELATION_RULES]
+
+
+def audit(
+    repository: Repository, rules: DataFrame, most: int | None = None, scorer: Callable[[pd.DataFrame], pd.Series] | None = None, cache: DataFrame | None = None, book: RuleBook | None = None, store: AnswerStore | None = None
+) -> Report:
+    """All spans and modules of the tree, in audit order if `most` bounds how many are asked.
+
+    `book` holds rules of the user's own. Answers are looked up in `cache` or in `store`, which also takes in the new ones.
+    """
     found = _found(repository) | relation_evidence.module_evidence(repository)
-    return _judge(repository, _with(repository.texts, module_facts.module_candidates(repository.files)), rules, most, scorer, cache, found)
+    return _judge(repository, _with(repository.texts, module_facts.module_candidates(repository.files)), rules, most, scorer, cache, found, book, store)
 
 
-def review(repository: Repository, changes: DataFrame, rules: DataFrame, scorer: Callable[[pd.DataFrame], pd.Series] | None = None, cache: DataFrame | None = None) -> Report:
+def review(
+    repository: Repository, changes: DataFrame, rules: DataFrame, scorer: Callable[[pd.DataFrame], pd.Series] | None = None, cache: DataFrame | None = None, book: RuleBook | None = None, store: AnswerStore | None = None
+) -> Report:
     """The spans that share a line with the changes (file_path, source, old_source), the modules that changed, and the change."""
     ranges = changed_ranges(changed_lines(changes))
     touched = spans.overlapping(repository.texts, ranges, "file_path")
@@ -138,7 +152,7 @@ def review(repository: Repository, changes: DataFrame, rules: DataFrame, scorer:
     before = _before(repository, changes)
     found = _found(repository) | relation_evidence.module_evidence(repository, before) | relation_evidence.change_evidence(repository, before, changes)
     whole = module_facts.change_candidate(changes, ranges)
-    return _judge(repository, _with(_with(touched, changed), whole), rules, None, scorer, cache, found)
+    return _judge(repository, _with(_with(touched, changed), whole), rules, None, scorer, cache, found, book, store)
 
 
 def _found(repository: Repository) -> dict[str, relation_evidence.Evidence]:
@@ -158,22 +172,31 @@ def _with(texts: DataFrame, more: DataFrame) -> DataFrame:
     return texts.select(*columns).unionByName(more.select(*columns))
 
 
-def _judge(repository: Repository, texts: DataFrame, rules: DataFrame, most: int | None, scorer, cache: DataFrame | None, related: dict[str, relation_evidence.Evidence]) -> Report:
-    checkpoint_folder(texts.sparkSession)
-    handled = [r.rule_id for r in PATTERN_RULES] + [relation_evidence.rule_id(n) for n, _, _ in relation_evidence.RELATION_RULES]
+def _judge(repository: Repository, texts: DataFrame, rules: DataFrame, most: int | None, scorer, cache: DataFrame | None, related: dict[str, relation_evidence.Evidence], book: RuleBook | None, store: AnswerStore | None) -> Report:
+    spark = texts.sparkSession
+    checkpoint_folder(spark)
+    book = book or RuleBook()
+    if book.rules:
+        rules = rules.select("rule_id", "scope", "category", "message").unionByName(spark.createDataFrame(book.rows(), "rule_id string, scope string, category string, message string"))
+    if store is not None and cache is None:
+        cache = store.known()
+    handled = [*built_in(), *book.rules]
     texts = texts.withColumn("id", F.when(F.col("kind") == "change", F.lit("change")).otherwise(F.concat_ws("#", "file_path", "id")))
     found = pattern_evidence(texts, keep=("id",))
     evidence = found.groupBy("id", "rule_id").agg(F.to_json(F.struct(F.first("matches").alias("matches"), F.first("total").alias("total"))).alias("evidence"))
     asked_rules = {r.rule_id for r in rules.select("rule_id").collect()}  # the table of rules is configuration
     for part in relation_evidence.evidence(related, asked_rules):
         evidence = evidence.unionByName(part)
+    evidence = evidence.withColumn("error", F.lit(None).cast("string"))
+    if book.rules:
+        evidence = evidence.unionByName(custom_rules.custom_evidence(texts, book))
     evidence = evidence.checkpoint()
     table = rules.select("rule_id", "scope", "category", "message", F.col("rule_id").isin(*handled).alias("handled"))
     degrees = repository.in_degree.select(F.col("node").alias("_n"), "in_degree")
     placed = texts.join(degrees, F.col("file_path") == F.col("_n"), "left").select("id", "kind", "file_path", F.col("start_line").alias("start"), F.col("end_line").alias("end"), "text", F.coalesce("in_degree", F.lit(0)).alias("in_degree"))
     placed = placed.withColumn("asked", F.lit(True)) if most is None else ops.cap(placed, ops.audit_order(placed), most)
     placed = placed.persist()
-    met = ops.questions(placed.where("asked"), table, evidence.withColumn("error", F.lit(None).cast("string")))
+    met = ops.questions(placed.where("asked"), table, evidence)
     met = met.withColumn("digest", ops.question_digest(F.col("rule_id"), F.col("kind"), F.col("text"), F.coalesce("evidence", F.lit("")))).persist()
     asked = met.where("outcome = 'question'").select("id", "rule_id", "kind", "file_path", "start", "end", "category", "message", "digest", F.coalesce("evidence", F.lit("")).alias("evidence"), F.length("text").cast("long").alias("size"))
     known = None
@@ -187,11 +210,15 @@ def _judge(repository: Repository, texts: DataFrame, rules: DataFrame, most: int
         schema = batched.schema.simpleString()[len("struct<") : -1] + ",probability:double,error:string"
         scored = ops.evaluate(batched.withColumn("batch", F.concat_ws("#", "file_path", "batch")), scorer, schema.replace("batch:bigint", "batch:string"))
     scored = scored.withColumn("scored", F.lit(scorer is not None))
+    if store is not None and scorer is not None:  # answers that are kept are computed once
+        scored = scored.checkpoint()
+        store.update(scored.where("error is null").select("digest", "probability"))
     columns = ["category", "probability", "scored", "file_path", "start", "end", "rule_id", "kind", "message", "digest"]
     judgments = scored.where("error is null").select(*columns)
     if known is not None:
         judgments = judgments.unionByName(known.withColumn("scored", F.lit(True)).select(*columns))
     failures = scored.where("error is not null").select("file_path", "rule_id", "id", "error")
+    failures = failures.unionByName(met.where("outcome = 'failure'").select("file_path", "rule_id", "id", "error"))
     silent = met.where("outcome = 'abstention'").groupBy("file_path", "rule_id").agg(F.count("*").alias("count"))
     totals = requests.artifact_totals(judgments, silent)
     return Report(judgments, ops.abstentions(met), failures, ops.coverage(placed), totals)
