@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quillspan.functions.text import code_only
-from quillspan.operators.classes import parts
-from quillspan.operators.similarity import shared_items
+from quillspan.operators.similarity import parts, shared_items
 
 #: Words that a renaming leaves alone.
 KEYWORDS = (

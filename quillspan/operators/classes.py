@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quillspan.functions.text import code_lines
-from quillspan.operators.graph import components
 from quillspan.operators.relation_rules import is_test_file
+from quillspan.operators.similarity import parts
 
 METHOD = r"^\s*((?:(?:public|protected|private|static|async|override|readonly|get|set)\s+)*)\*?(#?[A-Za-z_$][\w$]*)\s*(?:<[^>]*>)?\([^;]*$"
 #: Words that stand before a parenthesis and are no methods.
@@ -24,20 +24,6 @@ CLASS = r"\bclass\s+([\w$]+)"
 MOST_NAMED = 12
 
 
-def parts(rows: DataFrame, owner: list[str], item: str, feature: str) -> DataFrame:
-    """(owner, part, items): the items of each owner, in parts that share features directly or through others.
-
-    `part` is the least item of its part; an item whose feature is null is a part of its own.
-    """
-    key = F.to_json(F.struct(*owner))
-    sides = rows.select(*owner, F.col(item).alias("i"), F.concat_ws("\u0001", key, F.lit("i"), F.col(item).cast("string")).alias("a"), F.when(F.col(feature).isNotNull(), F.concat_ws("\u0001", key, F.lit("f"), F.col(feature).cast("string"))).alias("b"))
-    labels = components(sides.where("b is not null").select("a", "b").distinct())
-    own = sides.select(*owner, "i", "a").distinct()
-    met = own.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("least", "a"))
-    by = W.partitionBy(*owner, "label")
-    return met.withColumn("part", F.min("i").over(by)).select(*owner, "part", F.col("i").alias(item))
-
-
 def methods_of(spans: DataFrame) -> DataFrame:
     """(file_path, id, type_name, method, static, hidden, text) of the methods of classes: heads at the first level of braces, up to where the level ends."""
     classes = spans.where("kind = 'abstraction'").where(F.col("text").rlike(CLASS)).select("file_path", "id", "text", F.regexp_extract("text", CLASS, 1).alias("type_name"))

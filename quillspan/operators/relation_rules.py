@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from quillspan.functions.text import directory, name_tokens, normalize_source, top_directory, uncommented
 from quillspan.operators.graph import strong_components
 from quillspan.operators.modules import first_callers, new_edges, within_steps
-from quillspan.operators.similarity import clumps, shared_items
+from quillspan.operators.similarity import clumps, jaccard_pairs, parts, shared_items
 
 HEAD = r"(?m)^\s*(export\s+)?(?:default\s+)?(?:async\s+)?(?:function\s+([\w$]+)\s*(?:<[^>]*>)?\(([^)]*)\)|const\s+([\w$]+)\s*=\s*(?:async\s*)?\(([^)]*)\)\s*(?::[^=]+)?=>)"
 CALL = r"(?<![\w$.])((?:[A-Za-z_$][\w$]*\.)?[A-Za-z_$][\w$]*)\s*\(([^()]*)\)"
@@ -96,12 +96,10 @@ def duplicated_logic(functions: DataFrame, least: int = 3) -> DataFrame:
 def clone_and_tweak_sibling(functions: DataFrame, least: float = 0.5) -> DataFrame:
     """The most similar other function of the same file by distinct tokens, at `least` Jaccard."""
     tokens = F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-z_$][\w$]*|\d+"), F.lit(0)))
-    f = functions.select("file_path", "name", tokens.alias("t"))
-    other = f.select(F.col("file_path").alias("_f"), F.col("name").alias("sibling"), F.col("t").alias("u"))
-    pairs = f.join(other, (F.col("file_path") == F.col("_f")) & (F.col("name") != F.col("sibling")))
-    jaccard = F.round(F.size(F.array_intersect("t", "u")) / F.size(F.array_union("t", "u")), 3)
+    pairs = jaccard_pairs(functions.select("file_path", "name", F.explode(tokens).alias("token")), "file_path", "name", "token", least)
+    both = pairs.select("file_path", F.col("left").alias("name"), F.col("right").alias("sibling"), "jaccard").unionByName(pairs.select("file_path", F.col("right").alias("name"), F.col("left").alias("sibling"), "jaccard"))
     best = W.partitionBy("file_path", "name").orderBy(F.desc("jaccard"), "sibling")
-    return pairs.withColumn("jaccard", jaccard).where(F.col("jaccard") >= least).withColumn("r", F.row_number().over(best)).where("r = 1").select("file_path", "name", "sibling", "jaccard")
+    return both.withColumn("r", F.row_number().over(best)).where("r = 1").select("file_path", "name", "sibling", "jaccard")
 
 
 def transitive_plumbing(functions: DataFrame) -> DataFrame:
@@ -308,11 +306,14 @@ def convergent_twin_types(members: DataFrame, least: float = 0.5) -> DataFrame:
 
 
 def context_homonym_type(members: DataFrame) -> DataFrame:
-    """One type name in several files without a common member."""
-    t = members.groupBy("type_name", "file_path").agg(F.array_sort(F.collect_set("member")).alias("m"))
-    u = t.select(F.col("type_name").alias("_n"), F.col("file_path").alias("other"), F.col("m").alias("_m"))
-    met = t.join(u, (F.col("type_name") == F.col("_n")) & (F.col("file_path") < F.col("other"))).where(~F.arrays_overlap("m", "_m"))
-    return met.select("type_name", "file_path", "other")
+    """Files with a type whose name other files use for types that share no member with it, not even through a third: the least such file, and how many meanings the name has."""
+    several = members.groupBy("type_name").agg(F.count_distinct("file_path").alias("files")).where("files > 1")
+    meanings = parts(members.join(several.select("type_name"), "type_name", "left_semi"), ["type_name"], "file_path", "member")
+    by = meanings.groupBy("type_name", "part").agg(F.count("*").alias("n"))
+    least = by.groupBy("type_name").agg(F.min("part").alias("first"), F.count("*").alias("meanings")).where("meanings > 1")
+    second = by.join(least, "type_name").where("part <> first").groupBy("type_name", "first", "meanings").agg(F.min("part").alias("second"))
+    met = meanings.join(second, "type_name")
+    return met.select("type_name", "file_path", F.when(F.col("part") == F.col("first"), F.col("second")).otherwise(F.col("first")).alias("other"), "meanings")
 
 
 def synonym_vocabulary(functions: DataFrame, least: int = 3) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quillspan.operators.graph import components
+
 
 def shared_items(items: DataFrame, owner: str, item: str, least: int) -> DataFrame:
     """(left, right, shared, jaccard) of owners that share `least` items or more, from an inverted index.
@@ -85,3 +87,38 @@ def contained_sets(items: DataFrame, owner: str, item: str, least: int = 2) -> D
     asked = met.join(rows.select(F.col("o").alias("inside"), "i"), "inside")
     shared = asked.join(there.select("outside", "i"), ["outside", "i"]).groupBy("inside", "outside", "size", "other_size").agg(F.count("*").alias("shared"))
     return shared.where("shared = size").select("inside", "outside", "size", "other_size")
+
+
+def jaccard_pairs(items: DataFrame, group: str, owner: str, item: str, least: float) -> DataFrame:
+    """(group, left, right, jaccard) of owners of one group whose sets of items have `least` Jaccard or more (over 0).
+
+    Such sets share one of the rarest items of each, of which only as many are indexed as a partner may lack at most, and one.
+    """
+    rows = items.select(F.struct(group).alias("g"), F.col(owner).alias("o"), F.col(item).alias("i")).where("o is not null and i is not null").distinct()  # a struct, as null is a group too
+    counts = rows.groupBy("g", "i").agg(F.count("*").alias("n"))
+    sets = rows.join(counts, ["g", "i"]).groupBy("g", "o").agg(F.sort_array(F.collect_list(F.struct("n", "i"))).alias("x")).select("g", "o", F.transform("x", lambda e: e["i"]).alias("x"))
+    needed = F.ceil(F.size("x") * F.lit(least)).cast("int")
+    rare = sets.select("g", "o", F.size("x").alias("n"), F.explode(F.slice("x", F.lit(1), F.size("x") - needed + 1)).alias("i"))
+    other = rare.select("g", F.col("o").alias("right"), F.col("n").alias("_n"), "i")
+    near = (F.col("n") >= F.col("_n") * least) & (F.col("_n") >= F.col("n") * least)
+    pairs = rare.join(other, ["g", "i"]).where((F.col("o") < F.col("right")) & near).select("g", F.col("o").alias("left"), "right").distinct()
+    one = sets.select("g", F.col("o").alias("left"), F.col("x").alias("_l"))
+    two = sets.select("g", F.col("o").alias("right"), F.col("x").alias("_r"))
+    full = pairs.join(one, ["g", "left"]).join(two, ["g", "right"])
+    shared = F.size(F.array_intersect("_l", "_r"))
+    jaccard = shared / (F.size("_l") + F.size("_r") - shared)
+    return full.where(jaccard >= least).select(F.col(f"g.{group}").alias(group), "left", "right", F.round(jaccard, 3).alias("jaccard"))
+
+
+def parts(rows: DataFrame, owner: list[str], item: str, feature: str) -> DataFrame:
+    """(owner, part, items): the items of each owner, in parts that share features directly or through others.
+
+    `part` is the least item of its part; an item whose feature is null is a part of its own.
+    """
+    key = F.to_json(F.struct(*owner))
+    sides = rows.select(*owner, F.col(item).alias("i"), F.concat_ws("\u0001", key, F.lit("i"), F.col(item).cast("string")).alias("a"), F.when(F.col(feature).isNotNull(), F.concat_ws("\u0001", key, F.lit("f"), F.col(feature).cast("string"))).alias("b"))
+    labels = components(sides.where("b is not null").select("a", "b").distinct())
+    own = sides.select(*owner, "i", "a").distinct()
+    met = own.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("least", "a"))
+    by = W.partitionBy(*owner, "label")
+    return met.withColumn("part", F.min("i").over(by)).select(*owner, "part", F.col("i").alias(item))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quillspan.operators import call_order, classes, references, shape, similarity, units
+from quillspan.operators import call_order, references, shape, similarity, units
 from quillspan.operators import relation_rules as RR
 from quillspan.plans.queries import _t, query
 from quillspan.sources import diff
@@ -89,7 +89,7 @@ SELECT c AS customer, a AS member, min(b) AS part FROM r GROUP BY 1, 2"""
 def cohesion_parts(spark, sf_dir):
     o, lines = _t(spark, sf_dir, "orders"), _t(spark, sf_dir, "lineitem").where("l_quantity > 20")
     rows = o.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("customer"), F.col("o_orderkey").alias("member"), "l_suppkey").distinct()
-    return classes.parts(rows, ["customer"], "member", "l_suppkey")
+    return similarity.parts(rows, ["customer"], "member", "l_suppkey")
 
 
 @query(

@@ -8,6 +8,7 @@ import pytest
 
 from quillspan import api
 from quillspan.operators import classes as CL
+from quillspan.operators import similarity as S
 from quillspan.operators import graph as G
 from quillspan.operators import relation_rules as RR
 from quillspan.sources import files as src
@@ -99,7 +100,7 @@ def test_clients_that_share_no_method(tree):
 def test_parts_stay_inside_their_owner(spark):
     r = random.Random(3)
     rows = list({(r.randrange(6), r.randrange(8), r.choice([None, *range(12)])) for _ in range(120)})
-    got = {(x.owner, x.item): x.part for x in CL.parts(spark.createDataFrame(rows, "owner long, item long, feature long"), ["owner"], "item", "feature").collect()}
+    got = {(x.owner, x.item): x.part for x in S.parts(spark.createDataFrame(rows, "owner long, item long, feature long"), ["owner"], "item", "feature").collect()}
     expected = {}
     for owner in range(6):
         mine = [(i, f) for o, i, f in rows if o == owner]
