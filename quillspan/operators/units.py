@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quillspan.functions.text import directory
+from quillspan.functions.text import blanked, code_lines, directory, top_directory
 from quillspan.operators.modules import manifest_dependencies
+from quillspan.operators.references import IMPORTING
 from quillspan.operators.relation_rules import INDEX_FILE, is_test_file, package
 
 MANIFEST = r"(^|/)package\.json$"
@@ -16,6 +17,8 @@ OUTBOUND = r"fetch\s*\(|axios|XMLHttpRequest|WebSocket|EventSource|createConnect
 CARE = r"(?i)\b(retry|timeout|signal|AbortController|trace|span|otel|metric|log)\b"
 WRAPPER = r"(?i)(client|http|api|transport|fetch|request)[^/]*$"
 LOCAL = r"^(localhost|127\.0\.0\.1|::1|example\.(com|org|net))(:\d+)?$|\.test(:\d+)?$"
+WRITE = r"(?<![\w$.])([A-Za-z_$][\w$]*)(?:(?:\.[\w$]+|\[[^\]\n]*\])*\s*(?:[-+*/|&?]{0,2}=(?![=>])|\+\+|--)|(?:\.[\w$]+)*\.(?:push|set|add|delete|clear|splice|assign)\()"
+SETTER = r"^export\s+(?:async\s+)?(?:function\s+|const\s+)(?:set|update|replace|reset|register)[A-Z]"
 #: Fixed value: files of a unit that are named as fellow users of a package.
 MOST_SIBLINGS = 10
 
@@ -103,3 +106,39 @@ def unwrapped_service_edge(before: DataFrame, after: DataFrame, imports: DataFra
     wrapped = imports.join(wrappers, F.col("resolved") == F.col("wrapper")).select("file_path", F.lit(True).alias("wrapped")).distinct()
     met = novel.join(calls, "file_path", "left_semi").join(care, "file_path", "left").join(wrapped, "file_path", "left")
     return met.select("file_path", "host", F.coalesce("care", F.array().cast("array<string>")).alias("care"), F.coalesce("wrapped", F.lit(False)).alias("uses_wrapper"))
+
+
+def new_foreign_state_write_edge(fresh: DataFrame, imports: DataFrame, files: DataFrame) -> DataFrame:
+    """Files that write to what they newly import: the binding, the ways of writing, and whether its file lets it be set anew or offers a setter."""
+    new = fresh.select(F.col("source").alias("file_path"), F.col("target").alias("resolved")).distinct()
+    bound = imports.where("resolved is not null and not type_only").join(new, ["file_path", "resolved"], "left_semi").select("file_path", "resolved", "imported", "local").distinct()
+    code = blanked(code_lines(F.col("source")), IMPORTING)
+    sites = files.select("file_path", F.explode(F.regexp_extract_all(code, F.lit(WRITE), F.lit(0))).alias("site")).select("file_path", F.regexp_extract("site", WRITE, 1).alias("local"), F.trim("site").alias("site"))
+    wrote = sites.join(bound, ["file_path", "local"]).groupBy("file_path", "resolved", "imported", "local").agg(F.slice(F.array_sort(F.collect_set("site")), 1, MOST_SIBLINGS).alias("writes"))
+    lines = files.select(F.col("file_path").alias("resolved"), F.explode(F.split("source", "\n")).alias("line"))
+    held = lines.select("resolved", F.regexp_extract("line", r"^(?:export\s+)?(?:let|var)\s+([\w$]+)", 1).alias("imported")).where("imported <> ''").select("resolved", "imported", F.lit(True).alias("mutable")).distinct()
+    setters = lines.where(F.col("line").rlike(SETTER)).select("resolved", F.lit(True).alias("setter")).distinct()
+    out = wrote.join(held, ["resolved", "imported"], "left").join(setters, "resolved", "left")
+    return out.select("file_path", F.col("resolved").alias("target"), "local", "writes", (F.coalesce("mutable", F.lit(False)) | (F.col("imported") == "*")).alias("mutable"), F.coalesce("setter", F.lit(False)).alias("offers_setter"))
+
+
+def twin_gateway_emergence(new_imports: DataFrame, imports: DataFrame, edges: DataFrame, most: int = 6) -> DataFrame:
+    """New imports of a package for which another area has gateways: files outside tests that import it, the first of them with
+    their importers, and whether the importing area uses one of them already."""
+    area = lambda c: top_directory(F.col(c))
+    p = package(F.col("specifier"))
+    outside = (p != "") & ~F.col("specifier").startswith("node:")
+    fresh = new_imports.where(outside).select("file_path", p.alias("dependency"), area("file_path").alias("area")).distinct()
+    gates = imports.where(outside & ~is_test_file(F.col("file_path"))).select(p.alias("dependency"), F.col("file_path").alias("gateway"), area("file_path").alias("_area")).distinct()
+    n = edges.where("source <> target").groupBy(F.col("target").alias("gateway")).agg(F.count_distinct("source").alias("importers"))
+    gates = gates.join(n, "gateway", "left").withColumn("importers", F.coalesce("importers", F.lit(0)))
+    # of each package the first files of each area, so that an area finds as many as are told outside itself
+    by_area = F.row_number().over(W.partitionBy("dependency", "_area").orderBy("gateway"))
+    first = gates.withColumn("r", by_area).where(F.col("r") <= most).drop("r")
+    asked = fresh.select("dependency", "area").distinct()
+    ranked = asked.join(first, "dependency").where("area <> _area").withColumn("r", F.row_number().over(W.partitionBy("dependency", "area").orderBy("gateway"))).where(F.col("r") <= most)
+    told = ranked.groupBy("dependency", "area").agg(F.array_sort(F.collect_list(F.struct("gateway", "importers"))).alias("gateways"))
+    uses = edges.select(area("source").alias("area"), F.col("target").alias("gateway")).distinct()
+    reuse = asked.join(gates, "dependency").where("area <> _area").join(uses, ["area", "gateway"], "left_semi").select("dependency", "area", F.lit(True).alias("reused")).distinct()
+    out = fresh.join(told, ["dependency", "area"]).join(reuse, ["dependency", "area"], "left")
+    return out.select("file_path", "dependency", "gateways", F.coalesce("reused", F.lit(False)).alias("one_edge_away"))

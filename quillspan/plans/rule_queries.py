@@ -113,14 +113,14 @@ def rule_single_use_dependency(spark, sf_dir):
 
 
 @query(
-    """WITH RECURSIVE m AS (SELECT DISTINCT p_type AS t, p_brand AS f, floor(p_retailprice / 4) AS x FROM part),
+    """WITH RECURSIVE m AS (SELECT DISTINCT p_type || '-' || p_size AS t, p_brand AS f, floor(p_retailprice / 40) AS x FROM part),
 r AS (SELECT DISTINCT t, f AS a, f AS b FROM m UNION SELECT r.t, r.a, y.f FROM r JOIN m x ON x.t = r.t AND x.f = r.b JOIN m y ON y.t = x.t AND y.x = x.x),
 g AS (SELECT t, a AS f, min(b) AS part FROM r GROUP BY 1, 2),
 k AS (SELECT t, list_sort(list(DISTINCT part)) AS parts FROM g GROUP BY 1)
 SELECT g.t AS type_name, g.f AS file_path, CASE WHEN part = parts[1] THEN parts[2] ELSE parts[1] END AS other, CAST(len(parts) AS BIGINT) AS meanings FROM g JOIN k ON k.t = g.t WHERE len(parts) > 1"""
 )
 def rule_context_homonym_type(spark, sf_dir):
-    members = _t(spark, sf_dir, "part").select(F.col("p_type").alias("type_name"), F.col("p_brand").alias("file_path"), F.floor(F.col("p_retailprice") / 4).cast("string").alias("member"))
+    members = _t(spark, sf_dir, "part").select(F.concat_ws("-", "p_type", "p_size").alias("type_name"), F.col("p_brand").alias("file_path"), F.floor(F.col("p_retailprice") / 40).cast("string").alias("member"))
     return RR.context_homonym_type(members)
 
 
