@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from quillspan.operators import custom_rules, module_facts, modules, references, relation_evidence, relation_rules, requests, review as ops, spans
 from quillspan.operators.pattern_rules import PATTERN_RULES, pattern_evidence, span_texts
 from quillspan.operators.custom_rules import RuleBook
-from quillspan.session import checkpoint_folder
+from quillspan.session import checkpoint_folder, stored
 from quillspan.sources.answers import AnswerStore
 from quillspan.sources.files import changed_lines, changed_ranges
 
@@ -31,6 +31,10 @@ from quillspan.sources.files import changed_lines, changed_ranges
 CATEGORIES = ("security", "correctness", "reliability", "testing", "performance", "maintainability")
 
 
+#: Rules whose evidence is computed in one job.
+TOGETHER = 6
+
+
 @dataclass(frozen=True)
 class Repository:
     """The relations of a tree (file_path, source, file_order), each made once and kept."""
@@ -185,12 +189,16 @@ def _judge(repository: Repository, texts: DataFrame, rules: DataFrame, most: int
     found = pattern_evidence(texts, keep=("id",))
     evidence = found.groupBy("id", "rule_id").agg(F.to_json(F.struct(F.first("matches").alias("matches"), F.first("total").alias("total"))).alias("evidence"))
     asked_rules = {r.rule_id for r in rules.select("rule_id").collect()}  # the table of rules is configuration
-    for part in relation_evidence.evidence(related, asked_rules):
-        evidence = evidence.unionByName(part)
+    evidence = stored(evidence)
+    parts = relation_evidence.evidence(related, asked_rules)
+    for k in range(0, len(parts), TOGETHER):  # a plan of all rules at once would be too large to optimise
+        several = parts[k]
+        for part in parts[k + 1 : k + TOGETHER]:
+            several = several.unionByName(part)
+        evidence = evidence.unionByName(stored(several))
     evidence = evidence.withColumn("error", F.lit(None).cast("string"))
     if book.rules:
-        evidence = evidence.unionByName(custom_rules.custom_evidence(texts, book))
-    evidence = evidence.checkpoint()
+        evidence = evidence.unionByName(stored(custom_rules.custom_evidence(texts, book)))
     table = rules.select("rule_id", "scope", "category", "message", F.col("rule_id").isin(*handled).alias("handled"))
     degrees = repository.in_degree.select(F.col("node").alias("_n"), "in_degree")
     placed = texts.join(degrees, F.col("file_path") == F.col("_n"), "left").select("id", "kind", "file_path", F.col("start_line").alias("start"), F.col("end_line").alias("end"), "text", F.coalesce("in_degree", F.lit(0)).alias("in_degree"))
