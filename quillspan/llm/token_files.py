@@ -12,7 +12,7 @@ Each task writes the shards of its range of doc_ids under names of their own and
 row for each; only shards in the settled manifest count, so that tasks which ran twice do no harm.
 
 Defined results: a text of any length is encoded whole; a null text is empty and leaves only END; null doc_ids come first; repeated rows
-are written one by one, in an order of their own among equal doc_ids; an empty table writes nothing.
+are written one by one, those of one doc_id in the order of a hash of their texts, so that reruns agree; an empty table writes nothing.
 Columns of the input other than doc_id and text are not read.
 """
 
@@ -33,6 +33,8 @@ from quillspan.llm.common import new_folder, open_store, settle, table
 
 LENGTH = 2048
 BATCH = 64
+#: Rows that are read back before they are passed on.
+MOST_ROWS = 50_000
 END = 0
 #: A shard is closed at the first document end after so many ids.
 SHARD_IDS = 64 << 20
@@ -166,7 +168,9 @@ def write(docs: DataFrame, folder: str, tokenizer_json: str, length: int = LENGT
 
     store, root = open_store(folder)
     store.create_dir(root, recursive=True)
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # rows of one doc_id, null among them, follow each other by a hash of their texts, which also spreads them over tasks
+    order = ["doc_id", "_by_text"]
+    ordered = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_by_text")).repartitionByRange(*order).sortWithinPartitions(*order).drop("_by_text")
     return settle(ordered.mapInArrow(shards, "part int, shard int, path string, n_docs long, n_tokens long"))
 
 
@@ -189,6 +193,9 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
             for path, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 rows = ([], [], [], [])
                 for doc_id, ids in read_shard(store, path):
+                    if len(rows[0]) == MOST_ROWS:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                        rows = ([], [], [], [])
                     for column, value in zip(rows, (doc_id, first, len(ids), zlib.crc32(ids.astype("<u4").tobytes())), strict=True):
                         column.append(value)
                     first += len(ids)
