@@ -168,9 +168,8 @@ def write(docs: DataFrame, folder: str, tokenizer_json: str, length: int = LENGT
 
     store, root = open_store(folder)
     store.create_dir(root, recursive=True)
-    # rows of one doc_id, null among them, follow each other by a hash of their texts, which also spreads them over tasks
-    order = ["doc_id", "_by_text"]
-    ordered = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_by_text")).repartitionByRange(*order).sortWithinPartitions(*order).drop("_by_text")
+    # rows of one doc_id, null among them, follow each other by a hash of their texts, so that reruns agree
+    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     return settle(ordered.mapInArrow(shards, "part int, shard int, path string, n_docs long, n_tokens long"))
 
 
