@@ -179,13 +179,16 @@ def pre_gate_side_effect(functions: DataFrame) -> DataFrame:
 
 def convention_breaking_addition(functions: DataFrame, files: DataFrame, least: int = 3) -> DataFrame:
     """Functions that follow a habit which the rest of their file never follows, against `least` cases of the other."""
-    n = lambda text, p: F.size(F.regexp_extract_all(text, F.lit(p), F.lit(0)))
-    met = _live(functions).select(*OWN, "text").join(files.select("file_path", "source"), "file_path")
+    # each pattern runs once over each file and once over each function
+    count = lambda text, mark: [F.regexp_count(text, F.lit(p)).alias(f"{mark}{habit}{k}") for habit, pair in HABITS.items() for k, p in enumerate(pair)]
+    whole = files.select("file_path", *count(F.col("source"), "_all_"))
+    met = _live(functions).select(*OWN, *count(F.col("text"), "_own_")).join(whole, "file_path")
     sides = []
-    for habit, (p, q) in HABITS.items():
-        for a, b in ((p, q), (q, p)):
-            breaks = (n("text", a) > 0) & (n("source", a) == n("text", a)) & (n("source", b) - n("text", b) >= least) & (n("text", b) == 0)
-            sides.append(F.when(breaks, F.lit(f"{habit}:{a}")))
+    for habit, pair in HABITS.items():
+        for a, b in ((0, 1), (1, 0)):
+            own, rest = F.col(f"_own_{habit}{a}"), F.col(f"_all_{habit}{b}")
+            breaks = (own > 0) & (F.col(f"_all_{habit}{a}") == own) & (rest >= least) & (F.col(f"_own_{habit}{b}") == 0)
+            sides.append(F.when(breaks, F.lit(f"{habit}:{pair[a]}")))
     return met.select(*OWN, F.array_compact(F.array(*sides)).alias("divergences")).where(F.size("divergences") > 0)
 
 
@@ -281,10 +284,11 @@ def scattered_policy(functions: DataFrame) -> DataFrame:
 
 
 def _before(functions: DataFrame, files: DataFrame, chars: int = 600) -> DataFrame:
-    """Functions with `_before`, the characters that precede them in their file."""
+    """Functions with `_before`, the characters that precede their first line in their file."""
     met = functions.join(files.select("file_path", "source"), "file_path")
-    at = F.instr(F.col("source"), F.col("text"))
-    return met.withColumn("_before", F.substring("source", F.greatest(at - chars, F.lit(1)), F.least(at - 1, F.lit(chars)))).drop("source")
+    above = F.array_join(F.slice(F.split("source", "\n"), F.lit(1), F.col("start_line") - 1), "\n")
+    above = F.when(F.col("start_line") > 1, F.concat(above, F.lit("\n"))).otherwise(F.lit(""))
+    return met.withColumn("_before", F.right(above, F.lit(chars))).drop("source")
 
 
 def unmarked_abandoned_compat_layer(functions: DataFrame, calls: DataFrame, files: DataFrame) -> DataFrame:

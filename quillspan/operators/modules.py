@@ -106,10 +106,16 @@ def _closure(edges: DataFrame, start: DataFrame) -> DataFrame:
 
 
 def first_callers(calls: DataFrame, owner: list[str], order: list[str], most: int = 20) -> DataFrame:
-    """The first `most` call sites of each owner, and how many there are in all."""
-    by = W.partitionBy(*owner)
-    ranked = calls.withColumns({"position": F.row_number().over(by.orderBy(*order)), "total": F.count("*").over(by)})
-    return ranked.where(F.col("position") <= most)
+    """The first `most` call sites of each owner, and how many there are in all.
+
+    Counted apart from the ranking, so that of an owner with very many callers each task keeps only the first.
+    """
+    ranked = calls.withColumn("position", F.row_number().over(W.partitionBy(*owner).orderBy(*order))).where(F.col("position") <= most)
+    totals = calls.groupBy(*owner).agg(F.count("*").alias("total")).select(*[F.col(c).alias(f"_o_{c}") for c in owner], "total")
+    same = F.lit(True)
+    for c in owner:
+        same = same & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
+    return ranked.join(totals, same).drop(*[f"_o_{c}" for c in owner])
 
 
 def transitive_pins(tests: DataFrame, calls: DataFrame, most: int = 10) -> DataFrame:

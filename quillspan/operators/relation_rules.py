@@ -28,12 +28,12 @@ MOST_CYCLE = 8
 
 
 def functions_of(spans: DataFrame) -> DataFrame:
-    """(file_path, id, name, parameters, exported, text) of function spans that have a name."""
+    """(file_path, id, name, parameters, exported, start_line, text) of function spans that have a name."""
     part = lambda k: F.regexp_extract("text", HEAD, k)
     bare = lambda p: F.trim(F.regexp_extract(p, r"^\s*\.{0,3}([\w$]+)", 1))
     named = spans.where("kind = 'function'").withColumns({"name": F.concat(part(2), part(4)), "_p": F.concat(part(3), part(5))})
     parameters = F.filter(F.transform(F.split("_p", ","), bare), lambda p: p != "")
-    return named.where("name <> ''").select("file_path", "id", "name", parameters.alias("parameters"), F.trim(part(1)).startswith("export").alias("exported"), "text")
+    return named.where("name <> ''").select("file_path", "id", "name", parameters.alias("parameters"), F.trim(part(1)).startswith("export").alias("exported"), "start_line", "text")
 
 
 def calls_of(functions: DataFrame) -> DataFrame:

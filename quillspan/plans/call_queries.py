@@ -60,6 +60,7 @@ def hollow_chains(spark, sf_dir):
         F.concat(F.lit("f"), F.floor((k - 1) / 21).cast("string")).alias("file_path"),
         k.cast("string").alias("id"),
         F.lit("function").alias("kind"),
+        F.lit(1).alias("start_line"),
         F.concat(F.format_string("function c%d(x) {\n  ", k), body, F.lit("\n}")).alias("text"),
     )
     functions = RR.functions_of(spans)

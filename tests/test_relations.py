@@ -2,8 +2,12 @@
 
 import random
 
+from quillspan import api
+from quillspan.operators import call_rules as CR
+from quillspan.operators import modules as M
 from quillspan.operators import relation_rules as RR
 from quillspan.operators import similarity as S
+from quillspan.sources import files as src
 
 FUNCTIONS = "file_path string, name string, parameters array<string>, exported boolean, text string"
 
@@ -99,3 +103,27 @@ def test_jaccard_pairs_against_all_pairs(spark):
         got = {(x.g, x.left, x.right, x.jaccard) for x in S.jaccard_pairs(spark.createDataFrame(rows, "g long, o long, i long"), "g", "o", "i", least).collect()}
         both = lambda a, b: len(a & b) / len(a | b)
         assert got == {(g, a, b, round(both(sets[g, a], sets[g, b]), 3)) for g in (1, 2, None) for a in range(25) for b in range(a + 1, 25) if both(sets[g, a], sets[g, b]) >= least}
+
+
+def test_equal_functions_are_judged_by_their_own_comments(spark):
+    """Two functions with one text: the comment before the first says nothing of the second."""
+    body = "export function legacyLoad(x) {\n  const y = x;\n  return y;\n}\n"
+    files = {"a.ts": "/** @deprecated */\n" + body + "const gap = 1;\n" * 60 + body, "b.ts": "export function load(x) {\n  const y = x;\n  return y;\n}\n"}
+    tree = api.Repository(src.ordered(spark.createDataFrame(list(files.items()), "file_path string, source string")))
+    assert found(CR.unmarked_abandoned_compat_layer(tree.functions, tree.calls, tree.files), "name", "successor") == [("legacyLoad", "load")]
+    own = {(r.start_line, r._before[-12:]) for r in CR._before(tree.functions, tree.files).collect()}
+    assert own == {(2, "precated */\n"), (66, "st gap = 1;\n"), (1, "")}
+
+
+def test_a_habit_of_one_function(spark):
+    kept = "".join(f"export function k{k}(a) {{\n  const b = a === {k};\n  return b;\n}}\n" for k in range(3))
+    odd = "export function odd(a) {\n  var b = a == 1;\n  return b;\n}\n"
+    tree = api.Repository(src.ordered(spark.createDataFrame([("a.ts", kept + odd), ("b.ts", odd)], "file_path string, source string")))
+    got = {(r.file_path, r.name): [d.split(":")[0] for d in r.divergences] for r in CR.convention_breaking_addition(tree.functions, tree.files).collect()}
+    assert got == {("a.ts", "odd"): ["equality", "binding"]}
+
+
+def test_first_callers_and_their_number(spark):
+    rows = [(o, k) for o in ("a", None) for k in range(7)] + [("b", 1)]
+    got = found(M.first_callers(spark.createDataFrame(rows, "o string, k long"), ["o"], ["k"], 2).selectExpr("coalesce(o, '-') as o", "k", "position", "total"))
+    assert got == [("-", 0, 1, 7), ("-", 1, 2, 7), ("a", 0, 1, 7), ("a", 1, 2, 7), ("b", 1, 1, 1)]
