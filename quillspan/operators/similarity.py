@@ -70,23 +70,39 @@ def nearest_set(asked: DataFrame, sets: DataFrame, owner: str, name: str, value:
     return shared.groupBy("o").agg(best).select(F.col("o").alias(owner), F.col("b.s").alias(name), (-F.col("b.k")).alias("shared"))
 
 
+#: Sets of up to so many items are indexed by pairs of items, larger ones by single items.
+PAIRED = 64
+
+
 def contained_sets(items: DataFrame, owner: str, item: str, least: int = 2) -> DataFrame:
     """(inside, outside, size, other_size): sets of `least` items or more that lie wholly in another, larger one.
 
-    Owners of equal sets are one, the least of them. A set lies only in sets that hold its rarest item, so that it meets
-    the owners of that item alone, and lies in those that hold as many of its items as it has.
+    Owners of equal sets are one, the least of them. A set lies only in sets that hold its two rarest items: it meets
+    those of up to PAIRED items by that pair, larger ones by the rarest item first. What it meets must then hold the rest.
     """
     rows = items.select(F.col(owner).alias("o"), F.col(item).alias("i")).where("o is not null and i is not null").distinct()
     sets = rows.groupBy("o").agg(F.sha2(F.to_json(F.sort_array(F.collect_set("i"))), 256).alias("key"), F.count("*").alias("n")).where(F.col("n") >= least)
     first = sets.groupBy("key").agg(F.min("o").alias("o"), F.first("n").alias("n")).select("o", "n")
     rows = rows.join(first, "o")
     counts = rows.groupBy("i").agg(F.count("*").alias("owners"))
-    rarest = rows.join(counts, "i").groupBy("o", "n").agg(F.min(F.struct("owners", "i"))["i"].alias("i"))
-    there = rows.select(F.col("o").alias("outside"), F.col("n").alias("other_size"), "i")
-    met = rarest.join(there, "i").where("other_size > n").select(F.col("o").alias("inside"), F.col("n").alias("size"), "outside", "other_size")
-    asked = met.join(rows.select(F.col("o").alias("inside"), "i"), "inside")
-    shared = asked.join(there.select("outside", "i"), ["outside", "i"]).groupBy("inside", "outside", "size", "other_size").agg(F.count("*").alias("shared"))
-    return shared.where("shared = size").select("inside", "outside", "size", "other_size")
+    ordered = rows.join(counts, "i").groupBy("o", "n").agg(F.sort_array(F.collect_list(F.struct("owners", "i"))).alias("x")).select("o", "n", F.transform("x", lambda e: e["i"]).alias("x"))
+    asked = ordered.select(F.col("o").alias("inside"), F.col("n").alias("size"), F.get("x", F.lit(0)).alias("a"), F.get("x", F.lit(1)).alias("b"))
+    there = rows.select(F.col("o").alias("outside"), F.col("n").alias("other_size"), F.col("i").alias("a"))
+    columns = ["inside", "outside", "size", "other_size"]
+
+    small = ordered.where((F.col("n") >= 2) & (F.col("n") <= PAIRED)).select(F.col("o").alias("outside"), F.col("n").alias("other_size"), "x", F.posexplode("x").alias("k", "a"))
+    rest = F.slice("x", F.col("k") + 2, F.greatest(F.size("x") - F.col("k") - 1, F.lit(0)))
+    pairs = small.select("outside", "other_size", "a", F.explode(rest).alias("b"))
+    by_pair = asked.where("size > 1").join(pairs, ["a", "b"])
+    large = there.where(F.col("other_size") > PAIRED)
+    by_item = asked.where("size > 1").join(large, "a").join(large.select("outside", F.col("a").alias("b")), ["outside", "b"], "left_semi")
+    alone = asked.where("size = 1").join(there, "a")
+    met = by_pair.select(*columns).unionByName(by_item.select(*columns)).unionByName(alone.select(*columns)).where("other_size > size")
+
+    more = ordered.where("n > 2").select(F.col("o").alias("inside"), F.explode(F.slice("x", F.lit(3), F.size("x") - 2)).alias("a"))
+    left = met.where("size > 2").join(more, "inside").join(there.select("outside", "a"), ["outside", "a"])
+    whole = left.groupBy(*columns).agg(F.count("*").alias("held")).where("held = size - 2")
+    return met.where("size <= 2").unionByName(whole.select(*columns))
 
 
 def jaccard_pairs(items: DataFrame, group: str, owner: str, item: str, least: float) -> DataFrame:

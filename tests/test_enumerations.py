@@ -53,12 +53,13 @@ def test_containment_against_all_pairs(spark):
     r = random.Random(9)
     sets = {k: frozenset(r.sample(range(9), r.randint(1, 7))) for k in range(60)} | {99: frozenset(range(2000)), 98: frozenset([0])}
     rows = [(k, v) for k, s in sets.items() for v in s] * 2 + [(None, 1), (5, None)]
-    got = {tuple(x) for x in S.contained_sets(spark.createDataFrame(rows, "o long, i long"), "o", "i").collect()}
     first = {}
     for k in sorted(sets):
         first.setdefault(sets[k], k)
-    expected = {(first[a], first[b], len(a), len(b)) for a in first for b in first if len(a) >= 2 and a < b}
-    assert got == expected and any(x[1] == 99 for x in got)
+    for least in (1, 2, 4):
+        found = [tuple(x) for x in S.contained_sets(spark.createDataFrame(rows, "o long, i long"), "o", "i", least).collect()]
+        expected = {(first[a], first[b], len(a), len(b)) for a in first for b in first if len(a) >= least and a < b}
+        assert set(found) == expected and len(found) == len(expected) and any(x[1] == 99 for x in found)
 
 
 def test_values_written_again(tree, spark):
