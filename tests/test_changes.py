@@ -168,7 +168,7 @@ def test_hunks_for_different_reasons(spark):
     users = [("u.ts", "import { price } from './m';\nexport function u(a) {\n  price(a);\n}\n"), ("v.ts", "import { title } from './m';\nexport function v(a) {\n  title(a);\n}\n")]
     tree = repository(spark, [("m.ts", now), *users])
     changes = spark.createDataFrame([("m.ts", now, APART)], CHANGES)
-    spans = tree.functions.join(tree.texts.select("file_path", "id", "start_line", "end_line"), ["file_path", "id"])
+    spans = tree.functions.join(tree.texts.select("file_path", "id", "end_line"), ["file_path", "id"])
     (row,) = CH.divergent_change(line_hunks(changes), spans, tree.calls).collect()
     assert (row.file_path, row.groups, row.functions, row.hunks) == ("m.ts", 2, [["fee", "price"], ["title"]], 3)
     one = repository(spark, [("m.ts", now), users[0], ("v.ts", users[1][1] + users[0][1].replace("function u", "function w"))])
