@@ -8,9 +8,10 @@ record's frame and offset, `read_record` decompresses a single frame.
 Among pages of equal payload of at least DEDUP_BYTES, the one with the smallest page_id is stored as
 a response, and the others as revisits that refer to it and hold headers only.
 
-Each task writes bundles under names of their own and returns an index row for each record: bundle,
-frame, offset in the decompressed frame, length. Only bundles in the settled index count, so that a
-task that ran twice does no harm.
+Each task writes bundles under names of their own and an index row for each record: bundle, frame,
+offset in the decompressed frame, length. The index is a Parquet table beside the bundles (a folder below
+INDEX_FOLDER for each call of `write`), so that an archive is found again, and added to, by its folder
+alone. Only bundles in the index count, so that a task that ran twice does no harm.
 
 Defined results: a payload of any length is one record; a null html is an empty payload; a null url is an empty target; pages with a null
 page_id are records too (smallest only among themselves); of repeated rows that share the smallest
@@ -30,7 +31,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import new_folder, open_store, settle, table
+from quillspan.llm.common import new_folder, open_store, table
 
 DEDUP_BYTES = 100
 #: A frame is closed at the first record end after so many bytes, a bundle after so many frames.
@@ -39,6 +40,7 @@ BUNDLE_FRAMES = 512
 #: Fixed values of the Zstandard seekable format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 
+INDEX_FOLDER = "index"
 INDEX = "page_id long, bundle string, frame int, offset int, length int"
 
 
@@ -83,8 +85,8 @@ def parse(data: bytes) -> dict:
 
 
 class BundleWriter:
-    def __init__(self, store: fs.FileSystem, path: str):
-        self.path, self.out = path, store.open_output_stream(path, compression=None)
+    def __init__(self, store: fs.FileSystem, path: str, frame_bytes: int = FRAME_BYTES):
+        self.path, self.out, self.frame_bytes = path, store.open_output_stream(path, compression=None), frame_bytes
         self.pending: list[bytes] = []
         self.held = 0
         self.frames: list[tuple[int, int]] = []
@@ -94,7 +96,7 @@ class BundleWriter:
         place = len(self.frames), self.held, len(data)
         self.pending.append(data)
         self.held += len(data)
-        if self.held >= FRAME_BYTES:
+        if self.held >= self.frame_bytes:
             self._flush()
         return place
 
@@ -156,8 +158,8 @@ def plan(pages: DataFrame) -> DataFrame:
     return met.select("page_id", "url", "payload", "digest", F.when(revisit, F.col("first")).alias("response_id"), revisit.alias("revisit"))
 
 
-def write(pages: DataFrame, folder: str) -> DataFrame:
-    """Writes the bundles under `folder`; the settled index of their records."""
+def write(pages: DataFrame, folder: str, frame_bytes: int = FRAME_BYTES, bundle_frames: int = BUNDLE_FRAMES) -> DataFrame:
+    """Writes bundles and the index of their records under `folder`, beside what it holds; the index of these pages as it was stored."""
 
     def bundles(batches):
         store, root = open_store(folder)
@@ -172,9 +174,9 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if writer is None:
-                    writer = BundleWriter(store, f"{root}/{uuid.uuid4().hex}.warc.zst")
+                    writer = BundleWriter(store, f"{root}/{uuid.uuid4().hex}.warc.zst", frame_bytes)
                 rows.append((row[0], writer.path, *writer.add(record(*row))))
-                if len(writer.frames) >= BUNDLE_FRAMES:
+                if len(writer.frames) >= bundle_frames:
                     yield indexed()
                     writer, rows = None, []
         if writer is not None:
@@ -182,7 +184,14 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
 
     store, root = open_store(folder)
     store.create_dir(root, recursive=True)
-    return settle(plan(pages).mapInArrow(bundles, INDEX))
+    batch = f"{folder}/{INDEX_FOLDER}/{uuid.uuid4().hex}"
+    plan(pages).mapInArrow(bundles, INDEX).write.parquet(batch)
+    return pages.sparkSession.read.schema(INDEX).parquet(batch)
+
+
+def index_of(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole stored index of the archive in `folder`: page_id, bundle, frame, offset, length."""
+    return spark.read.schema(INDEX).option("recursiveFileLookup", True).parquet(f"{folder}/{INDEX_FOLDER}")
 
 
 def read(index: DataFrame, folder: str) -> DataFrame:

@@ -213,6 +213,25 @@ def test_warc(spark, none):
     assert warc.read(warc.write(empty, folder), folder).count() == 0
 
 
+def test_warc_frames_and_bundles_close_and_the_stored_index_finds_their_records(spark):
+    html = {i: f"<p>{i} " + "ä€x" * (50 + 37 * (i % 90)) for i in range(400)} | {400: "long " * 60_000, 401: "long " * 60_000}
+    pages = spark.createDataFrame([(i, f"http://a/{i}", h) for i, h in html.items()], "page_id long, url string, html string").coalesce(2)
+    folder = new_folder(spark, "warc-bundles")
+    warc.write(pages.where("page_id < 300"), folder, frame_bytes=4096, bundle_frames=5)
+    warc.write(pages.where("page_id >= 300"), folder, frame_bytes=4096, bundle_frames=5)
+    index = warc.index_of(spark, folder)
+    places = index.collect()
+    assert sorted(r.page_id for r in places) == sorted(html)
+    assert len({r.bundle for r in places}) > 10 and max(r.frame for r in places) == 4 and max(r.offset for r in places) > 0
+    for r in places:
+        if r.page_id % 40 == 0:
+            found = warc.read_record(folder, r.bundle, r.frame, r.offset, r.length)
+            assert found["headers"]["warc-record-id"] == f"<urn:page:{r.page_id}>" and found["payload"].decode() == html[r.page_id]
+    kinds = {i: (n, d, k, to) for i, n, d, k, to in warc.read(index, folder).collect()}
+    assert kinds[401][2:] == ("revisit", 400) and all(v[2] == "response" for i, v in kinds.items() if i != 401)
+    assert all(kinds[i][:2] == (len(h.encode()), hashlib.sha256(h.encode()).hexdigest()) for i, h in html.items())
+
+
 def test_warc_bundle_is_seekable_and_one_stream(tmp_path):
     import io
 
