@@ -69,40 +69,51 @@ def codes(vectors: np.ndarray, turned: list[np.ndarray]) -> np.ndarray:
     return np.packbits(bits, axis=1).view(np.uint16)
 
 
+def words(block: np.ndarray) -> np.ndarray:
+    """Codes as columns of 64-bit words: a distance then takes few operations, each over all rows at once."""
+    padded = np.pad(block, ((0, 0), (0, -block.shape[1] % 4)))
+    return np.ascontiguousarray(padded.view(np.uint64).T)
+
+
 class MultiIndex:
     """The substring tables of a block of codes."""
 
     def __init__(self, block: np.ndarray):
-        self.block = block
-        self.order = np.argsort(block, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(block, self.order, axis=0)
-
-    def members(self, j: int, values: np.ndarray) -> np.ndarray:
-        """Rows whose substring j is one of the values."""
-        begin = np.searchsorted(self.sorted[:, j], values, "left")
-        count = np.searchsorted(self.sorted[:, j], values, "right") - begin
+        self.n, self.m = block.shape
+        self.words = words(block)
+        self.order = np.argsort(block, axis=0, kind="stable").T.astype(np.int32, order="C").ravel()
+        values = 1 << SUBSTRING
+        counts = np.stack([np.bincount(block[:, j], minlength=values) for j in range(self.m)])
+        #: By substring and value, the place in `order` at which its rows begin; the next value's place ends them.
+        self.begin = np.concatenate([np.zeros((self.m, 1), np.int64), np.cumsum(counts, axis=1)], axis=1) + self.n * np.arange(self.m)[:, None]
+
+    def members(self, values: np.ndarray) -> np.ndarray:
+        """Rows of which a substring is one of the values, one row of values for each substring."""
+        j = np.arange(self.m)[:, None]
+        begin = self.begin[j, values].ravel()
+        count = self.begin[j, values.astype(np.int32) + 1].ravel() - begin
         within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        return self.order[np.repeat(begin, count) + within, j]
+        met = np.zeros(self.n, bool)
+        met[self.order[np.repeat(begin, count) + within]] = True
+        return np.flatnonzero(met)
 
-    def distance(self, rows: np.ndarray | slice, code: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(self.block[rows] ^ code).sum(axis=1, dtype=np.int64)
+    def distance(self, rows: np.ndarray | slice, asked: np.ndarray) -> np.ndarray:
+        """Bits in which the codes of the rows differ from the one code that `asked` holds as words."""
+        return np.bitwise_count(self.words[:, rows] ^ asked).sum(axis=0, dtype=np.int32)
 
     def near(self, code: np.ndarray, wanted: int = WANTED) -> np.ndarray:
         """All rows within the least radius that holds `wanted` rows."""
-        n, m = self.block.shape
-        far = np.full(n, np.iinfo(np.int64).max)
+        asked = words(code[None])
+        far = np.full(self.n, np.iinfo(np.int32).max, np.int32)
         for t, masks in enumerate(FLIPS):
-            if m * len(masks) > n:
+            if self.m * len(masks) > self.n:
                 break
-            met = np.unique(np.concatenate([self.members(j, code[j] ^ masks) for j in range(m)]))
-            met = met[far[met] == np.iinfo(np.int64).max]
-            far[met] = self.distance(met, code)
-            covered = np.flatnonzero(far <= m * (t + 1) - 1)
-            if len(covered) >= wanted:
+            met = self.members(code[:, None] ^ masks)
+            met = met[far[met] == np.iinfo(np.int32).max]
+            far[met] = self.distance(met, asked)
+            if np.count_nonzero(far <= self.m * (t + 1) - 1) >= wanted:
                 return self._least(far, wanted)
-        rest = far == np.iinfo(np.int64).max
-        far[rest] = self.distance(rest, code)
-        return self._least(far, wanted)
+        return self._least(self.distance(slice(None), asked), wanted)
 
     @staticmethod
     def _least(far: np.ndarray, wanted: int) -> np.ndarray:
