@@ -186,3 +186,81 @@ SELECT source AS file_path, CAST(x AS VARCHAR) AS name, arg_min(CAST(y AS VARCHA
 )
 def rule_clone_and_tweak_sibling(spark, sf_dir):
     return RR.clone_and_tweak_sibling(_t(spark, sf_dir, "documents").select(F.col("source").alias("file_path"), F.col("doc_id").cast("string").alias("name"), "text").where("text is not null"))
+
+
+_AREAS = f"""w AS (SELECT 'a' || l_suppkey || '/m' AS source, 'a' || l_partkey || '/m' AS target, l_shipdate < DATE '{DAY}' + 900 AS old FROM lineitem WHERE l_quantity > 25),
+o AS (SELECT DISTINCT source, target FROM w WHERE old), z AS (SELECT source, target FROM w EXCEPT SELECT source, target FROM o)"""
+
+
+@query(
+    f"""WITH {_AREAS} SELECT source, target FROM z WHERE source <> target AND (target, source) IN (SELECT (source, target) FROM o)
+  AND (source, target) NOT IN (SELECT (source, target) FROM o)"""
+)
+def rule_direction_reversing_edge(spark, sf_dir):
+    side = lambda c: F.concat(F.lit("a"), F.col(c).cast("string"), F.lit("/m"))
+    rows = _t(spark, sf_dir, "lineitem").where("l_quantity > 25").select(side("l_suppkey").alias("source"), side("l_partkey").alias("target"), "l_shipdate")
+    before = rows.where(F.col("l_shipdate") < F.date_add(F.lit(DAY).cast("date"), 900)).select("source", "target").distinct()
+    return RR.direction_reversing_edge(rows.select("source", "target").distinct(), before)
+
+
+@query("SELECT 'd' || p_partkey // 10 || '/m' || p_partkey || '.test.ts' AS file_path, 'm' || p_partkey AS stem FROM part WHERE p_partkey % 2 = 0 AND p_size > 45")
+def rule_far_away_test(spark, sf_dir):
+    p = _t(spark, sf_dir, "part")
+    stem = F.concat(F.lit("d"), F.floor(F.col("p_partkey") / 10).cast("string"), F.lit("/m"), F.col("p_partkey").cast("string"))
+    tests = p.where("p_partkey % 2 = 0").select(F.concat(stem, F.lit(".test.ts")).alias("file_path"))
+    return RR.far_away_test(tests.unionByName(p.where("p_size <= 45").select(F.concat(stem, F.lit(".ts")).alias("file_path"))))
+
+
+_NAMED = "lower(replace(p_type, ' ', '-')) || '-' || p_partkey"
+
+
+@query(
+    f"""WITH f AS (SELECT p_partkey // 10 AS d, 'd' || p_partkey // 10 || '/' || {_NAMED} || '.ts' AS path, p_size > 40 AS new, list_distinct(list_filter(string_split_regex({_NAMED}, '[^a-z0-9]+'), lambda v: v <> '')) AS words FROM part),
+m AS (SELECT x.path AS file_path, y.path AS twin, CAST(len(list_intersect(x.words, y.words)) AS BIGINT) AS shared FROM f x JOIN f y ON x.d = y.d AND x.path <> y.path WHERE x.new),
+r AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY shared DESC, twin) AS k FROM m WHERE shared > 0)
+SELECT file_path, twin, shared FROM r WHERE k <= 6"""
+)
+def rule_duplicate_module_role(spark, sf_dir):
+    key = F.col("p_partkey")
+    path = F.concat(F.lit("d"), F.floor(key / 10).cast("string"), F.lit("/"), F.lower(F.replace("p_type", F.lit(" "), F.lit("-"))), F.lit("-"), key.cast("string"), F.lit(".ts"))
+    files = _t(spark, sf_dir, "part").select(path.alias("file_path"), "p_size")
+    return RR.duplicate_module_role(files.where("p_size > 40"), files)
+
+
+@query(
+    """WITH f AS (SELECT p_brand AS file_path, 'p' || p_partkey AS name, 'x' || p_partkey % 400 AS a, 'y' || p_size AS b, p_partkey % 3 = 0 AS used FROM part),
+h AS (SELECT file_path, name, a AS parameter FROM f WHERE NOT used UNION ALL SELECT file_path, name, b FROM f),
+s AS (SELECT *, count(*) OVER (PARTITION BY parameter) AS sharing FROM h) SELECT * FROM s WHERE sharing >= 3"""
+)
+def rule_transitive_plumbing(spark, sf_dir):
+    f = _functions(spark, sf_dir)
+    a = F.concat(F.lit("x"), (F.substring("name", 2, 20).cast("long") % 400).cast("string"))
+    b = F.concat(F.lit("y"), F.col("p_size").cast("string"))
+    read = F.when(F.substring("name", 2, 20).cast("long") % 3 == 0, a).otherwise(F.lit("0"))
+    text = F.concat(F.lit("function f("), a, F.lit(", "), b, F.lit(") { g("), a, F.lit(", "), b, F.lit("); return "), read, F.lit(" }"))
+    return RR.transitive_plumbing(f.select("file_path", "name", F.array(a, b).alias("parameters"), text.alias("text")))
+
+
+@query(
+    """WITH f AS (SELECT p_brand || p_partkey // 40 AS file_path, 'load' || p_size % 10 AS stem, 'load' || p_size % 10 || CASE p_partkey % 3 WHEN 0 THEN 'Async' WHEN 1 THEN 'Sync' ELSE '' END AS name, p_partkey % 3 = 0 AS later FROM part)
+SELECT file_path, stem, array_to_string(list_sort(list(DISTINCT name)), ',') AS names FROM f GROUP BY 1, 2 HAVING bool_or(later) AND NOT bool_and(later)"""
+)
+def rule_sync_async_sibling_ambiguity(spark, sf_dir):
+    key = F.col("p_partkey")
+    ending = F.when(key % 3 == 0, "Async").when(key % 3 == 1, "Sync").otherwise("")
+    text = F.concat(F.when(key % 3 == 0, "export async function f() {}").otherwise("function f() { /* async */ }"))
+    name = F.concat(F.lit("load"), (F.col("p_size") % 10).cast("string"), ending)
+    f = _t(spark, sf_dir, "part").select(F.concat("p_brand", F.floor(key / 40).cast("string")).alias("file_path"), name.alias("name"), text.alias("text"))
+    return RR.sync_async_sibling_ambiguity(f).withColumn("names", F.array_join("names", ","))
+
+
+@query(
+    """WITH d AS (SELECT 'd' || doc_id AS file_path, regexp_replace(text, '\\bimport\\b[^;''"]*[''"][^''"]*[''"]', '', 'g') AS body FROM documents WHERE text IS NOT NULL),
+u AS (SELECT file_path, unnest(['the', 'data', 'model', 'value', 'of']) AS local, body FROM d)
+SELECT file_path, CASE WHEN length(local) > 3 THEN './long' ELSE './short' END AS specifier, count(*) AS bound, count(*) FILTER (regexp_matches(body, '\\b' || local || '\\b')) AS used FROM u GROUP BY 1, 2"""
+)
+def rule_import_use_skew(spark, sf_dir):
+    files = _t(spark, sf_dir, "documents").where("text is not null").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("file_path"), F.col("text").alias("source"))
+    names = F.explode(F.array(*[F.lit(x) for x in ("the", "data", "model", "value", "of")]))
+    imports = files.select("file_path", names.alias("local")).withColumn("specifier", F.when(F.length("local") > 3, "./long").otherwise("./short"))
+    return RR.import_use_skew(imports, files)
