@@ -149,8 +149,11 @@ def divergent_inverses(functions: DataFrame) -> DataFrame:
 
 def other_styles(rows: DataFrame, group: str, member: str, styles: str, most: int = MOST_NAMED) -> DataFrame:
     """(group, member, style, members, others): styles of a group that a member with a style of its own lacks, with the first members that have them."""
-    each = rows.where(F.size(styles) > 0).select(group, member, F.explode(styles).alias("style"))
-    have = each.groupBy(group, "style").agg(F.count_distinct(member).alias("others"), F.slice(F.array_sort(F.collect_set(member)), 1, most).alias("members"))
+    each = rows.where(F.size(styles) > 0).select(group, member, F.explode(styles).alias("style")).distinct()
+    # counted apart from the ranking, which Spark then cuts before it sorts a large group as a whole
+    rank = F.row_number().over(W.partitionBy(group, "style").orderBy(member))
+    first = each.withColumn("_rank", rank).where(F.col("_rank") <= most).groupBy(group, "style").agg(F.array_sort(F.collect_list(member)).alias("members"))
+    have = first.join(each.groupBy(group, "style").agg(F.count("*").alias("others")), [group, "style"])
     own = rows.where(F.size(styles) > 0).select(F.col(group).alias("_g"), member, F.col(styles).alias("_s"))
     return have.join(own, F.col(group) == F.col("_g")).where(~F.array_contains("_s", F.col("style"))).select(group, member, "style", "members", "others")
 
