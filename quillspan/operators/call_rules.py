@@ -73,7 +73,10 @@ def forwards(functions: DataFrame, calls: DataFrame) -> DataFrame:
 
 
 def hollow_delegation_chain(functions: DataFrame, calls: DataFrame, least: int = 3, most: int = MOST_HOPS) -> DataFrame:
-    """Chains of `least` to `most` hops that only forward, within one file; a chain that runs in a circle or leaves the file abstains."""
+    """Chains of `least` hops or more that only forward, within one file; a chain that runs in a circle or leaves the file abstains.
+
+    Of longer chains the first `most` hops are told, with `cut` true; what they do after the next hop is not looked at.
+    """
     step = forwards(functions, calls)
     inside = step.where("owner = file_path").select(F.col("file_path").alias("_f"), F.col("name").alias("_n"), F.col("target").alias("_t"))
     chain = step.where("owner = file_path").select(*OWN, F.array("target").alias("chain"))
@@ -81,8 +84,10 @@ def hollow_delegation_chain(functions: DataFrame, calls: DataFrame, least: int =
         met = chain.join(inside, (F.col("file_path") == F.col("_f")) & (F.element_at("chain", -1) == F.col("_n")), "left")
         chain = met.select(*OWN, F.when(F.col("_t").isNull() | (F.size("chain") > most), F.col("chain")).otherwise(F.concat("chain", F.array("_t"))).alias("chain"))
     leaves = step.where("owner <> file_path").select(F.col("file_path").alias("_f"), F.col("name").alias("_n"))
-    chain = chain.join(leaves, (F.col("file_path") == F.col("_f")) & (F.element_at("chain", -1) == F.col("_n")), "left_anti")
-    return chain.where((F.size("chain") >= least) & (F.size("chain") <= most) & (F.size(F.array_distinct("chain")) == F.size("chain")) & ~F.array_contains("chain", F.col("name")))
+    chain = chain.withColumn("cut", F.size("chain") > most)
+    chain = chain.join(leaves, (F.col("file_path") == F.col("_f")) & (F.element_at("chain", -1) == F.col("_n")) & ~F.col("cut"), "left_anti")
+    once = (F.size(F.array_distinct("chain")) == F.size("chain")) & ~F.array_contains("chain", F.col("name"))
+    return chain.where((F.size("chain") >= least) & once).select(*OWN, F.slice("chain", 1, most).alias("chain"), "cut")
 
 
 def deep_delegation_chain(functions: DataFrame, calls: DataFrame) -> DataFrame:

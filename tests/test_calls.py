@@ -208,6 +208,17 @@ def rows(df, *columns):
     return sorted(tuple(r) for r in df.select(*columns).collect())
 
 
+def test_a_long_chain_is_told_as_cut(spark):
+    hop = lambda k: (f"h{k}", "a.ts", f"function h{k}(x) {{\n  return h{k + 1}(x);\n}}")
+    end = ("h12", "a.ts", "function h12(x) {\n  const y = x;\n  return y;\n}")
+    ring = [(f"r{k}", "b.ts", f"function r{k}(x) {{\n  return r{(k + 1) % 4}(x);\n}}") for k in range(4)]
+    functions = spark.createDataFrame([*map(hop, range(12)), end, *ring], "name string, file_path string, text string")
+    calls = functions.selectExpr("file_path", "name as caller", r"regexp_extract(text, 'return (\\w+)\\(', 1) as target", "file_path as owner").where("target <> ''")
+    found = {r["name"]: (list(r["chain"]), r["cut"]) for r in CR.hollow_delegation_chain(functions, calls).collect()}
+    assert sorted(found) == sorted(f"h{k}" for k in range(10))
+    assert all(chain == [f"h{j}" for j in range(k + 1, min(k + 8, 12) + 1)] and cut == (12 - k > 8) for k in range(10) for chain, cut in [found[f"h{k}"]])
+
+
 def test_chains_and_layers(tree):
     f, c = tree.functions, tree.calls
     assert rows(CR.hollow_delegation_chain(f, c), "name", "chain") == [("first", ["second", "third", "fourth"])]
