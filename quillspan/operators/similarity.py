@@ -9,6 +9,10 @@ from pyspark.sql import Window as W
 from quillspan.operators.graph import components
 
 
+#: Sets of up to so many items are indexed by pairs of items, larger ones by single items.
+PAIRED = 64
+
+
 def shared_items(items: DataFrame, owner: str, item: str, least: int) -> DataFrame:
     """(left, right, shared, jaccard) of owners that share `least` items or more, from an inverted index.
 
@@ -70,10 +74,6 @@ def nearest_set(asked: DataFrame, sets: DataFrame, owner: str, name: str, value:
     return shared.groupBy("o").agg(best).select(F.col("o").alias(owner), F.col("b.s").alias(name), (-F.col("b.k")).alias("shared"))
 
 
-#: Sets of up to so many items are indexed by pairs of items, larger ones by single items.
-PAIRED = 64
-
-
 def contained_sets(items: DataFrame, owner: str, item: str, least: int = 2) -> DataFrame:
     """(inside, outside, size, other_size): sets of `least` items or more that lie wholly in another, larger one.
 
@@ -131,10 +131,11 @@ def parts(rows: DataFrame, owner: list[str], item: str, feature: str) -> DataFra
 
     `part` is the least item of its part; an item whose feature is null is a part of its own.
     """
-    key = F.to_json(F.struct(*owner))
-    sides = rows.select(*owner, F.col(item).alias("i"), F.concat_ws("\u0001", key, F.lit("i"), F.col(item).cast("string")).alias("a"), F.when(F.col(feature).isNotNull(), F.concat_ws("\u0001", key, F.lit("f"), F.col(feature).cast("string"))).alias("b"))
-    labels = components(sides.where("b is not null").select("a", "b").distinct())
-    own = sides.select(*owner, "i", "a").distinct()
-    met = own.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("least", "a"))
-    by = W.partitionBy(*owner, "label")
-    return met.withColumn("part", F.min("i").over(by)).select(*owner, "part", F.col("i").alias(item))
+    given = rows.select(F.struct(*owner).alias("k"), F.col(item).alias("i"), F.col(feature).alias("f")).distinct()
+    # a feature links the least item that has it with the others; one that a single item has links none
+    least = given.where("f is not null").withColumn("first", F.min("i").over(W.partitionBy("k", "f")))
+    node = lambda c: F.struct("k", F.col(c).alias("i"))
+    labels = components(least.where("first < i").select(node("first").alias("a"), node("i").alias("b")).distinct())
+    own, met = given.select("k", "i").distinct(), labels.select(F.col("node.k").alias("_k"), F.col("node.i").alias("_i"), F.col("least.i").alias("part"))
+    found = own.join(met, F.col("k").eqNullSafe(F.col("_k")) & (F.col("i") == F.col("_i")), "left")
+    return found.select("k.*", F.coalesce("part", "i").alias("part"), F.col("i").alias(item))
