@@ -13,25 +13,58 @@ from quillspan.operators.graph import components
 PAIRED = 64
 
 
+def _ordered(rows: DataFrame) -> DataFrame:
+    """(o, x): the items of each owner in `rows` (o, i) with how many owners they have (n, i), rarest first."""
+    counts = rows.groupBy("i").agg(F.count("*").alias("n"))
+    return rows.join(counts, "i").groupBy("o").agg(F.sort_array(F.collect_list(F.struct("n", "i"))).alias("x"))
+
+
+def meeting_pairs(ordered: DataFrame, least: int) -> DataFrame:
+    """(left, right): owners of `ordered` sets that may share `least` items, among them all that do.
+
+    Of two such owners of n items, two of the n - least + 2 rarest of each are among those of the other, so that sets
+    of up to PAIRED items meet by pairs of these, of which few are common. Larger sets, and all where one item is
+    enough, meet by one of the n - least + 1 rarest.
+    """
+    rarest = lambda more: F.filter(F.slice("x", F.lit(1), F.size("x") - (least - more)), lambda e: e["n"] > 1)
+
+    def meeting(one: DataFrame, other: DataFrame) -> DataFrame:
+        met = one.select(F.col("key").alias("_k"), F.col("o").alias("_a")).join(other.select(F.col("key").alias("_j"), F.col("o").alias("_b")), F.col("_k") == F.col("_j"))
+        return met.where("_a <> _b").select(F.least("_a", "_b").alias("left"), F.greatest("_a", "_b").alias("right"))
+
+    single = ordered.select("o", F.size("x").alias("size"), F.explode(rarest(1)).alias("e")).select("o", "size", F.col("e.i").alias("key"))
+    if least == 1:
+        return meeting(single, single).distinct()
+    prefix = ordered.where(F.size("x") <= PAIRED).select("o", rarest(2).alias("rest"))
+    pair = _groups(prefix, ["a", "b"]).select("o", F.xxhash64("a.i", "b.i").alias("key"))  # pairs of one hash are told apart by their sets
+    return meeting(pair, pair).unionByName(meeting(single, single.where(F.col("size") > PAIRED))).distinct()
+
+
 def shared_items(items: DataFrame, owner: str, item: str, least: int) -> DataFrame:
     """(left, right, shared, jaccard) of owners that share `least` items or more, from an inverted index.
 
-    Of two such owners of n items, one of the n - least + 1 rarest of each is among those of the other, so that
-    only these are indexed; pairs are then compared as whole sets. Every item counts, however many owners it has.
+    Owners that meet in it are compared as whole sets. Every item counts, however many owners it has.
     """
     rows = items.select(F.col(owner).alias("o"), F.col(item).alias("i")).where("o is not null and i is not null").distinct()
-    counts = rows.groupBy("i").agg(F.count("*").alias("n"))
-    ordered = rows.join(counts, "i").groupBy("o").agg(F.sort_array(F.collect_list(F.struct("n", "i"))).alias("x")).where(F.size("x") >= least)
+    ordered = _ordered(rows).where(F.size("x") >= least)
     sets = ordered.select("o", F.transform("x", lambda e: e["i"]).alias("all"))
-    rare = ordered.select("o", F.explode(F.slice("x", F.lit(1), F.size("x") - (least - 1))).alias("e")).where("e.n > 1").select("o", "e.i")
-    other = rare.select(F.col("i").alias("_i"), F.col("o").alias("right"))
-    pairs = rare.withColumnRenamed("o", "left").join(other, (F.col("i") == F.col("_i")) & (F.col("left") < F.col("right"))).select("left", "right").distinct()
+    pairs = meeting_pairs(ordered, least)
     pairs = pairs.join(sets.select(F.col("o").alias("left"), F.col("all").alias("_l")), "left").join(sets.select(F.col("o").alias("right"), F.col("all").alias("_r")), "right")
     pairs = pairs.withColumn("shared", F.size(F.array_intersect("_l", "_r")).cast("long")).where(F.col("shared") >= least)
     jaccard = F.col("shared") / (F.size("_l") + F.size("_r") - F.col("shared"))
     return pairs.select("left", "right", "shared", F.round(jaccard, 3).alias("jaccard"))
 
 
+def _groups(sets: DataFrame, names: list[str]) -> DataFrame:
+    """(o, *names): all groups of the items of each set (o, rest), in the order of the array."""
+    rows, left = sets, len(names)
+    for at, name in enumerate(names):
+        left -= 1
+        rest = F.slice("rest", F.col("_k") + 2, F.greatest(F.size("rest") - F.col("_k") - 1, F.lit(0)))
+        rows = rows.select("o", *names[:at], "rest", F.posexplode("rest").alias("_k", name)).select("o", *names[: at + 1], rest.alias("rest")).where(F.size("rest") >= left)
+    return rows.drop("rest")
+
+
 def clumps(members: DataFrame, owner: str, item: str, size: int, least: int) -> DataFrame:
     """Groups of `size` items (item_1 < item_2 ...) that occur together in `least` owners or more.
 

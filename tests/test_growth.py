@@ -16,3 +16,23 @@ def test_parts_link_only_items_that_share_a_feature(spark, monkeypatch):
     got = {(x.k, x.i): x.part for x in similarity.parts(spark.createDataFrame(rows, "k long, i long, f string"), ["k"], "i", "f").collect()}
     assert len(links) == 1
     assert got == {**{(k, i): i for k in (1, None) for i in range(50)}, (1, 7): 3, (2, 9): 9}
+
+
+def test_sets_with_common_items_meet_by_pairs(spark):
+    rows = [(o, o % 3) for o in range(600)] + [(o, 10 + o % 7) for o in range(600)] + [(o, 100 + o // 2 + 1000 * k) for o in range(600) for k in range(2)]
+    df = spark.createDataFrame(rows, "o long, i long")
+    assert similarity.meeting_pairs(similarity._ordered(df.distinct()), 3).count() < 6000  # by single items each of seven groups of 86 and more meets whole
+    sets = {}
+    for o, i in rows:
+        sets.setdefault(o, set()).add(i)
+    for least in (1, 2, 3):
+        got = {(x.left, x.right): x.shared for x in similarity.shared_items(df, "o", "i", least).collect()}
+        assert got == {(a, b): len(sets[a] & sets[b]) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= least}
+
+
+def test_large_sets_meet_small_and_large_ones(spark):
+    n = similarity.PAIRED + 6
+    sets = {"a": set(range(n)), "b": set(range(n - 3, 2 * n)), "c": {1, 2, n - 1, n + 5}, "d": {n - 2, n - 1, n}}
+    rows = [(o, i) for o, s in sets.items() for i in s]
+    got = {(x.left, x.right): x.shared for x in similarity.shared_items(spark.createDataFrame(rows, "o string, i long"), "o", "i", 3).collect()}
+    assert got == {("a", "b"): 3, ("a", "c"): 3, ("b", "d"): 3}
