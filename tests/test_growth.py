@@ -36,3 +36,11 @@ def test_large_sets_meet_small_and_large_ones(spark):
     rows = [(o, i) for o, s in sets.items() for i in s]
     got = {(x.left, x.right): x.shared for x in similarity.shared_items(spark.createDataFrame(rows, "o string, i long"), "o", "i", 3).collect()}
     assert got == {("a", "b"): 3, ("a", "c"): 3, ("b", "d"): 3}
+
+
+def test_twin_types_of_common_members_meet_by_pairs(spark):
+    rows = [(o, x.n, x.i) for o in range(300) for x in [type("X", (), {"n": k, "i": i}) for k, i in ((150, o % 2), (300, 9), (1, 1000 + o))]]
+    ordered = spark.createDataFrame(rows, "o long, n long, i long").selectExpr("o", "struct(n, i) e").groupBy("o").agg(similarity.F.sort_array(similarity.F.collect_list("e")).alias("x"))
+    assert similarity.meeting_pairs(ordered, 3).count() == 0  # of three items each the two rarest decide: no two sets have both
+    members = spark.createDataFrame([("f", "T", "a"), ("f", "T", "b"), ("f", "T", "c"), ("g", "U", "a"), ("g", "U", "b"), ("g", "U", "c"), ("g", "V", "a"), ("h", "T", "b")], "file_path string, type_name string, member string")
+    assert [tuple(x) for x in RR.convergent_twin_types(members).collect()] == [("f#T", "g#U", 3, 1.0)]
