@@ -90,7 +90,8 @@ def duplicated_logic(functions: DataFrame, least: int = 3) -> DataFrame:
     """Pairs of functions that share `least` statements or more, compared without white space."""
     statement = F.explode(F.split("text", r"[;\n]")).alias("statement")
     rows = functions.select(F.concat_ws("#", "file_path", "name").alias("owner"), statement).withColumn("statement", F.regexp_replace("statement", r"\s+", ""))
-    return shared_items(rows.where(F.length("statement") > 12), "owner", "statement", least)
+    digest = F.unhex(F.substring(F.sha2("statement", 256), 1, 32)).alias("statement")  # 128 bits in place of a text
+    return shared_items(rows.where(F.length("statement") > 12).select("owner", digest), "owner", "statement", least)
 
 
 def clone_and_tweak_sibling(functions: DataFrame, least: float = 0.5) -> DataFrame:

@@ -44,3 +44,12 @@ def test_twin_types_of_common_members_meet_by_pairs(spark):
     assert similarity.meeting_pairs(ordered, 3).count() == 0  # of three items each the two rarest decide: no two sets have both
     members = spark.createDataFrame([("f", "T", "a"), ("f", "T", "b"), ("f", "T", "c"), ("g", "U", "a"), ("g", "U", "b"), ("g", "U", "c"), ("g", "V", "a"), ("h", "T", "b")], "file_path string, type_name string, member string")
     assert [tuple(x) for x in RR.convergent_twin_types(members).collect()] == [("f#T", "g#U", 3, 1.0)]
+
+
+def test_statements_are_compared_by_digests(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(RR, "shared_items", lambda rows, *more, of=similarity.shared_items: seen.extend(rows.collect()) or of(rows, *more))
+    body = "\n".join(f"const value{k} = other{k} * {k}" + " + more" * 50 for k in range(4))
+    made = spark.createDataFrame([("a", "f", body), ("b", "g", body.replace(" ", "  ")), ("c", "h", body[:500])], "file_path string, name string, text string")
+    assert [tuple(x) for x in RR.duplicated_logic(made).collect()] == [("a#f", "b#g", 4, 1.0)]
+    assert {len(x.statement) for x in seen} == {16}
