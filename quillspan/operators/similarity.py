@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quillspan.operators.graph import components
+from quillspan.session import dealt, stored
 
 
 #: Sets of up to so many items are indexed by pairs of items, larger ones by single items.
@@ -65,23 +66,31 @@ def _groups(sets: DataFrame, names: list[str]) -> DataFrame:
     return rows.drop("rest")
 
 
+#: Groups of over two items are listed at once for owners of up to so many items.
+WHOLE = 12
+
+
 def clumps(members: DataFrame, owner: str, item: str, size: int, least: int) -> DataFrame:
     """Groups of `size` items (item_1 < item_2 ...) that occur together in `least` owners or more.
 
-    Groups grow by one item at a time, from those that are in enough owners already.
+    Groups of owners of over WHOLE items are made only of pairs that are in enough owners already.
     """
     rows = members.select(F.col(owner).alias("o"), F.col(item).alias("i")).where("o is not null and i is not null").distinct()
-    frequent = rows.groupBy("i").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("i")
-    rows = rows.join(frequent, "i")
-    more = rows.select(F.col("o").alias("_o"), F.col("i").alias("_i"))
-    found = rows.select("o", F.array("i").alias("clump"))
-    for _ in range(size - 1):
-        found = found.join(more, (F.col("o") == F.col("_o")) & (F.element_at("clump", -1) < F.col("_i"))).select("o", F.concat("clump", F.array("_i")).alias("clump"))
-        counts = found.groupBy("clump").agg(F.count("*").alias("owners")).where(F.col("owners") >= least)
-        found = found.join(counts.select("clump"), "clump", "left_semi")
+    frequent = rows.groupBy("i").agg(F.count("*").alias("owners")).where(F.col("owners") >= least)
+    names = [f"item_{k + 1}" for k in range(size)]
     if size == 1:
-        counts = found.groupBy("clump").agg(F.count("*").alias("owners")).where(F.col("owners") >= least)
-    return counts.select(*[F.get("clump", F.lit(k)).alias(f"item_{k + 1}") for k in range(size)], "owners")
+        return frequent.select(F.col("i").alias(names[0]), "owners")
+    sets = stored(rows.join(frequent.select("i"), "i").groupBy("o").agg(F.sort_array(F.collect_list("i")).alias("rest")).where(F.size("rest") >= size))
+    counted = lambda found: found.groupBy(*found.columns[1:]).agg(F.count("*").alias("owners")).where(F.col("owners") >= least)
+    wide = sets.where(F.size("rest") > WHOLE)
+    if size == 2 or wide.isEmpty():
+        return counted(_groups(dealt(sets, "o"), names))
+    pairs = counted(_groups(dealt(sets, "o"), names[:2])).drop("owners")
+    kept = stored(_groups(dealt(wide, "o"), names[:2]).join(pairs, names[:2], "left_semi").select("o", *names[:2]))
+    found = kept
+    for k in range(2, size):
+        found = found.join(kept.select("o", F.col(names[0]).alias(names[k - 1]), F.col(names[1]).alias(names[k])), ["o", names[k - 1]]).select("o", *names[: k + 1])
+    return counted(_groups(dealt(sets.where(F.size("rest") <= WHOLE), "o"), names).unionByName(found))
 
 
 def multiset_overlap(counts: DataFrame, pairs: DataFrame, owner: str, item: str, n: str) -> DataFrame:

@@ -47,3 +47,16 @@ def stored(df: DataFrame) -> DataFrame:
     folder = f"{base.rstrip('/')}/stored-{uuid.uuid4().hex}"
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
+
+
+#: Rows for each partition of what `dealt` deals out.
+DEALT_ROWS = 200_000
+
+
+def dealt(df: DataFrame, *keys: str, made_of: DataFrame | None = None) -> DataFrame:
+    """`df` dealt by `keys` over partitions of about DEALT_ROWS rows of itself, or of what it was made of; these are counted, and should be cheap to read.
+
+    For steps that make many rows of each: partitions sized by what was shuffled before would hold too many in one task.
+    """
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, (made_of or df).count() // DEALT_ROWS + 1), *keys)

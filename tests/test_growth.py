@@ -53,3 +53,12 @@ def test_statements_are_compared_by_digests(spark, monkeypatch):
     made = spark.createDataFrame([("a", "f", body), ("b", "g", body.replace(" ", "  ")), ("c", "h", body[:500])], "file_path string, name string, text string")
     assert [tuple(x) for x in RR.duplicated_logic(made).collect()] == [("a#f", "b#g", 4, 1.0)]
     assert {len(x.statement) for x in seen} == {16}
+
+
+def test_clumps_are_made_in_partitions_that_grow_with_the_owners(spark, monkeypatch):
+    monkeypatch.setattr(session, "DEALT_ROWS", 10)
+    assert session.dealt(spark.range(200), "id").rdd.getNumPartitions() == 21
+    rows = spark.createDataFrame([(o, i) for o in range(60) for i in (o % 2, 5, 7 + o % 3)], "o long, i long")
+    found = similarity.clumps(rows, "o", "i", 2, 20)
+    assert "REPARTITION_BY_NUM" in plan(found)
+    assert {tuple(x) for x in found.collect()} == {(0, 5, 30), (1, 5, 30), (5, 7, 20), (5, 8, 20), (5, 9, 20)}
