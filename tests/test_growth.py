@@ -1,5 +1,8 @@
 """Steps whose rows, memory or shuffled bytes grew faster than what they read."""
 
+from collections import Counter
+from itertools import combinations
+
 from quillspan import session
 from quillspan.operators import call_order, call_rules, similarity
 from quillspan.operators import relation_rules as RR
@@ -62,3 +65,18 @@ def test_clumps_are_made_in_partitions_that_grow_with_the_owners(spark, monkeypa
     found = similarity.clumps(rows, "o", "i", 2, 20)
     assert "REPARTITION_BY_NUM" in plan(found)
     assert {tuple(x) for x in found.collect()} == {(0, 5, 30), (1, 5, 30), (5, 7, 20), (5, 8, 20), (5, 9, 20)}
+
+
+def test_groups_of_three_are_listed_without_joins_where_owners_are_narrow(spark):
+    narrow = [(o, i) for o in range(9) for i in range(o, o + 4)]
+    wide = [(20 + o, i) for o in range(2) for i in range(similarity.WHOLE + 1)]
+    df = spark.createDataFrame(narrow, "o long, i long")
+    assert "Join" not in plan(similarity.clumps(df, "o", "i", 3, 2)).split("== Physical Plan ==")[-1]
+    for size in (3, 4):
+        for rows in (narrow, narrow + wide):
+            sets = {}
+            for o, i in rows:
+                sets.setdefault(o, []).append(i)
+            want = Counter(c for s in sets.values() for c in combinations(sorted(s), size))
+            got = {tuple(x)[:-1]: x.owners for x in similarity.clumps(spark.createDataFrame(rows, "o long, i long"), "o", "i", size, 2).collect()}
+            assert got == {c: n for c, n in want.items() if n >= 2}
