@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillspan.functions.text import code_only, split_top
 from quillspan.operators.call_rules import OWN, state_uses
 from quillspan.operators.relation_rules import HEAD, is_test_file, resolved_calls
-from quillspan.session import checkpoint_folder
+from quillspan.session import checkpoint_folder, dealt
 
 ELEMENT = r"<([A-Z][\w$]*)((?:\s+[\w$-]+(?:=(?:\{[^{}]*\}|\"[^\"]*\"|'[^']*'))?)*)\s*/?>"
 ATTRIBUTE = r"([\w$]+)=\{\s*([A-Za-z_$][\w$]*)\s*\}"
@@ -27,12 +27,13 @@ def order_support(calls: DataFrame, asked: DataFrame) -> DataFrame:
 
     `calls` has caller, target and position. A caller keeps the order if it calls `first` before `second`; `after`
     counts those that call it only later, `without` those that call the second one alone, and `example` is the least
-    caller of these two kinds. Each caller's calls meet the pairs that they belong to and are folded once.
+    caller of these two kinds. Each caller's calls meet the pairs that they belong to and are folded once, in partitions whose number grows with the calls.
     """
     at = calls.groupBy("caller", "target").agg(F.min("position").alias("at"))
     sides = F.explode(F.array(F.struct(F.col("first").alias("target"), F.lit(True).alias("leads")), F.struct(F.col("second").alias("target"), F.lit(False).alias("leads"))))
     roles = asked.select("first", "second", sides.alias("side")).select("first", "second", "side.*").distinct()
-    met = at.join(roles, "target").groupBy("first", "second", "caller").agg(F.min(F.when(F.col("leads"), F.col("at"))).alias("a"), F.min(F.when(~F.col("leads"), F.col("at"))).alias("b"))
+    keys = ["first", "second", "caller"]
+    met = dealt(at.join(roles, "target"), *keys, made_of=calls).groupBy(*keys).agg(F.min(F.when(F.col("leads"), F.col("at"))).alias("a"), F.min(F.when(~F.col("leads"), F.col("at"))).alias("b"))
     kept, broken, alone = F.col("a") < F.col("b"), F.col("a") >= F.col("b"), F.col("a").isNull()
     return met.where("b is not null").groupBy("first", "second").agg(
         F.count_if(kept).alias("before"), F.count_if(broken).alias("after"), F.count_if(alone).alias("without"), F.min(F.when(broken | alone, F.col("caller"))).alias("example")

@@ -80,3 +80,11 @@ def test_groups_of_three_are_listed_without_joins_where_owners_are_narrow(spark)
             want = Counter(c for s in sets.values() for c in combinations(sorted(s), size))
             got = {tuple(x)[:-1]: x.owners for x in similarity.clumps(spark.createDataFrame(rows, "o long, i long"), "o", "i", size, 2).collect()}
             assert got == {c: n for c, n in want.items() if n >= 2}
+
+
+def test_orders_of_calls_are_folded_in_partitions_that_grow_with_the_calls(spark, monkeypatch):
+    monkeypatch.setattr(session, "DEALT_ROWS", 10)
+    calls = spark.createDataFrame([(c, t, (c * t) % 3) for c in range(30) for t in (1, 2)], "caller long, target long, position long")
+    found = call_order.order_support(calls, spark.createDataFrame([(1, 2)], "first long, second long"))
+    assert "REPARTITION_BY_NUM" in plan(found)
+    assert [tuple(x)[2:5] for x in found.collect()] == [(10, 20, 0)]
