@@ -17,6 +17,8 @@ from quillspan.operators.relation_rules import is_test_file
 
 #: The longest chain that is followed, and how many siblings are named.
 MOST_HOPS, MOST_NAMED = 8, 6
+#: Targets of a source in one row.
+LISTED = 1000
 
 FORWARD = r"^[^{]*\{\s*return\s+(?:await\s+)?([\w$]+)\([\w$\s,.]*\);?\s*\}\s*;?\s*$"
 GUARD = r"\bif\s*\([^\n]*\)\s*\{?\s*(throw|return)\b|\b(assert|validate|authorize|ensure|require|check)\w*\("
@@ -100,10 +102,14 @@ def deep_delegation_chain(functions: DataFrame, calls: DataFrame) -> DataFrame:
 
 def skipped_intermediaries(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     """(source, target, middle): pairs that stand in `pairs` although source has an edge to middle and middle one to target."""
-    p = pairs.select("source", "target").where("source <> target").distinct()
-    e = edges.select(F.col("source").alias("_s"), F.col("target").alias("_t")).where("_s <> _t").distinct()
-    first = p.join(e, F.col("source") == F.col("_s")).where("_t <> target").select("source", "target", F.col("_t").alias("middle"))
-    return first.join(e, (F.col("middle") == F.col("_s")) & (F.col("target") == F.col("_t")), "left_semi")
+    # the targets of a source travel as lists to its middles, in place of a row for each two edges
+    out = lambda rows: rows.where("source <> target").select("source", "target").distinct()
+    listed = lambda rows, name: out(rows).withColumn("_at", F.floor((F.row_number().over(W.partitionBy("source").orderBy("target")) - 1) / LISTED)).groupBy("source", "_at").agg(F.collect_list("target").alias(name)).drop("_at")
+    around = listed(pairs, "_wanted")
+    steps = out(edges).select("source", F.col("target").alias("middle")).join(around, "source")
+    onward = listed(edges, "_onward").withColumnRenamed("source", "middle")
+    met = steps.join(onward, "middle").select("source", "middle", F.explode(F.array_intersect("_wanted", "_onward")).alias("target"))
+    return met.select("source", "target", "middle")
 
 
 def layer_skipping_call(calls: DataFrame, edges: DataFrame, files: DataFrame) -> DataFrame:

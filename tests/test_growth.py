@@ -88,3 +88,13 @@ def test_orders_of_calls_are_folded_in_partitions_that_grow_with_the_calls(spark
     found = call_order.order_support(calls, spark.createDataFrame([(1, 2)], "first long, second long"))
     assert "REPARTITION_BY_NUM" in plan(found)
     assert [tuple(x)[2:5] for x in found.collect()] == [(10, 20, 0)]
+
+
+def test_skipped_intermediaries_travel_as_lists(spark, monkeypatch):
+    monkeypatch.setattr(call_rules, "LISTED", 3)
+    edges = [(0, k) for k in range(1, 12)] + [(k, k + 1) for k in range(1, 11)] + [(5, k) for k in range(6, 12)] + [(4, 4), (0, 0)]
+    df = spark.createDataFrame(edges, "source long, target long")
+    found = call_rules.skipped_intermediaries(df, df)
+    assert "array_intersect" in plan(found)
+    all_of = {e for e in edges if e[0] != e[1]}
+    assert sorted((x.source, x.target, x.middle) for x in found.collect()) == sorted((s, t, m) for s, t in all_of for a, m in all_of if a == s and m != t and (m, t) in all_of)
