@@ -30,7 +30,8 @@ def uncommented(source: Column) -> Column:
 def blanked(source: Column, pattern: str) -> Column:
     """A source without what matches, line by line as before: of what goes, the line feeds stay."""
     parts, gone = F.split(source, pattern, -1), F.regexp_extract_all(source, F.lit(pattern), F.lit(0))
-    return F.array_join(F.zip_with(parts, gone, lambda p, g: F.concat(p, F.coalesce(F.regexp_replace(g, "[^\n]", ""), F.lit("")))), "")
+    left = F.array_join(F.zip_with(parts, gone, lambda p, g: F.concat(p, F.coalesce(F.regexp_replace(g, "[^\n]", ""), F.lit("")))), "")
+    return F.when(source.rlike(pattern), left).otherwise(source)  # most sources of some kinds have nothing that goes
 
 
 def code_lines(source: Column) -> Column:

@@ -18,8 +18,9 @@ MOST_TOLD = 20
 
 def postings(files: DataFrame) -> DataFrame:
     """(name, file_path, line_number, position, kind): identifiers outside strings, comments and imports, declared, called, as a member of something, or as a value."""
-    code = blanked(code_lines(F.col("source")), IMPORTING)
-    rows = files.select("file_path", F.posexplode(F.split(code, "\n")).alias("at", "line"))
+    # in steps, as a column that is read several times is otherwise worked out anew each time
+    code = files.select("file_path", code_lines(F.col("source")).alias("code")).select("file_path", blanked(F.col("code"), IMPORTING).alias("code"))
+    rows = code.select("file_path", F.posexplode(F.split("code", "\n")).alias("at", "line"))
     sites = rows.select("file_path", (F.col("at") + 1).alias("line_number"), F.posexplode(F.regexp_extract_all("line", F.lit(SITE), F.lit(0))).alias("position", "site"))
     name = F.regexp_extract("site", r"([A-Za-z_$][\w$]*)\s*\(?$", 1)
     kind = F.when(F.col("site").rlike(DECLARED), "declared").when(F.col("site").rlike(r"^\??\.(?!\.\.)"), "member").when(F.col("site").endswith("("), "called").otherwise("value")

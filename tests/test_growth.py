@@ -4,7 +4,7 @@ from collections import Counter
 from itertools import combinations
 
 from quillspan import session
-from quillspan.operators import call_order, call_rules, similarity
+from quillspan.operators import call_order, call_rules, references, similarity
 from quillspan.operators import relation_rules as RR
 
 
@@ -98,3 +98,11 @@ def test_skipped_intermediaries_travel_as_lists(spark, monkeypatch):
     assert "array_intersect" in plan(found)
     all_of = {e for e in edges if e[0] != e[1]}
     assert sorted((x.source, x.target, x.middle) for x in found.collect()) == sorted((s, t, m) for s, t in all_of for a, m in all_of if a == s and m != t and (m, t) in all_of)
+
+
+def test_sources_are_blanked_once(spark):
+    files = spark.createDataFrame([("a", 'import {b} from "c"\nconst d = b("e") // f\ng(d)'), ("b", "no imports here"), ("c", None)], "file_path string, source string")
+    posted = references.postings(files)
+    assert plan(posted).split("== Physical Plan ==")[-1].count("regexp_extract_all") <= 3  # strings, imports, sites: each once
+    assert sorted((x.name, x.line_number) for x in posted.where("file_path = 'a'").collect()) == [("b", 2), ("d", 2), ("d", 3), ("g", 3)]
+    assert posted.where("file_path = 'b'").count() == 3 and posted.where("file_path = 'c'").count() == 0
