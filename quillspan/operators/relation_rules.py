@@ -14,6 +14,7 @@ from quillspan.functions.text import directory, name_tokens, normalize_source, t
 from quillspan.operators.graph import strong_components
 from quillspan.operators.modules import first_callers, new_edges, within_steps
 from quillspan.operators.similarity import clumps, jaccard_pairs, parts, shared_items
+from quillspan.session import stored
 
 HEAD = r"(?m)^\s*(export\s+)?(?:default\s+)?(?:async\s+)?(?:function\s+([\w$]+)\s*(?:<[^>]*>)?\(([^)]*)\)|const\s+([\w$]+)\s*=\s*(?:async\s*)?\(([^)]*)\)\s*(?::[^=]+)?=>)"
 CALL = r"(?<![\w$.])((?:[A-Za-z_$][\w$]*\.)?[A-Za-z_$][\w$]*)\s*\(([^()]*)\)"
@@ -96,11 +97,22 @@ def duplicated_logic(functions: DataFrame, least: int = 3) -> DataFrame:
 
 def clone_and_tweak_sibling(functions: DataFrame, least: float = 0.5) -> DataFrame:
     """The most similar other function of the same file by distinct tokens, at `least` Jaccard."""
-    tokens = F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-z_$][\w$]*|\d+"), F.lit(0)))
-    pairs = jaccard_pairs(functions.select("file_path", "name", F.explode(tokens).alias("token")), "file_path", "name", "token", least)
-    both = pairs.select("file_path", F.col("left").alias("name"), F.col("right").alias("sibling"), "jaccard").unionByName(pairs.select("file_path", F.col("right").alias("name"), F.col("left").alias("sibling"), "jaccard"))
-    best = W.partitionBy("file_path", "name").orderBy(F.desc("jaccard"), "sibling")
-    return both.withColumn("r", F.row_number().over(best)).where("r = 1").select("file_path", "name", "sibling", "jaccard")
+    # functions of equal tokens are one while pairs are looked for: the least of them by name
+    tokens = F.regexp_extract_all("text", F.lit(r"[A-Za-z_$][\w$]*|\d+"), F.lit(0))
+    sets = functions.where("name is not null").select(F.struct("file_path").alias("g"), "name", tokens.alias("t"))
+    sets = sets.groupBy("g", "name").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("t")))).alias("t")).where(F.size("t") > 0)
+    sets = stored(sets.withColumn("key", F.sha2(F.to_json("t"), 256)))
+    first = sets.groupBy("g", "key").agg(F.min("name").alias("first"))
+    members = stored(sets.select("g", "key", "name").join(first, ["g", "key"]))
+    second = members.where("name <> first").groupBy("g", "first").agg(F.min("name").alias("second"))
+    chosen = sets.join(first.withColumnRenamed("first", "name"), ["g", "key", "name"], "left_semi")
+    pairs = jaccard_pairs(chosen.select("g", "name", F.explode("t").alias("token")), "g", "name", "token", least)
+    both = pairs.select("g", F.col("left").alias("first"), F.col("right").alias("o"), "jaccard").unionByName(pairs.select("g", F.col("right").alias("first"), F.col("left").alias("o"), "jaccard"))
+    near = both.groupBy("g", "first").agg(F.min(F.struct((-F.col("jaccard")).alias("j"), F.col("o").alias("sibling"))).alias("near"))
+    twin = F.when(F.col("name") != F.col("first"), F.col("first")).otherwise(F.col("second"))
+    met = members.join(second, ["g", "first"], "left").join(near, ["g", "first"], "left")
+    best = F.least("near", F.when(twin.isNotNull(), F.struct(F.lit(-1.0).alias("j"), twin.alias("sibling"))))
+    return met.withColumn("best", best).where("best is not null").select("g.file_path", "name", "best.sibling", (-F.col("best.j")).alias("jaccard"))
 
 
 def transitive_plumbing(functions: DataFrame) -> DataFrame:

@@ -147,19 +147,38 @@ def contained_sets(items: DataFrame, owner: str, item: str, least: int = 2) -> D
     return met.where("size <= 2").unionByName(whole.select(*columns))
 
 
+#: Words of 64 bits in the sketch of a set.
+SKETCH = 16
+
+
 def jaccard_pairs(items: DataFrame, group: str, owner: str, item: str, least: float) -> DataFrame:
     """(group, left, right, jaccard) of owners of one group whose sets of items have `least` Jaccard or more (over 0).
 
-    Such sets share one of the rarest items of each, of which only as many are indexed as a partner may lack at most, and one.
+    Of the common items the rarest stands early in both sets, the rarest item first: a set shares it among as many items as a partner of
+    its own size or more may lack, and one, the other among as many as a partner of any size may lack. Pairs meet only
+    there, and only where enough items follow in both. Before whole sets are fetched, sketches sort out most pairs: an
+    odd number of the items that only one set holds flips a bit, so that no more bits differ than items.
     """
     rows = items.select(F.struct(group).alias("g"), F.col(owner).alias("o"), F.col(item).alias("i")).where("o is not null and i is not null").distinct()  # a struct, as null is a group too
     counts = rows.groupBy("g", "i").agg(F.count("*").alias("n"))
-    sets = rows.join(counts, ["g", "i"]).groupBy("g", "o").agg(F.sort_array(F.collect_list(F.struct("n", "i"))).alias("x")).select("g", "o", F.transform("x", lambda e: e["i"]).alias("x"))
-    needed = F.ceil(F.size("x") * F.lit(least)).cast("int")
-    rare = sets.select("g", "o", F.size("x").alias("n"), F.explode(F.slice("x", F.lit(1), F.size("x") - needed + 1)).alias("i"))
-    other = rare.select("g", F.col("o").alias("right"), F.col("n").alias("_n"), "i")
-    near = (F.col("n") >= F.col("_n") * least) & (F.col("_n") >= F.col("n") * least)
-    pairs = rare.join(other, ["g", "i"]).where((F.col("o") < F.col("right")) & near).select("g", F.col("o").alias("left"), "right").distinct()
+    word = "bit_xor(if((h & 15) = {0}, shiftleft(1L, cast(shiftrightunsigned(h, 4) & 63 as int)), 0L)) as w{0}"
+    found = rows.join(counts, ["g", "i"]).withColumn("h", F.xxhash64("i")).groupBy("g", "o").agg(F.sort_array(F.collect_list(F.struct("n", "i"))).alias("x"), *[F.expr(word.format(k)) for k in range(SKETCH)])
+    alone = F.size(F.filter("x", lambda e: e["n"] == 1)).alias("alone")
+    sets = stored(found.select("g", "o", F.transform("x", lambda e: e["i"]).alias("x"), F.size("x").alias("n"), alone, F.struct(*[f"w{k}" for k in range(SKETCH)]).alias("sketch")))
+    # at least so many items of two sets of n and m items are common; what a product of doubles may add is taken off
+    common = lambda n: F.ceil(n * F.lit(least / (1 + least)) - F.lit(1e-6)).cast("int")
+    most = F.ceil(F.col("n") * F.lit(least) - F.lit(1e-6)).cast("int")
+    index = lambda lacking: sets.select("g", "o", "n", F.posexplode(F.slice("x", F.lit(1), F.greatest(F.col("n") - lacking + 1, F.lit(0)))).alias("at", "i"), "alone").where(F.col("at") >= F.col("alone")).drop("alone")
+    asked = index(most).select("g", "i", F.col("o").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
+    there = index(common(F.col("n") * 2)).select("g", "i", F.col("o").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
+    larger = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") > F.col("b")))
+    enough = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= common(F.col("n_a") + F.col("n_b"))
+    met = asked.join(there, ["g", "i"]).where(larger & enough)
+    pairs = met.select("g", F.least("a", "b").alias("left"), F.greatest("a", "b").alias("right")).distinct()
+    pairs = pairs.join(sets.select("g", F.col("o").alias("left"), F.col("n").alias("_n"), F.col("sketch").alias("_s")), ["g", "left"])
+    pairs = pairs.join(sets.select("g", F.col("o").alias("right"), F.col("n").alias("_m"), F.col("sketch").alias("_t")), ["g", "right"])
+    differ = sum((F.bit_count(F.col(f"_s.w{k}").bitwiseXOR(F.col(f"_t.w{k}"))) for k in range(SKETCH)), F.lit(0))
+    pairs = pairs.where(differ <= (F.col("_n") + F.col("_m")) * F.lit((1 - least) / (1 + least)) + F.lit(1e-6)).select("g", "left", "right")
     one = sets.select("g", F.col("o").alias("left"), F.col("x").alias("_l"))
     two = sets.select("g", F.col("o").alias("right"), F.col("x").alias("_r"))
     full = pairs.join(one, ["g", "left"]).join(two, ["g", "right"])

@@ -106,3 +106,21 @@ def test_sources_are_blanked_once(spark):
     assert plan(posted).split("== Physical Plan ==")[-1].count("regexp_extract_all") <= 3  # strings, imports, sites: each once
     assert sorted((x.name, x.line_number) for x in posted.where("file_path = 'a'").collect()) == [("b", 2), ("d", 2), ("d", 3), ("g", 3)]
     assert posted.where("file_path = 'b'").count() == 3 and posted.where("file_path = 'c'").count() == 0
+
+
+def test_siblings_of_equal_tokens_are_one_while_pairs_are_looked_for(spark, monkeypatch):
+    seen = set()
+    monkeypatch.setattr(RR, "jaccard_pairs", lambda rows, *more, of=similarity.jaccard_pairs: seen.update(x.name for x in rows.collect()) or of(rows, *more))
+    texts = {"a": "x y z", "b": "z y x x", "c": "x y z w", "d": "p q", "e": "z x y", "f": "w x y z v"}
+    rows = [(g, n, t) for g in ("one", None) for n, t in texts.items()]
+    found = RR.clone_and_tweak_sibling(spark.createDataFrame(rows, "file_path string, name string, text string")).collect()
+    want = {"a": ("b", 1.0), "b": ("a", 1.0), "e": ("a", 1.0), "c": ("f", 0.8), "f": ("c", 0.8)}
+    assert {(x.file_path, x.name): (x.sibling, x.jaccard) for x in found} == {(g, n): w for g in ("one", None) for n, w in want.items()}
+    assert seen == {"a", "c", "d", "f"}
+
+
+def test_sketches_lose_no_pair(spark):
+    sets = {o: {(o * 37 + k * k) % 90 for k in range(20 + o % 30)} for o in range(80)}
+    for least in (0.3, 0.5, 0.8, 1.0):
+        got = {(x.left, x.right) for x in similarity.jaccard_pairs(spark.createDataFrame([(1, o, i) for o, s in sets.items() for i in s], "g long, o long, i long"), "g", "o", "i", least).collect()}
+        assert got == {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= least}
