@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from quillspan.functions.text import directory, name_tokens, normalize_source, top_directory, uncommented
 from quillspan.operators.graph import strong_components
 from quillspan.operators.modules import first_callers, new_edges, within_steps
-from quillspan.operators.similarity import clumps, jaccard_pairs, parts, shared_items
+from quillspan.operators.similarity import jaccard_pairs, parts, set_clumps, shared_items
 from quillspan.session import stored
 
 HEAD = r"(?m)^\s*(export\s+)?(?:default\s+)?(?:async\s+)?(?:function\s+([\w$]+)\s*(?:<[^>]*>)?\(([^)]*)\)|const\s+([\w$]+)\s*=\s*(?:async\s*)?\(([^)]*)\)\s*(?::[^=]+)?=>)"
@@ -83,8 +83,11 @@ def single_caller_exported_helper(functions: DataFrame, calls: DataFrame) -> Dat
 
 def data_clump(functions: DataFrame) -> DataFrame:
     """Three parameter names that three functions or more share."""
-    members = functions.select(F.concat_ws("#", "file_path", "name").alias("owner"), F.explode("parameters").alias("item"))
-    return clumps(members, "owner", "item", 3, 3)
+    in_order = lambda c: F.sort_array(F.array_compact(F.array_distinct(c))).alias("rest")
+    own = stored(functions.select(F.concat_ws("#", "file_path", "name").alias("o"), in_order("parameters")))
+    if not own.groupBy("o").count().where("count > 1").isEmpty():  # functions of one name in a file are one
+        own = stored(own.groupBy("o").agg(in_order(F.flatten(F.collect_list("rest")))))
+    return set_clumps(own, 3, 3)
 
 
 def duplicated_logic(functions: DataFrame, least: int = 3) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -68,29 +70,50 @@ def _groups(sets: DataFrame, names: list[str]) -> DataFrame:
 
 #: Groups of over two items are listed at once for owners of up to so many items.
 WHOLE = 12
+#: Also for wider ones that have at most so many groups each, and no more in all than the others.
+MOST_GROUPS = 100_000
+
+
+def sets_of(items: DataFrame, owner: str, item: str) -> DataFrame:
+    """(o, rest): the distinct items of each owner in order, without nulls."""
+    rows = items.select(F.col(owner).alias("o"), F.col(item).alias("i")).where("o is not null and i is not null")
+    return rows.groupBy("o").agg(F.sort_array(F.collect_set("i")).alias("rest"))
 
 
 def clumps(members: DataFrame, owner: str, item: str, size: int, least: int) -> DataFrame:
-    """Groups of `size` items (item_1 < item_2 ...) that occur together in `least` owners or more.
+    """Groups of `size` items (item_1 < item_2 ...) that occur together in `least` owners or more."""
+    return set_clumps(stored(sets_of(members, owner, item)), size, least)
 
-    Groups of owners of over WHOLE items are made only of pairs that are in enough owners already.
+
+def set_clumps(sets: DataFrame, size: int, least: int) -> DataFrame:
+    """`clumps` of (o, rest): one row for each owner, with its distinct items in order. Read more than once; should be stored.
+
+    Items of fewer owners are taken out of the sets where over a quarter of all places hold such ones. Groups of owners of
+    over WHOLE items are made only of pairs that are in enough owners already, unless they are few beside the other groups.
     """
-    rows = members.select(F.col(owner).alias("o"), F.col(item).alias("i")).where("o is not null and i is not null").distinct()
-    frequent = rows.groupBy("i").agg(F.count("*").alias("owners")).where(F.col("owners") >= least)
     names = [f"item_{k + 1}" for k in range(size)]
+    sets = sets.where(F.size("rest") >= size)
+    rows = sets.select("o", F.explode("rest").alias("i"))
+    counts = rows.groupBy("i").agg(F.count("*").alias("owners"))
     if size == 1:
-        return frequent.select(F.col("i").alias(names[0]), "owners")
-    sets = stored(rows.join(frequent.select("i"), "i").groupBy("o").agg(F.sort_array(F.collect_list("i")).alias("rest")).where(F.size("rest") >= size))
+        return counts.where(F.col("owners") >= least).select(F.col("i").alias(names[0]), "owners")
+    places, rare = counts.agg(F.sum("owners"), F.sum(F.when(F.col("owners") < least, F.col("owners")))).first()
+    if (rare or 0) * 4 > (places or 0):
+        frequent = counts.where(F.col("owners") >= least).select("i")
+        sets = stored(rows.join(frequent, "i").groupBy("o").agg(F.sort_array(F.collect_list("i")).alias("rest")).where(F.size("rest") >= size))
     counted = lambda found: found.groupBy(*found.columns[1:]).agg(F.count("*").alias("owners")).where(F.col("owners") >= least)
-    wide = sets.where(F.size("rest") > WHOLE)
-    if size == 2 or wide.isEmpty():
+    n, narrow = F.size("rest").cast("double"), F.size("rest") <= WHOLE
+    groups = reduce(lambda x, k: x * (n - k) / (k + 1), range(size), F.lit(1.0))
+    of_narrow, of_wide, most = sets.agg(F.sum(F.when(narrow, groups)), F.sum(F.when(~narrow, groups)), F.max(groups)).first()
+    if size == 2 or of_wide is None or (most <= MOST_GROUPS and of_wide <= (of_narrow or 0)):
         return counted(_groups(dealt(sets, "o"), names))
+    wide = sets.where(~narrow)
     pairs = counted(_groups(dealt(sets, "o"), names[:2])).drop("owners")
     kept = stored(_groups(dealt(wide, "o"), names[:2]).join(pairs, names[:2], "left_semi").select("o", *names[:2]))
     found = kept
     for k in range(2, size):
         found = found.join(kept.select("o", F.col(names[0]).alias(names[k - 1]), F.col(names[1]).alias(names[k])), ["o", names[k - 1]]).select("o", *names[: k + 1])
-    return counted(_groups(dealt(sets.where(F.size("rest") <= WHOLE), "o"), names).unionByName(found))
+    return counted(_groups(dealt(sets.where(narrow), "o"), names).unionByName(found))
 
 
 def multiset_overlap(counts: DataFrame, pairs: DataFrame, owner: str, item: str, n: str) -> DataFrame:

@@ -124,3 +124,17 @@ def test_sketches_lose_no_pair(spark):
     for least in (0.3, 0.5, 0.8, 1.0):
         got = {(x.left, x.right) for x in similarity.jaccard_pairs(spark.createDataFrame([(1, o, i) for o, s in sets.items() for i in s], "g long, o long, i long"), "g", "o", "i", least).collect()}
         assert got == {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= least}
+
+
+def test_few_wide_owners_do_not_make_pairs_of_all(spark):
+    sets = {o: {(o * 5 + k * k) % 11 for k in range(4)} for o in range(300)} | {1000: set(range(similarity.WHOLE + 1))}
+    found = similarity.clumps(spark.createDataFrame([(o, i) for o, s in sets.items() for i in s], "o long, i long"), "o", "i", 3, 3)
+    assert "Join" not in plan(found).split("== Physical Plan ==")[-1]
+    want = Counter(c for s in sets.values() for c in combinations(sorted(s), 3))
+    assert {tuple(x)[:-1]: x.owners for x in found.collect()} == {c: n for c, n in want.items() if n >= 3}
+
+
+def test_parameters_of_functions_are_grouped_as_they_are(spark):
+    rows = [("a", "f", ["x", "y", "z", None, "x"]), ("a", "f", ["w", "y"]), ("b", "g", ["z", "y", "x", "w"]), ("b", "h", ["w", "x", "y"]), ("b", "i", None), ("b", "j", ["x"]), ("c", None, ["y", "z", "x", "q"])]
+    got = [tuple(x) for x in RR.data_clump(spark.createDataFrame(rows, "file_path string, name string, parameters array<string>")).collect()]
+    assert sorted(got) == [("w", "x", "y", 3), ("x", "y", "z", 3)]
