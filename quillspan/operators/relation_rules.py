@@ -229,7 +229,7 @@ def dev_dependency_runtime_leak(imports: DataFrame, dependencies: DataFrame) ->
 
 def cycle_components(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(source, target, root) of the edges that lie on cycles, and (root, files, edges) of each set of files that reach each other."""
-    e = edges.where("source <> target").select("source", "target").distinct()
+    e = stored(edges.where("source <> target").select("source", "target").distinct())
     parts = strong_components(e)
     one, two = parts.select(F.col("node").alias("source"), "root"), parts.select(F.col("node").alias("target"), F.col("root").alias("_root"))
     inside = e.join(one, "source").join(two, "target").where("root = _root").select("source", "target", "root")

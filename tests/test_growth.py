@@ -138,3 +138,12 @@ def test_parameters_of_functions_are_grouped_as_they_are(spark):
     rows = [("a", "f", ["x", "y", "z", None, "x"]), ("a", "f", ["w", "y"]), ("b", "g", ["z", "y", "x", "w"]), ("b", "h", ["w", "x", "y"]), ("b", "i", None), ("b", "j", ["x"]), ("c", None, ["y", "z", "x", "q"])]
     got = [tuple(x) for x in RR.data_clump(spark.createDataFrame(rows, "file_path string, name string, parameters array<string>")).collect()]
     assert sorted(got) == [("w", "x", "y", 3), ("x", "y", "z", 3)]
+
+
+def test_edges_of_cycles_are_made_once(spark):
+    steps = spark.createDataFrame([(1, k, n) for k, n in enumerate([1, 2, 3, 1, 9])] + [(2, 0, 4), (2, 1, 5), (2, 2, 4)], "walk long, at long, node long")
+    ahead = similarity.F.lead("node").over(similarity.W.partitionBy("walk").orderBy("at"))
+    inside, sizes = RR.cycle_components(steps.select(similarity.F.col("node").alias("source"), ahead.alias("target")).where("target is not null"))
+    assert "Window" not in plan(inside)
+    assert sorted(map(tuple, sizes.drop("root").collect())) == [(2, 2), (3, 3)]
+    assert {(x.source, x.target) for x in inside.collect()} == {(1, 2), (2, 3), (3, 1), (4, 5), (5, 4)}
