@@ -145,28 +145,29 @@ def contained_sets(items: DataFrame, owner: str, item: str, least: int = 2) -> D
     Owners of equal sets are one, the least of them. A set lies only in sets that hold its two rarest items: it meets
     those of up to PAIRED items by that pair, larger ones by the rarest item first. What it meets must then hold the rest.
     """
-    rows = items.select(F.col(owner).alias("o"), F.col(item).alias("i")).where("o is not null and i is not null").distinct()
-    sets = rows.groupBy("o").agg(F.sha2(F.to_json(F.sort_array(F.collect_set("i"))), 256).alias("key"), F.count("*").alias("n")).where(F.col("n") >= least)
-    first = sets.groupBy("key").agg(F.min("o").alias("o"), F.first("n").alias("n")).select("o", "n")
-    rows = rows.join(first, "o")
+    sets = sets_of(items, owner, item).where(F.size("rest") >= least)
+    first = stored(sets.groupBy(F.col("rest").alias("x")).agg(F.min("o").alias("o")))
+    rows = first.select("o", F.size("x").cast("long").alias("n"), F.explode("x").alias("i"))
     counts = rows.groupBy("i").agg(F.count("*").alias("owners"))
-    ordered = rows.join(counts, "i").groupBy("o", "n").agg(F.sort_array(F.collect_list(F.struct("owners", "i"))).alias("x")).select("o", "n", F.transform("x", lambda e: e["i"]).alias("x"))
-    asked = ordered.select(F.col("o").alias("inside"), F.col("n").alias("size"), F.get("x", F.lit(0)).alias("a"), F.get("x", F.lit(1)).alias("b"))
-    there = rows.select(F.col("o").alias("outside"), F.col("n").alias("other_size"), F.col("i").alias("a"))
+    mark = F.expr("bit_or(shiftleft(1L, cast(xxhash64(i) & 63 as int)))").alias("sketch")
+    ordered = rows.join(counts, "i").groupBy("o", "n").agg(F.sort_array(F.collect_list(F.struct("owners", "i"))).alias("x"), mark)
+    ordered = stored(ordered.select("o", "n", F.transform("x", lambda e: e["i"]).alias("x"), "sketch"))
+    asked = ordered.select(F.col("o").alias("inside"), F.col("n").alias("size"), F.get("x", F.lit(0)).alias("a"), F.get("x", F.lit(1)).alias("b"), F.col("sketch").alias("_s"))
     columns = ["inside", "outside", "size", "other_size"]
 
-    small = ordered.where((F.col("n") >= 2) & (F.col("n") <= PAIRED)).select(F.col("o").alias("outside"), F.col("n").alias("other_size"), "x", F.posexplode("x").alias("k", "a"))
+    there = ordered.select(F.col("o").alias("outside"), F.col("n").alias("other_size"), F.col("sketch").alias("_t"), "x")
     rest = F.slice("x", F.col("k") + 2, F.greatest(F.size("x") - F.col("k") - 1, F.lit(0)))
-    pairs = small.select("outside", "other_size", "a", F.explode(rest).alias("b"))
+    small = there.where((F.col("other_size") > 2) & (F.col("other_size") <= PAIRED)).select("outside", "other_size", "_t", "x", F.posexplode("x").alias("k", "a"))
+    pairs = small.select("outside", "other_size", "_t", "a", F.explode(rest).alias("b"))
+    fits = (F.col("other_size") > F.col("size")) & (F.col("_s").bitwiseAND(F.bitwise_not("_t")) == 0)  # no item of the one has a bit that the other has not
     by_pair = asked.where("size > 1").join(pairs, ["a", "b"])
-    large = there.where(F.col("other_size") > PAIRED)
-    by_item = asked.where("size > 1").join(large, "a").join(large.select("outside", F.col("a").alias("b")), ["outside", "b"], "left_semi")
-    alone = asked.where("size = 1").join(there, "a")
-    met = by_pair.select(*columns).unionByName(by_item.select(*columns)).unionByName(alone.select(*columns)).where("other_size > size")
-
-    more = ordered.where("n > 2").select(F.col("o").alias("inside"), F.explode(F.slice("x", F.lit(3), F.size("x") - 2)).alias("a"))
-    left = met.where("size > 2").join(more, "inside").join(there.select("outside", "a"), ["outside", "a"])
-    whole = left.groupBy(*columns).agg(F.count("*").alias("held")).where("held = size - 2")
+    large = there.where(F.col("other_size") > PAIRED).select("outside", "other_size", "_t", F.explode("x").alias("a"))
+    by_item = asked.where("size > 1").join(large, "a").where(fits).join(large.select("outside", F.col("a").alias("b")), ["outside", "b"], "left_semi")
+    alone = asked.where("size = 1").join(there.select("outside", "other_size", "_t", F.explode("x").alias("a")), "a")
+    met = by_pair.select(*columns, "_s", "_t").unionByName(by_item.select(*columns, "_s", "_t")).unionByName(alone.select(*columns, "_s", "_t")).where(fits).select(*columns)
+
+    one, two = ordered.select(F.col("o").alias("inside"), F.col("x").alias("_x")), ordered.select(F.col("o").alias("outside"), F.col("x").alias("_y"))
+    whole = met.where("size > 2").join(one, "inside").join(two, "outside").where(F.size(F.array_except("_x", "_y")) == 0)
     return met.where("size <= 2").unionByName(whole.select(*columns))
 
 

@@ -147,3 +147,16 @@ def test_edges_of_cycles_are_made_once(spark):
     assert "Window" not in plan(inside)
     assert sorted(map(tuple, sizes.drop("root").collect())) == [(2, 2), (3, 3)]
     assert {(x.source, x.target) for x in inside.collect()} == {(1, 2), (2, 3), (3, 1), (4, 5), (5, 4)}
+
+
+def test_contained_sets_are_gathered_once_and_compared_whole(spark):
+    sets = {o: {(o * 7 + k * k) % 13 for k in range(1 + o % 6)} for o in range(60)} | {100: set(range(similarity.PAIRED + 3)), 101: set(range(3, 9))}
+    rows = [(o, i) for o, s in sets.items() for i in s] + [(0, None), (None, 1)] + [(3, i) for i in sets[3]]
+    found = similarity.contained_sets(spark.createDataFrame(rows, "o long, i long"), "o", "i", 1)
+    assert "sha2" not in plan(found) and "array_except" in plan(found)
+    first = {}
+    for o in sorted(sets):
+        first.setdefault(frozenset(sets[o]), o)
+    want = {(a, b, len(s), len(t)) for s, a in first.items() for t, b in first.items() if s < t}
+    got = [tuple(x) for x in found.collect()]
+    assert len(got) == len(want) and set(got) == want
