@@ -10,12 +10,15 @@ functions have are indexed only where nothing rarer stands beside them.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quillspan.functions.text import code_only, directory, split_top
 from quillspan.operators.relation_rules import HEAD
+from quillspan.session import dealt, stored
 
 #: Letters of the kinds of statements and how these begin, tried in order; any other statement is an expression (E).
 KINDS = (
@@ -28,6 +31,8 @@ GOES_ON = r"^\s*([)\]}.,?:&|+*]|=>|else\b|catch\b|finally\b|$)"
 RUN, WINDOW = 3, 3
 #: Two shapes are near up to this part of the longer one in edits.
 NEAR = 4
+#: Words of 64 bits for the letters of a shape; the least length of shapes whose runs are compared before the edits.
+WORDS, LONG = 4, 36
 #: Functions of a shape that are compared with those of a near one; how many lookalikes are named.
 PARTNERS, MOST_LOOKALIKES, MOST_MATCHES = 12, 3, 5
 
@@ -60,25 +65,61 @@ def shape_of(text: Column) -> Column:
     return F.when(F.instr(body, "\u0000") > 0, folded).otherwise(F.when(F.instr(body, "=>") > 0, F.lit("P")).otherwise(F.lit("")))
 
 
-def winnowed(shapes: DataFrame, run: int = RUN, window: int = WINDOW) -> DataFrame:
-    """(shape, gram): of each window of `window` runs of letters the one that fewest of the (distinct) shapes have."""
+def _picks(shapes: DataFrame, run: int, window: int) -> DataFrame:
+    """(shape, picks, runs): of each window of `window` runs of letters the one that fewest of the (distinct) shapes have; the hashes of all
+    runs of long shapes, null for others."""
     starts = F.sequence(F.lit(1), F.greatest(F.length("shape") - (run - 1), F.lit(1)))
     grams = shapes.select("shape", F.posexplode(F.transform(starts, lambda i: F.substring("shape", i, F.lit(run)))).alias("at", "gram"))
     counts = grams.groupBy("gram").agg(F.count_distinct("shape").alias("n"))
     ranked = grams.join(counts, "gram").groupBy("shape").agg(F.array_sort(F.collect_list(F.struct("at", F.struct("n", "gram").alias("g")))).alias("gs"))
     places = F.sequence(F.lit(1), F.greatest(F.size("gs") - (window - 1), F.lit(1)))
     picked = F.transform(places, lambda i: F.array_min(F.transform(F.slice("gs", i, F.lit(window)), lambda x: x["g"])))
-    return ranked.select("shape", F.explode(F.array_distinct(picked)).alias("p")).select("shape", "p.gram")
+    runs = F.array_distinct(F.transform("gs", lambda x: F.hash(x["g"]["gram"])))
+    return ranked.select("shape", F.transform(F.array_distinct(picked), lambda x: x["gram"]).alias("picks"), F.when(F.length("shape") >= LONG, runs).alias("runs"))
+
+
+def winnowed(shapes: DataFrame, run: int = RUN, window: int = WINDOW) -> DataFrame:
+    """(shape, gram): the picked runs of each of the (distinct) shapes."""
+    return _picks(shapes, run, window).select("shape", F.explode("picks").alias("gram"))
+
+
+def _sketched(shapes: DataFrame) -> DataFrame:
+    """Adds `n`, the letters of a shape, and words of 64 bits in which each letter has as many bits as there are of it, up to eight.
+
+    An edit changes two bits at most, one that adds or removes a letter one; bits that meet make fewer differ.
+    """
+    times = lambda x: F.length("shape") - F.length(F.replace(F.col("shape"), x, F.lit("")))
+    some = lambda x: F.call_function("shiftleft", F.lit(1), F.least(times(x), F.lit(8))).cast("long") - 1
+    bits = lambda x: F.call_function("shiftleft", some(x), F.ascii(x).bitwiseAND(F.lit(28)) * 2)
+    word = lambda k: F.filter("_letters", lambda x: (x != "") & (F.ascii(x).bitwiseAND(F.lit(3)) == k))
+    words = [F.aggregate(word(k), F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(bits(x))).alias(f"w{k}") for k in range(WORDS)]
+    return shapes.withColumn("_letters", F.array_distinct(F.split("shape", ""))).select(*shapes.columns, F.length("shape").alias("n"), *words)
 
 
 def near_shapes(shapes: DataFrame, run: int = RUN, window: int = WINDOW, near: int = NEAR) -> DataFrame:
-    """(left, right, distance) of distinct shapes, left before right, with at most a `near`-th of the longer one in edits."""
-    index = winnowed(shapes.select("shape").distinct(), run, window)
-    met = index.select(F.col("shape").alias("left"), "gram").join(index.select(F.col("shape").alias("right"), "gram"), "gram")
-    longer, gap = F.greatest(F.length("left"), F.length("right")), F.abs(F.length("left") - F.length("right"))
-    pairs = met.where((F.col("left") < F.col("right")) & (gap * near <= longer)).select("left", "right").distinct()
-    most = F.expr(f"cast(greatest(length(left), length(right)) div {near} as int)")
-    return pairs.withColumn("distance", F.levenshtein("left", "right").cast("long")).where(F.col("distance") <= most)
+    """(left, right, distance) of distinct shapes, left before right, with at most a `near`-th of the longer one in edits.
+
+    Shapes with a picked run in common meet within bands of lengths: the longer one of a near pair is in the band of the
+    shorter one or in the next. A pair that meets is sorted out where it meets, by lengths, letters, runs and edit distance, so that only
+    near pairs are shuffled; the pairs that meet still grow with the square of the shapes that pick a run.
+    """
+    picks = _picks(shapes.select("shape").distinct(), run, window)
+    index = stored(_sketched(picks))
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(near / (near - 1))) if near > 1 else F.lit(0).cast("long")
+    words = [f"w{k}" for k in range(WORDS)]
+    sided = lambda side, b: index.select(*[F.col(c).alias(f"{side}_{c}") for c in ("shape", "n", *words, "runs")], b, "picks").select("*", F.explode("picks").alias("gram")).drop("picks")
+    longer = dealt(sided("l", band.alias("band")), "gram", "band")
+    shorter = dealt(sided("s", F.explode(F.array(band, band + 1)).alias("band")), "gram", "band")
+    most = F.expr(f"cast(l_n div {near} as int)")
+    gap = F.col("l_n") - F.col("s_n")
+    bits = sum((F.bit_count(F.col(f"l_{w}").bitwiseXOR(F.col(f"s_{w}"))) for w in words), F.lit(0))
+    # an edit changes as many runs as one has letters, before and after it; one that adds or removes a letter one less
+    runs = F.size("l_runs") + F.size("s_runs") - 2 * F.size(F.array_intersect("l_runs", "s_runs"))
+    in_runs = F.col("l_runs").isNull() | F.col("s_runs").isNull() | (runs <= 2 * run * most - gap)
+    once = (gap > 0) | (F.col("s_shape") < F.col("l_shape"))
+    edits = F.expr(f"levenshtein(l_shape, s_shape, cast(l_n div {near} as int))")
+    met = longer.join(shorter, ["gram", "band"]).where((gap >= 0) & (gap <= most) & once & (bits <= 2 * most - gap) & in_runs & (edits >= 0))
+    return met.select(F.least("l_shape", "s_shape").alias("left"), F.greatest("l_shape", "s_shape").alias("right"), edits.cast("long").alias("distance")).distinct()
 
 
 def prints(functions: DataFrame) -> DataFrame:

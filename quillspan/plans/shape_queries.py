@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from quillspan.operators import call_order, references, shape, similarity, units
 from quillspan.operators import relation_rules as RR
 from quillspan.plans.queries import _t, query
+from quillspan.session import stored
 from quillspan.sources import diff
 
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -30,7 +31,7 @@ FROM e JOIN s x ON x.shape = l JOIN s y ON y.shape = r WHERE levenshtein(l, r) <
 )
 def shape_lookalikes(spark, sf_dir):
     letters = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.substring(F.lit(_LETTERS), F.least(F.lit(25), F.floor(F.length(x) / 16)).cast("int") + 1, F.lit(1)))
-    shapes = _t(spark, sf_dir, "documents").select("doc_id", F.array_join(letters, "").alias("shape")).groupBy("shape").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    shapes = stored(_t(spark, sf_dir, "documents").select("doc_id", F.array_join(letters, "").alias("shape")).groupBy("shape").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
     near = shape.near_shapes(shapes)
     left = shapes.select(F.col("shape").alias("left"), F.col("first").alias("left_doc"), F.col("n").alias("left_docs"))
     right = shapes.select(F.col("shape").alias("right"), F.col("first").alias("right_doc"), F.col("n").alias("right_docs"))

@@ -1,11 +1,13 @@
 """Steps whose rows, memory or shuffled bytes grew faster than what they read."""
 
+import random
 from collections import Counter
 from itertools import combinations
 
 from quillspan import session
-from quillspan.operators import call_order, call_rules, references, similarity
+from quillspan.operators import call_order, call_rules, references, shape, similarity
 from quillspan.operators import relation_rules as RR
+from tests.test_shape import edits
 
 
 def plan(df):
@@ -160,3 +162,23 @@ def test_contained_sets_are_gathered_once_and_compared_whole(spark):
     want = {(a, b, len(s), len(t)) for s, a in first.items() for t, b in first.items() if s < t}
     got = [tuple(x) for x in found.collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_shapes_that_meet_are_sorted_out_where_they_meet(spark):
+    r = random.Random(4)
+    made = {"".join(r.choice("zzzabcdZ{|é") for _ in range(r.choice((3, 4, 5, 8, 9, 15, 16, 35, 36, 60)))) for _ in range(150)} | {"aaaa", "aaaab", "a" * 40, "a" * 50, "b" * 40}
+    for s in sorted(made):
+        for part in (6, 4):
+            at = [r.randrange(len(s)) for _ in range(len(s) // part)]
+            made |= {"".join("" if i in at else c for i, c in enumerate(s)), "".join("zq" if i in at else c for i, c in enumerate(s)), "".join("q" if i in at else c for i, c in enumerate(s))}
+    rows = spark.createDataFrame([(s,) for s in sorted(made)], "shape string")
+    found = shape.near_shapes(rows)
+    joins = [x for x in plan(found).split("== Physical Plan ==")[-1].splitlines() if "Join" in x]
+    assert len(joins) == 1 and "levenshtein" in joins[0] and "REPARTITION_BY_NUM" in plan(found)  # pairs that are not near leave no task
+    picks = {}
+    for x in shape.winnowed(rows).collect():
+        picks.setdefault(x.gram, []).append(x.shape)
+    met = {p for shapes in picks.values() for p in combinations(sorted(shapes, key=str.encode), 2)}
+    near = {(a, b): edits(a, b) for a, b in met if abs(len(a) - len(b)) * 4 <= max(len(a), len(b))}
+    want = {(a, b, n) for (a, b), n in near.items() if n <= max(len(a), len(b)) // 4}
+    assert {tuple(x) for x in found.collect()} == want and max(len(a) for a, _, _ in want) > 36 and len(want) < len(met)
