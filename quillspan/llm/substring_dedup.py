@@ -19,6 +19,10 @@ Anchors with more than MOST distinct runs (a passage in very many texts) would m
 the corpus: each of their windows becomes a run of its own, and step 2 settles them over the
 cluster, by 128 bits of hash and without a comparison of bytes.
 
+The contract of op6 fixes 400 bytes, which passages of little over 50 words do not fill. Its query goes
+through the same steps once more with CUT_WINDOW and tells what that window covers in columns of
+their own; the columns of the contract do not depend on it.
+
 Texts are known by two 64-bit hashes, so that rows of equal text share their spans; results do not
 depend on doc_id. Defined results: a null text is empty; a text shorter than the window keeps all;
 texts of any length are looked through in pieces of PIECE windows; repeated rows repeat each other's
@@ -30,6 +34,8 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
+from collections.abc import Iterator
+from functools import reduce
 from itertools import groupby
 
 import numpy as np
@@ -49,6 +55,8 @@ BLOCK = 16
 MOST = 2000
 #: Longer texts are looked through in pieces of so many windows.
 PIECE = 1 << 18
+#: Texts and pieces are hashed end to end, in lines of about so many bytes.
+LINE = 1 << 17
 
 FACTOR = 0x9E3779B97F4A7C15
 SPANS = "k1 long, k2 long, lo int, hi int"
@@ -85,6 +93,10 @@ class Rolling:
     def hash(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mixed((self.sums[end] - self.sums[begin]) * self.DOWN[begin])
 
+    def all(self, length: int) -> np.ndarray:
+        """Hashes of the strings of `length` bytes from the first on."""
+        return mixed((self.sums[length:] - self.sums[:-length]) * self.DOWN[: len(self.sums) - length])
+
 
 def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
     n = len(h) - width + 1
@@ -96,35 +108,53 @@ def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
 
 def runs(text: bytes, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
     """(anchor hash, run hash, first window, last window, anchor position) of the runs of a text."""
-    out = []
-    for begin in range(0, max(0, len(text) - window + 1), PIECE):
-        out += [(f, c, begin + p, begin + q, begin + a) for f, c, p, q, a in _piece_runs(text[begin : begin + PIECE + window - 1], window)]
-    return out
-
-
-def _piece_runs(text: bytes, window: int):
-    if len(text) < window:
-        return []
+    return [row for line in runs_of([text], window) for row in zip(*[x.tolist() for x in line[1:]], strict=True)]
+
+
+def runs_of(texts: list[bytes], window: int = WINDOW) -> Iterator[tuple[np.ndarray, ...]]:
+    """The runs of many texts, as arrays with the number of the text before the columns of `runs`."""
+    pieces: list[tuple[int, int, bytes]] = []
+    size = 0
+    for k, text in enumerate(texts):
+        for begin in range(0, max(0, len(text) - window + 1), PIECE):
+            pieces.append((k, begin, text[begin : begin + PIECE + window - 1]))
+            size += len(pieces[-1][2])
+            if size >= LINE:
+                yield _line_runs(pieces, window)
+                pieces, size = [], 0
+    if pieces:
+        yield _line_runs(pieces, window)
+
+
+def _line_runs(pieces: list[tuple[int, int, bytes]], window: int) -> tuple[np.ndarray, ...]:
+    number, begin = (np.array(x, np.int64) for x in list(zip(*pieces, strict=True))[:2])
+    ends = np.cumsum([len(text) for _, _, text in pieces])
+    roll = Rolling(b"".join(text for _, _, text in pieces))
     gram = window // 2
     width = window - gram + 1
-    roll = Rolling(text)
-    at = np.arange(len(text) - gram + 1)
-    grams = roll.hash(at, at + gram)
+    grams = roll.all(gram)
     least = sliding_min(grams, width)
-    first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    last = np.concatenate([first[1:] - 1, [len(least) - 1]])
-    anchor = [p + int(grams[p : p + width].argmin()) for p in first.tolist()]
-    if any(a < q for a, q in zip(anchor, last.tolist(), strict=True)):  # equal strings within reach of each other
+    inside = np.ones(len(least), bool)  # windows that lie in one piece
+    for end in ends[:-1].tolist():
+        inside[end - window + 1 : end] = False
+    change = ~inside[1:] | ~inside[:-1] | (least[1:] != least[:-1])
+    first = np.flatnonzero(inside & np.concatenate([[True], change]))
+    last = np.flatnonzero(inside & np.concatenate([change, [True]]))
+    anchor = first + np.lib.stride_tricks.sliding_window_view(grams, width)[first].argmin(axis=1)
+    early = anchor < last
+    if early.any():  # equal strings within reach of each other
         parts = []
-        for p, q in zip(first.tolist(), last.tolist(), strict=True):
+        for p, q in zip(first[early].tolist(), last[early].tolist(), strict=True):
             while p <= q:
                 a = p + int(grams[p : p + width].argmin())
                 parts.append((p, min(a, q), a))
                 p = min(a, q) + 1
-        first, last, anchor = (np.array(x, np.int64) for x in zip(*parts, strict=True))
-    anchor = np.asarray(anchor, np.int64)
-    whole = mixed(roll.hash(first, last + window) + (anchor - first).astype(np.uint64) * np.uint64(FACTOR) + (last - first).astype(np.uint64))
-    return list(zip(least[first].view(np.int64).tolist(), whole.view(np.int64).tolist(), first.tolist(), last.tolist(), anchor.tolist(), strict=True))
+        whole = np.concatenate([np.stack([first, last, anchor], axis=1)[~early], np.array(parts, np.int64)])
+        first, last, anchor = whole[np.argsort(whole[:, 0])].T
+    run = mixed(roll.hash(first, last + window) + (anchor - first).astype(np.uint64) * np.uint64(FACTOR) + (last - first).astype(np.uint64))
+    piece = np.searchsorted(ends, first, side="right")
+    back = begin[piece] - np.concatenate([[0], ends[:-1]])[piece]
+    return number[piece], least[first].view(np.int64), run.view(np.int64), first + back, last + back, anchor + back
 
 
 def repeated_windows(group: list[tuple[bytes, int, bool]], window: int = WINDOW) -> list[list[int]]:
@@ -189,15 +219,11 @@ _L, _I = pa.int64(), pa.int32()
 
 def anchored_runs(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
     def rows(batches):
-        names = ["anchor", "run", "k1", "k2", "lo", "hi", "at"]
         for batch in batches:
-            out = []
-            for k1, k2, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                out += [(f, c, k1, k2, p, q, a) for f, c, p, q, a in runs(text, window)]
-                if len(out) > 50_000:
-                    yield _batch(names, [_L] * 4 + [_I] * 3, out)
-                    out = []
-            yield _batch(names, [_L] * 4 + [_I] * 3, out)
+            k1, k2 = (batch.column(c).to_numpy() for c in ("k1", "k2"))
+            for number, anchor, run, *at in runs_of(batch.column("_bytes").to_pylist(), window):
+                columns = [anchor, run, k1[number], k2[number], *[x.astype(np.int32) for x in at]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["anchor", "run", "k1", "k2", "lo", "hi", "at"])
 
     return keyed.select("k1", "k2", "_bytes").mapInArrow(rows, "anchor long, run long, k1 long, k2 long, lo int, hi int, at int")
 
@@ -312,23 +338,30 @@ def kept(text: bytes, gone: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def with_spans(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, str]:
-    """`docs` with one more column, of the first and last starts of the repeated windows of its text, and that column's name."""
+def with_spans(docs: DataFrame, *windows: int) -> tuple[DataFrame, list[str]]:
+    """`docs` with a column more for each length of windows, of the first and last starts of the repeated windows of its
+    text, and the names of these columns."""
     p = free_prefix(docs.columns)
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.withColumns({f"{p}1": F.xxhash64(text), f"{p}2": F.xxhash64(F.lit(20), text)})
-    spans = repeated_spans(docs, window)
-    release(docs.sparkSession)
-    lists = spans.groupBy(F.col("k1").alias(f"{p}k1"), F.col("k2").alias(f"{p}k2")).agg(F.collect_list(F.struct("lo", "hi")).alias(f"{p}spans"))
+    found = []
+    for window in windows:
+        found.append(repeated_spans(docs, window).withColumn("window", F.lit(window)))
+        release(docs.sparkSession)
+    names = [f"{p}spans{window}" for window in windows]
+    spans = [F.collect_list(F.when(F.col("window") == window, F.struct("lo", "hi"))).alias(name) for window, name in zip(windows, names, strict=True)]
+    lists = settle(reduce(DataFrame.unionByName, found).groupBy(F.col("k1").alias(f"{p}k1"), F.col("k2").alias(f"{p}k2")).agg(*spans))
+    del found
+    release(docs.sparkSession)  # what the last pass shuffled, before the texts are shuffled once more
     same = (F.col(f"{p}1") == F.col(f"{p}k1")) & (F.col(f"{p}2") == F.col(f"{p}k2"))
-    return keyed.join(settle(lists), same, "left").select(*docs.columns, f"{p}spans"), f"{p}spans"
+    return keyed.join(lists, same, "left").select(*docs.columns, *names), names
 
 
 def cut(docs: DataFrame, window: int = CUT_WINDOW) -> DataFrame:
     """`docs` with repeated strings of `window` bytes cut from text and n_chars set anew. Where a cut splits a
     character, the rest of it goes too. Documents of which nothing but white space is left go."""
     names = docs.columns
-    spanned, name = with_spans(docs, window)
+    spanned, (name,) = with_spans(docs, window)
 
     def rows(batches):
         for batch in batches:
@@ -346,23 +379,29 @@ def cut(docs: DataFrame, window: int = CUT_WINDOW) -> DataFrame:
     return spanned.mapInArrow(rows, docs.schema)
 
 
-def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def digests(docs: DataFrame, window: int = WINDOW, passages: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept_text of each row of `docs`; where a cut splits a
-    character, kept_text lacks the rest of it, which kept_sha256 does not."""
-    spanned, name = with_spans(docs.select("doc_id", "text"), window)
+    character, kept_text lacks the rest of it, which kept_sha256 does not. With `passages`, also n_passage_bytes and
+    n_passages: the bytes and spans that a window of so many bytes would remove."""
+    windows = [window] if passages is None else [window, passages]
+    spanned, spans = with_spans(docs.select("doc_id", "text"), *windows)
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "n_passage_bytes", "n_passages"][: 4 + 2 * len(windows)]
+    kinds = [_L, _L, _L, _L, pa.string(), pa.string(), _L, _L][: len(names)]
 
     def rows(batches):
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
         for batch in batches:
             out = []
-            for doc_id, text, spans in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "text", name)], strict=True):
-                raw, gone = (text or "").encode(), removed(spans, window)
+            for doc_id, text, *found in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "text", *spans)], strict=True):
+                raw = (text or "").encode()
+                gone, *more = (removed(x, w) for x, w in zip(found, windows, strict=True))
                 left = kept(raw, gone)
-                out.append((doc_id, len(raw), sum(b - a for a, b in gone), len(gone), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore")))
-            yield _batch(names, [_L, _L, _L, _L, pa.string(), pa.string()], out)
+                line = doc_id, len(raw), sum(b - a for a, b in gone), len(gone), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore")
+                out.append(line + tuple(n for x in more for n in (sum(b - a for a, b in x), len(x))))
+            yield _batch(names, kinds, out)
 
-    return spanned.mapInArrow(rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
+    return spanned.mapInArrow(rows, schema if passages is None else f"{schema}, n_passage_bytes long, n_passages long")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(table(spark, sf_dir, "documents"))
+    return digests(table(spark, sf_dir, "documents"), passages=CUT_WINDOW)

@@ -414,6 +414,36 @@ def test_passages_of_fifty_words_are_cut(spark):
     assert left == dict(enumerate(x[4] for x in plain_dedup(texts, substring_dedup.CUT_WINDOW))) and passage not in "".join(left.values())
 
 
+def test_op6_tells_passages_below_its_window(docs, tmp_path):
+    from tests.llm.conftest import prose
+
+    passage = prose(50, 52)
+    assert substring_dedup.CUT_WINDOW < len(passage.encode()) < substring_dedup.WINDOW
+    texts = [prose(51 + k, 80) + " " + passage + " " + prose(61 + k, 80) for k in range(3)] + [prose(71, 150)]
+    spark = docs.sparkSession
+    more = spark.createDataFrame([(50 + k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    rows = dedup_cases(docs).unionByName(more).collect()
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    given = [r.text for r in rows]
+    both = zip(plain_dedup(given), plain_dedup(given, substring_dedup.CUT_WINDOW), strict=True)
+    expected = multiset((r.doc_id, *x, *y[1:3]) for r, (x, y) in zip(rows, both, strict=True))
+    found = substring_dedup.op6_substring_dedup(spark, str(tmp_path)).collect()
+    assert multiset(found) == expected
+    assert [(r.n_removed, r.n_passages) for r in sorted(found, key=lambda r: r.doc_id or 0) if (r.doc_id or 0) >= 50] == [(0, 1)] * 3 + [(0, 0)]
+
+
+def test_texts_hashed_end_to_end_have_the_runs_of_each_alone():
+    r = np.random.default_rng(3)
+    texts = ["".join(chr(97 + x) for x in r.integers(0, 20, n)).encode() for n in (0, 399, 400, 401, 3000, 1)] + [b"ab" * 600, b"la " * 300, b""]
+    alone = [(k, *run) for k, text in enumerate(texts) for run in substring_dedup.runs(text)]
+    line, piece = substring_dedup.LINE, substring_dedup.PIECE
+    try:
+        for substring_dedup.LINE, substring_dedup.PIECE in ((line, piece), (900, piece)):
+            assert [run for x in substring_dedup.runs_of(texts) for run in zip(*[c.tolist() for c in x], strict=True)] == alone
+    finally:
+        substring_dedup.LINE, substring_dedup.PIECE = line, piece
+
+
 def test_runs_do_not_depend_on_pieces():
     text = ("".join(chr(97 + x) for x in np.random.default_rng(2).integers(0, 20, 3000)) + "ab" * 600).encode()
     whole = substring_dedup.runs(text)
