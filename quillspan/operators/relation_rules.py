@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from quillspan.functions.text import directory, name_tokens, normalize_source, top_directory, uncommented
 from quillspan.operators.graph import strong_components
 from quillspan.operators.modules import first_callers, new_edges, within_steps
+from quillspan.operators.near_sets import sketched
 from quillspan.operators.similarity import jaccard_pairs, parts, set_clumps, shared_items
 from quillspan.session import stored
 
@@ -100,18 +101,24 @@ def duplicated_logic(functions: DataFrame, least: int = 3) -> DataFrame:
 
 def clone_and_tweak_sibling(functions: DataFrame, least: float = 0.5) -> DataFrame:
     """The most similar other function of the same file by distinct tokens, at `least` Jaccard."""
-    # functions of equal tokens are one while pairs are looked for: the least of them by name
-    tokens = F.regexp_extract_all("text", F.lit(r"[A-Za-z_$][\w$]*|\d+"), F.lit(0))
-    sets = functions.where("name is not null").select(F.struct("file_path").alias("g"), "name", tokens.alias("t"))
-    sets = sets.groupBy("g", "name").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("t")))).alias("t")).where(F.size("t") > 0)
-    sets = stored(sets.withColumn("key", F.sha2(F.to_json("t"), 256)))
+    own = functions.where("name is not null and text is not null").select(F.struct("file_path").alias("g"), "name", "text")
+    once = own.groupBy("g", "name").count().where("count > 1").isEmpty()
+
+    def sets_of_some(rows: DataFrame) -> DataFrame:
+        sets = rows.select("g", "name", F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-z_$][\w$]*|\d+"), F.lit(0))).alias("t"))
+        # functions of one name in a file are one
+        return sets if once else sets.groupBy("g", "name").agg(F.array_distinct(F.flatten(F.collect_list("t"))).alias("t"))
+
+    # functions of equal tokens are one while the nearest are looked for: the least of them by name
+    key = F.unhex(F.sha2(F.concat_ws(" ", F.sort_array("t")), 256))
+    sets = stored(sketched(sets_of_some(own).withColumn("key", key), "t").where("sketch.n > 0"))
     first = sets.groupBy("g", "key").agg(F.min("name").alias("first"))
-    members = stored(sets.select("g", "key", "name").join(first, ["g", "key"]))
+    members = stored(sets.select("g", "key", "name").join(first, ["g", "key"]).drop("key"))
     second = members.where("name <> first").groupBy("g", "first").agg(F.min("name").alias("second"))
-    chosen = sets.join(first.withColumnRenamed("first", "name"), ["g", "key", "name"], "left_semi")
-    pairs = jaccard_pairs(chosen.select("g", "name", F.explode("t").alias("token")), "g", "name", "token", least)
-    both = pairs.select("g", F.col("left").alias("first"), F.col("right").alias("o"), "jaccard").unionByName(pairs.select("g", F.col("right").alias("first"), F.col("left").alias("o"), "jaccard"))
-    near = both.groupBy("g", "first").agg(F.min(F.struct((-F.col("jaccard")).alias("j"), F.col("o").alias("sibling"))).alias("near"))
+    chosen = sets.join(members.where("name = first").select("g", "name"), ["g", "name"], "left_semi")
+    fetch = lambda some: sets_of_some(own.join(some, ["g", "name"], "left_semi")).withColumn("t", F.concat_ws(" ", "t"))
+    pairs = jaccard_pairs(chosen.select("g", "name", "sketch"), "g", "name", "sketch", least, fetch)
+    near = pairs.select("g", F.col("left").alias("first"), F.struct((-F.col("jaccard")).alias("j"), F.col("right").alias("sibling")).alias("near"))
     twin = F.when(F.col("name") != F.col("first"), F.col("first")).otherwise(F.col("second"))
     met = members.join(second, ["g", "first"], "left").join(near, ["g", "first"], "left")
     best = F.least("near", F.when(twin.isNotNull(), F.struct(F.lit(-1.0).alias("j"), twin.alias("sibling"))))

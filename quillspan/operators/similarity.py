@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quillspan.operators.graph import components
+from quillspan.operators.near_sets import compared, near_at_all, sketched
 from quillspan.session import dealt, stored
 
 
@@ -171,44 +173,76 @@ def contained_sets(items: DataFrame, owner: str, item: str, least: int = 2) -> D
     return met.where("size <= 2").unionByName(whole.select(*columns))
 
 
-#: Words of 64 bits in the sketch of a set.
-SKETCH = 16
+#: Groups of so many sets are cut into blocks of about so many, or into about so many blocks.
+BLOCK, MOST_BLOCKS = 8192, 64
+#: Groups of up to so many sets are compared with others in one go.
+SMALL = 1024
 
 
-def jaccard_pairs(items: DataFrame, group: str, owner: str, item: str, least: float) -> DataFrame:
+def _units(sets: DataFrame, least: float) -> tuple[DataFrame, int]:
+    """`sets` (g, o, sketch; stored) once for each unit (ug, ua, ub) that compares them, with which of its sides they are on (first, second).
+
+    A unit is two blocks of a large group whose sizes can go together, or several small groups. No more than a block's
+    share of a group is in one; as many copies are made of a set as blocks go with its own. Beside it, over how many partitions to deal them.
+    """
+    step = F.floor(F.log2("sketch.n") * 8).cast("int")
+    counts = sets.groupBy("g", step.alias("step")).agg(F.count("*").alias("n"))
+    of = W.partitionBy("g")
+    counts = counts.withColumns({"all": F.sum("n").over(of), "before": F.sum("n").over(of.orderBy("step")) - F.col("n")})
+    block = F.greatest(F.lit(BLOCK), F.ceil(F.col("all") / MOST_BLOCKS))
+    dealt_to = F.struct(F.floor(F.col("before") / block).cast("int").alias("at"), F.ceil(F.col("n") / block).cast("int").alias("parts"))
+    counts = stored(counts.select("g", "step", "n", (F.col("all") <= SMALL).alias("small"), dealt_to.alias("to")))
+    few = counts.where("small").agg(F.sum("n")).first()[0] or 0
+    placed = sets.withColumn("step", step).join(counts.drop("n"), ["g", "step"]).withColumn("at", F.col("to.at") + F.pmod(F.xxhash64("o"), "to.parts").cast("int")).drop("step", "to")
+
+    blocks = placed.where("not small").groupBy("g", "at").agg(F.min("sketch.n").alias("lo"), F.max("sketch.n").alias("hi"))
+    blocks = stored(blocks)
+    side = lambda k: blocks.select("g", *[F.col(c).alias(c + k) for c in ("at", "lo", "hi")])
+    fit = lambda a, b: F.col(f"hi{a}") >= F.col(f"lo{b}") * F.lit(least) - F.lit(1e-6)
+    pairs = side("a").join(side("b"), "g").where((F.col("ata") <= F.col("atb")) & fit("a", "b") & fit("b", "a"))
+    one = F.struct(F.col("ata").alias("at"), F.lit(True).alias("first"), (F.col("ata") == F.col("atb")).alias("second"))
+    other = F.struct(F.col("atb").alias("at"), F.lit(False).alias("first"), F.lit(True).alias("second"))
+    visits = pairs.select("g", F.col("ata").alias("ua"), F.col("atb").alias("ub"), F.inline(F.when(F.col("ata") == F.col("atb"), F.array(one)).otherwise(F.array(one, other))))
+    large = placed.where("not small").join(visits, ["g", "at"]).select(F.col("g").alias("ug"), "ua", "ub", *sets.columns, "first", "second")
+    together = F.pmod(F.xxhash64("g"), F.lit(few // SMALL + 1)).cast("int")
+    small = placed.where("small").select(F.when(F.lit(False), F.col("g")).alias("ug"), together.alias("ua"), together.alias("ub"), *sets.columns, F.lit(True).alias("first"), F.lit(True).alias("second"))
+    n = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), (pairs.count() + few // SMALL) // 4 + 1)
+    return large.unionByName(small), n
+
+
+def jaccard_pairs(items: DataFrame, group: str, owner: str, item: str, least: float, sets_of_some: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(group, left, right, jaccard) of owners of one group whose sets of items have `least` Jaccard or more (over 0).
 
-    Of the common items the rarest stands early in both sets, the rarest item first: a set shares it among as many items as a partner of
-    its own size or more may lack, and one, the other among as many as a partner of any size may lack. Pairs meet only
-    there, and only where enough items follow in both. Before whole sets are fetched, sketches sort out most pairs: an
-    odd number of the items that only one set holds flips a bit, so that no more bits differ than items.
+    Sketches of all sets are compared in blocks, two at a time, and nothing is kept of a pair. Of two blocks only the sets
+    that may have a similar one in them go on, with their items, to be compared item by item.
+
+    With `sets_of_some`, `item` is the sketch of each owner's set (see `sketched`) and no group is null; it gives (group, owner, items: an array or
+    words of one text) of the owners asked (group, owner), and `right` is the one owner that is nearest to `left` by `jaccard`, the least of equal ones.
     """
-    rows = items.select(F.struct(group).alias("g"), F.col(owner).alias("o"), F.col(item).alias("i")).where("o is not null and i is not null").distinct()  # a struct, as null is a group too
-    counts = rows.groupBy("g", "i").agg(F.count("*").alias("n"))
-    word = "bit_xor(if((h & 15) = {0}, shiftleft(1L, cast(shiftrightunsigned(h, 4) & 63 as int)), 0L)) as w{0}"
-    found = rows.join(counts, ["g", "i"]).withColumn("h", F.xxhash64("i")).groupBy("g", "o").agg(F.sort_array(F.collect_list(F.struct("n", "i"))).alias("x"), *[F.expr(word.format(k)) for k in range(SKETCH)])
-    alone = F.size(F.filter("x", lambda e: e["n"] == 1)).alias("alone")
-    sets = stored(found.select("g", "o", F.transform("x", lambda e: e["i"]).alias("x"), F.size("x").alias("n"), alone, F.struct(*[f"w{k}" for k in range(SKETCH)]).alias("sketch")))
-    # at least so many items of two sets of n and m items are common; what a product of doubles may add is taken off
-    common = lambda n: F.ceil(n * F.lit(least / (1 + least)) - F.lit(1e-6)).cast("int")
-    most = F.ceil(F.col("n") * F.lit(least) - F.lit(1e-6)).cast("int")
-    index = lambda lacking: sets.select("g", "o", "n", F.posexplode(F.slice("x", F.lit(1), F.greatest(F.col("n") - lacking + 1, F.lit(0)))).alias("at", "i"), "alone").where(F.col("at") >= F.col("alone")).drop("alone")
-    asked = index(most).select("g", "i", F.col("o").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
-    there = index(common(F.col("n") * 2)).select("g", "i", F.col("o").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
-    larger = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") > F.col("b")))
-    enough = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= common(F.col("n_a") + F.col("n_b"))
-    met = asked.join(there, ["g", "i"]).where(larger & enough)
-    pairs = met.select("g", F.least("a", "b").alias("left"), F.greatest("a", "b").alias("right")).distinct()
-    pairs = pairs.join(sets.select("g", F.col("o").alias("left"), F.col("n").alias("_n"), F.col("sketch").alias("_s")), ["g", "left"])
-    pairs = pairs.join(sets.select("g", F.col("o").alias("right"), F.col("n").alias("_m"), F.col("sketch").alias("_t")), ["g", "right"])
-    differ = sum((F.bit_count(F.col(f"_s.w{k}").bitwiseXOR(F.col(f"_t.w{k}"))) for k in range(SKETCH)), F.lit(0))
-    pairs = pairs.where(differ <= (F.col("_n") + F.col("_m")) * F.lit((1 - least) / (1 + least)) + F.lit(1e-6)).select("g", "left", "right")
-    one = sets.select("g", F.col("o").alias("left"), F.col("x").alias("_l"))
-    two = sets.select("g", F.col("o").alias("right"), F.col("x").alias("_r"))
-    full = pairs.join(one, ["g", "left"]).join(two, ["g", "right"])
-    shared = F.size(F.array_intersect("_l", "_r"))
-    jaccard = shared / (F.size("_l") + F.size("_r") - shared)
-    return full.where(jaccard >= least).select(F.col(f"g.{group}").alias(group), "left", "right", F.round(jaccard, 3).alias("jaccard"))
+    nearest = sets_of_some is not None
+    if nearest:
+        found = items.select(F.struct(group).alias("g"), F.col(owner).alias("o"), F.col(item).alias("sketch"))
+    else:
+        rows = items.select(F.struct(group).alias("g"), F.col(owner).alias("o"), F.col(item).alias("i")).where("o is not null and i is not null")  # a struct, as null is a group too
+        whole = stored(rows.groupBy("g", "o").agg(F.collect_set("i").alias("x")))
+        found = sketched(whole, "x")
+    found = stored(found)
+    units, n = _units(found, least)
+    unit = ["ug", "ua", "ub"]
+    near = stored(units.repartition(n, *unit).groupBy(*unit).applyInArrow(lambda table: near_at_all(table, least), units.schema))
+    if nearest:
+        asked = near.withColumns({"_g": F.col(f"g.{group}"), "_o": F.col("o")})
+        fetched = sets_of_some(asked.select(F.col("_g").alias(group), F.col("_o").alias(owner)).distinct()).toDF("_g", "_o", "x")
+        near = asked.join(fetched, ["_g", "_o"]).drop("_g", "_o")
+    else:
+        near = near.join(whole, ["g", "o"])
+    typed = ", ".join(f"{name} {found.schema[c].dataType.simpleString()}" for name, c in (("g", "g"), ("left", "o"), ("right", "o")))
+    pairs = near.repartition(n, *unit).groupBy(*unit).applyInArrow(lambda table: compared(table, least, nearest), f"{typed}, shared long, n long")
+    jaccard = F.floor(F.col("shared") / F.col("n") * 1000 + 0.5) / 1000  # as SQL rounds: 201 of 400 are 0.502, where the decimal digits would make it 0.503
+    if nearest:
+        best = F.min(F.struct((-jaccard).alias("j"), "right")).alias("best")
+        return pairs.groupBy("g", "left").agg(best).select(F.col(f"g.{group}").alias(group), "left", "best.right", (-F.col("best.j")).alias("jaccard"))
+    return pairs.select(F.col(f"g.{group}").alias(group), "left", "right", jaccard.alias("jaccard"))
 
 
 def parts(rows: DataFrame, owner: list[str], item: str, feature: str) -> DataFrame:

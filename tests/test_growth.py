@@ -128,6 +128,45 @@ def test_sketches_lose_no_pair(spark):
         assert got == {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= least}
 
 
+def shuffled_rows(spark, act):
+    """What `act` gives, and how many rows were shuffled for it."""
+    jvm, sc = spark._jvm, spark.sparkContext
+    none = jvm.java.util.ArrayList
+    stages = lambda: sc._jsc.sc().statusStore().stageList(none(), False, False, sc._gateway.new_array(jvm.double, 0), none())
+    rows = lambda: sum(x.shuffleWriteRecords() for x in (lambda all: [all.apply(k) for k in range(all.size())])(stages()))
+    before = rows()
+    return act(), rows() - before
+
+
+def test_siblings_are_told_apart_before_anything_is_shuffled(spark):
+    r = random.Random(5)
+    texts = {f"f{k:03}": set(r.sample(range(60), 30)) for k in range(300)} | {"same": set(range(100, 130)), "tweaked": set(range(101, 131))}
+    df = spark.createDataFrame([("a", n, " ".join(map(str, s))) for n, s in texts.items()], "file_path string, name string, text string")
+    found, rows = shuffled_rows(spark, RR.clone_and_tweak_sibling(df).collect)
+    near = lambda a, b: round(len(texts[a] & texts[b]) / len(texts[a] | texts[b]), 3)
+    want = {a: min((-near(a, b), b) for b in texts if b != a) for a in texts}
+    assert {(x.name, x.sibling, x.jaccard) for x in found} == {(a, b, -j) for a, (j, b) in want.items() if j <= -0.5}
+    assert rows < 8 * len(texts)  # the pairs that have a token in common are over 40,000
+
+
+def test_jaccard_is_rounded_as_in_sql(spark):
+    text = lambda a, b: " ".join(map(str, range(a, b)))
+    rows = [("f", "a", text(0, 300)), ("f", "b", text(99, 400)), ("g", "c", text(0, 9)), ("g", "d", text(0, 16))]
+    found = RR.clone_and_tweak_sibling(spark.createDataFrame(rows, "file_path string, name string, text string")).collect()
+    assert sorted((x.name, x.jaccard) for x in found) == [("a", 0.502), ("b", 0.502), ("c", 0.563), ("d", 0.563)]
+
+
+def test_sets_are_compared_in_blocks_of_a_group_and_small_groups_together(spark, monkeypatch):
+    for name, value in (("BLOCK", 7), ("SMALL", 5)):
+        monkeypatch.setattr(similarity, name, value)
+    r = random.Random(7)
+    sets = {(g, o): set(r.sample(range(300), 300)[: r.choice((1, 2, 3, 5, 8, 120, 200, 299, 300))]) | {g or 0} for g, count in ((1, 60), (2, 30), (3, 5), (4, 3), (None, 4), (5, 1)) for o in range(count)}
+    rows = spark.createDataFrame([(g, o, i) for (g, o), s in sets.items() for i in s], "g long, o long, i long")
+    for least in (0.3, 0.5, 0.9):
+        got = [(x.g, x.left, x.right) for x in similarity.jaccard_pairs(rows, "g", "o", "i", least).collect()]
+        assert sorted(got, key=str) == sorted(((g, a, b) for g, a in sets for h, b in sets if g == h and a < b and len(sets[g, a] & sets[g, b]) / len(sets[g, a] | sets[g, b]) >= least), key=str)
+
+
 def test_few_wide_owners_do_not_make_pairs_of_all(spark):
     sets = {o: {(o * 5 + k * k) % 11 for k in range(4)} for o in range(300)} | {1000: set(range(similarity.WHOLE + 1))}
     found = similarity.clumps(spark.createDataFrame([(o, i) for o, s in sets.items() for i in s], "o long, i long"), "o", "i", 3, 3)
