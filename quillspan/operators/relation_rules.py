@@ -116,7 +116,8 @@ def clone_and_tweak_sibling(functions: DataFrame, least: float = 0.5) -> DataFra
     members = stored(sets.select("g", "key", "name").join(first, ["g", "key"]).drop("key"))
     second = members.where("name <> first").groupBy("g", "first").agg(F.min("name").alias("second"))
     chosen = sets.join(members.where("name = first").select("g", "name"), ["g", "name"], "left_semi")
-    fetch = lambda some: sets_of_some(own.join(some, ["g", "name"], "left_semi")).withColumn("t", F.concat_ws(" ", "t"))
+    # by a merge whatever the size, so that what is shuffled grows as the texts do
+    fetch = lambda some: sets_of_some(own.join(some.hint("merge"), ["g", "name"], "left_semi")).withColumn("t", F.concat_ws(" ", "t"))
     pairs = jaccard_pairs(chosen.select("g", "name", "sketch"), "g", "name", "sketch", least, fetch)
     near = pairs.select("g", F.col("left").alias("first"), F.struct((-F.col("jaccard")).alias("j"), F.col("right").alias("sibling")).alias("near"))
     twin = F.when(F.col("name") != F.col("first"), F.col("first")).otherwise(F.col("second"))
